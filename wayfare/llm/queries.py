@@ -4,25 +4,61 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wayfare.llm.html_extract import html_extract
+from wayfare.llm.jaccard_join import jaccard_components
+from wayfare.llm.packing import best_fit_packing
+from wayfare.llm.sharding import balanced_shards
 from wayfare.llm.substring_dedup import substring_dedup
 from wayfare.llm.suffix_array import suffix_array_dedup
+from wayfare.llm.url_filter import url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), length=13)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), width=5, num=80, den=100)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"), vocabulary(), capacity=1024, end_id=2)
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_shards(table(spark, sf_dir, "documents"), shards=8)
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup(table(spark, sf_dir, "documents"), length=50)
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_jaccard_join": op2_jaccard_join,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_sharding": op4_sharding,
     "op8_suffix_array": op8_suffix_array,
+    "op9_url_filter": op9_url_filter,
+    "op10_html_extract": op10_html_extract,
 }
 
 #: Queries whose result SQL can express at the size of the SQL check.
