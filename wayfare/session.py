@@ -42,13 +42,18 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's checkpoint folder and cut its lineage there."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; one inside the warehouse where none is set."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(
             spark.conf.get("spark.checkpoint.dir", None)
             or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         )
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write df to the cluster's checkpoint folder and cut its lineage there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
