@@ -6,7 +6,8 @@ table that is bucketed by block lets each pass join its notes (a few bytes for
 a text) to the texts without moving the texts through a shuffle again.
 
 A block row: block long, raw long (bytes of text), ids binary (int64), sizes
-binary (int64, -1 for a null text), data binary (zstd of the UTF-8 texts).
+binary (int64, -1 for a null text), data binary (zstd of the UTF-8 texts), rest
+binary (zstd of an Arrow stream with further columns of the same rows, or null).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from wayfare.session import ship
 
-SCHEMA = "block long, raw long, ids binary, sizes binary, data binary"
+SCHEMA = "block long, raw long, ids binary, sizes binary, data binary, rest binary"
 #: Stands for a null id inside blocks; it sorts after every other id.
 NULL_ID = np.iinfo(np.int64).max
 _tables: dict[str, list[str]] = {}
@@ -53,6 +54,16 @@ def ids_of(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False)
 
 
+def _stream(columns: list[pa.Array], names: list[str]) -> bytes | None:
+    if not names:
+        return None
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays(columns, names=names)
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return squeeze(sink.getvalue())
+
+
 def _packer(block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
@@ -72,23 +83,24 @@ def _packer(block_bytes: int):
                         "ids": [ids[a:b].tobytes()],
                         "sizes": [np.where(nulls[a:b], -1, sizes[a:b]).tobytes()],
                         "data": [squeeze(raw)],
+                        "rest": [_stream([c.slice(a, b - a) for c in batch.columns[2:]], batch.schema.names[2:])],
                     },
-                    pa.schema([("block", pa.int64()), ("raw", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())]),
+                    pa.schema([("block", pa.int64()), ("raw", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary()), ("rest", pa.binary())]),
                 )
                 number += 1
 
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
-    """Write (id, text) of docs as a table of blocks, bucketed by block, and read it back.
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, keep: list[str] | None = None) -> DataFrame:
+    """Write (id, text) of docs, and the columns named in keep, as a table of blocks, bucketed by block, and read it back.
 
     A text is never cut; one above block_bytes gets a block of its own size.
     The table stays in the warehouse until release() is called.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep or [])])
     name = f"blocks_{uuid.uuid4().hex}"
     buckets = min(20_000, max(8, rows.rdd.getNumPartitions()))
     rows.mapInArrow(_packer(block_bytes), SCHEMA).write.bucketBy(buckets, "block").option("compression", "none").saveAsTable(name)
@@ -112,9 +124,14 @@ class Block:
         self.null = sizes < 0
         self.bounds = np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))])
         self.data = expand(row["data"])
+        self._rest = row.get("rest")
 
     def __len__(self) -> int:
         return len(self.ids)
 
     def text(self, i: int) -> bytes:
         return self.data[self.bounds[i] : self.bounds[i + 1]]
+
+    def rest(self) -> pa.RecordBatch:
+        """The further columns that pack() was told to keep."""
+        return pa.ipc.open_stream(expand(self._rest)).read_next_batch()

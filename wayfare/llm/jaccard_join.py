@@ -152,9 +152,35 @@ def _search_shards(rows: DataFrame, num: int, den: int, all_queries: bool) -> Da
     return rows.groupBy("shard").applyInPandas(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, shard_items: int = 1_500_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Per document: id, n_shingles, component_id."""
-    blocks = pack(docs, id_col, text_col)
+    _, out = _solve(docs, id_col, text_col, width, num, den)
+    null = F.lit(int(NULL_ID))
+    return out.select(F.nullif("id", null).alias(id_col), "n_shingles", F.nullif("component_id", null).alias("component_id"))
+
+
+def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs, all columns as they were, of which one stays for each component: the first row of its least id. Rows without words stay."""
+    blocks, out = _solve(docs, id_col, text_col, width, num, den, [c for c in docs.columns if c != text_col])
+    first = out.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("id", "block", "at")).alias("x")).select("x.block", "x.at")
+    stay = first.unionByName(out.filter("n_shingles = 0").select("block", "at")).groupBy("block").agg(F.collect_list("at").alias("stay"))
+    schema = docs.schema
+
+    def run(batches):
+        for row in rows_of(batches):
+            block = Block(row)
+            at = sorted(row["stay"])
+            rest = iter(block.rest().take(pa.array(at)).columns)
+            texts = pa.array([None if block.null[i] else block.text(i).decode() for i in at], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if f.name == text_col else next(rest) for f in schema.fields], names=[f"c{i}" for i in range(len(schema.fields))])
+
+    fields = ", ".join(f"c{i} {f.dataType.simpleString() if f.name != text_col else 'string'}" for i, f in enumerate(schema.fields))
+    return blocks.join(stay, "block").mapInArrow(run, fields).toDF(*docs.columns)
+
+
+def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, keep: list[str] | None = None, shard_items: int = 1_500_000) -> tuple[DataFrame, DataFrame]:
+    """The packed blocks, and per document: block, at, id, n_shingles, component_id."""
+    blocks = pack(docs, id_col, text_col, keep=keep)
     raw = blocks.agg(F.coalesce(F.sum("raw"), F.lit(0))).first()[0]
     shards = max(48, math.ceil(raw / 6 * 0.35 / 1_000_000))
 
@@ -297,6 +323,4 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = links.unionByName(more)
         comp = settle(components(links))
     label = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("class", F.coalesce("component", "id").alias("component_id"))
-    out = found.join(label, "class", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-    null = F.lit(int(NULL_ID))
-    return out.select(F.nullif("id", null).alias(id_col), "n_shingles", F.nullif("component_id", null).alias("component_id"))
+    return blocks, found.join(label, "class", "left").select("block", "at", "id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

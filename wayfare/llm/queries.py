@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wayfare.llm.decontaminate import contamination
+from wayfare.llm.fingerprints import neighbours
 from wayfare.llm.html_extract import html_extract
 from wayfare.llm.jaccard_join import jaccard_components
 from wayfare.llm.packing import best_fit_packing
 from wayfare.llm.sharding import balanced_shards
 from wayfare.llm.substring_dedup import substring_dedup
 from wayfare.llm.suffix_array import suffix_array_dedup
+from wayfare.llm.toxicity import toxicity
 from wayfare.llm.url_filter import url_filter
 
 
@@ -39,6 +42,18 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(table(spark, sf_dir, "documents"), width=5, permutations=128)
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train_rows=20_000)
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup(table(spark, sf_dir, "documents"), length=50)
 
@@ -56,6 +71,9 @@ QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_sharding": op4_sharding,
+    "op5_minhash": op5_minhash,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_toxicity": op7_toxicity,
     "op8_suffix_array": op8_suffix_array,
     "op9_url_filter": op9_url_filter,
     "op10_html_extract": op10_html_extract,

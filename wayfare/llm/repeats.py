@@ -234,9 +234,9 @@ class Search:
         self.kind, self.length, self.gram, self.kernel, self.refine = kind, length, gram, kernel, refine
         self.key_shard, self.context_shard = key_shard, context_shard
 
-    def start(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    def start(self, docs: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
         """Pack docs, run steps 1 to 3, return blocks with all their notes."""
-        blocks = pack(docs, id_col, text_col)
+        blocks = pack(docs, id_col, text_col, keep=keep)
         raw = blocks.agg(F.coalesce(F.sum("raw"), F.lit(0))).first()[0]
         units = raw / (6 if self.kind == "words" else 1)
         self.s1 = max(48, math.ceil(units * 2 / (self.length - self.gram + 2) / self.key_shard))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.llm.blocks import NULL_ID
-from wayfare.llm.repeats import Search, rows_of
+from wayfare.llm.repeats import Search, Units, rows_of
 
 
 def automaton_kernel(contexts: list[bytes], smallest: list[int], length: int) -> np.ndarray:
@@ -103,8 +103,8 @@ def search(length: int = 13) -> Search:
     return Search("words", length, 5, automaton_kernel, refine="all", context_shard=4_000_000)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13, texts: bool = False) -> DataFrame:
-    """Per text: id, n_words, n_removed, kept_sha256 (lowercase hex of the kept words joined by a space); with texts=True also kept_text, which is the text itself where nothing is removed."""
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13) -> DataFrame:
+    """Per text: id, n_words, n_removed, kept_sha256 (lowercase hex of the kept words joined by a space)."""
     found = search(length)
     noted = found.start(docs, id_col, text_col)
 
@@ -112,17 +112,48 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for row in rows_of(batches):
             units, gone = found.covered(row)
             block, b = units.block, units.bounds
-            removed = np.add.reduceat(np.r_[gone, False].astype(np.int64), np.minimum(b[:-1], len(gone))) * (np.diff(b) > 0) if len(block) else b[:0]
-            kept = [b" ".join(compress(units.words[x:y], (~gone[x:y]).tolist()) if n else units.words[x:y]) for x, y, n in zip(b[:-1], b[1:], removed)]
-            out = {
+            removed, kept = _kept(units, gone)
+            yield pa.RecordBatch.from_pydict({
                 "id": pa.array(block.ids, pa.int64(), mask=block.ids == NULL_ID),
                 "n_words": pa.array(np.diff(b), pa.int64()),
                 "n_removed": pa.array(removed, pa.int64()),
                 "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
-            }
-            if texts:
-                out["kept_text"] = pa.array([None if block.null[i] else (kept[i] if removed[i] else block.text(i)).decode("utf-8", "replace") for i in range(len(block))], pa.string())
-            yield pa.RecordBatch.from_pydict(out)
+            })
 
-    schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
-    return noted.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return noted.mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)
+
+
+def _kept(units: Units, gone: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Words removed from each text, and its kept words joined by a space."""
+    b = units.bounds
+    total = np.concatenate([[0], np.cumsum(gone)])
+    removed = total[b[1:]] - total[b[:-1]]
+    return removed, [b" ".join(compress(units.words[x:y], (~gone[x:y]).tolist()) if n else units.words[x:y]) for x, y, n in zip(b[:-1].tolist(), b[1:].tolist(), removed.tolist())]
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, length: int = 13) -> DataFrame:
+    """docs with shared passages left in their first text only, all columns as they were.
+
+    A text that loses words is its kept words joined by a space, and length_col,
+    if given, its new number of characters. A text that loses all words is dropped.
+    """
+    found = search(length)
+    noted = found.start(docs, id_col, text_col, keep=[c for c in docs.columns if c != text_col])
+    schema = docs.schema
+
+    def run(batches):
+        for row in rows_of(batches):
+            units, gone = found.covered(row)
+            removed, kept = _kept(units, gone)
+            block = units.block
+            texts = [None if block.null[i] else (kept[i] if n else block.text(i)).decode() for i, n in enumerate(removed)]
+            rest = iter(block.rest().columns)
+            columns = [pa.array(texts, pa.string()) if f.name == text_col else next(rest) for f in schema.fields]
+            batch = pa.RecordBatch.from_arrays([*columns, pa.array(removed > 0)], names=[f"c{i}" for i in range(len(columns) + 1)])
+            yield batch.filter(pa.array([bool(k) or not n for k, n in zip(kept, removed)]))
+
+    fields = ", ".join(f"c{i} {f.dataType.simpleString() if f.name != text_col else 'string'}" for i, f in enumerate(schema.fields)) + f", c{len(schema.fields)} boolean"
+    out = noted.mapInArrow(run, fields)
+    changed = F.col(f"c{len(schema.fields)}")
+    text = F.col(f"c{docs.columns.index(text_col)}")
+    return out.select(*[(F.when(changed, F.length(text)).otherwise(F.col(f"c{i}")).cast(f.dataType) if f.name == length_col else F.col(f"c{i}")).alias(f.name) for i, f in enumerate(schema.fields)])
