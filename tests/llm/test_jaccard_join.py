@@ -61,5 +61,23 @@ def test_components(spark):
     assert len({c for _, _, c in got}) < len(got) - 60
 
 
+def test_links_across_components(spark, monkeypatch):
+    """Without any hub links, the search by segments alone finds every link."""
+    from wayfare.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "_bands", lambda items: [int(items[0]) >> 1])
+    r = random.Random(31)
+    docs = []
+    for g in range(12):
+        base = [f"g{g}w{r.randrange(500)}" for _ in range(r.choice([6, 30, 150]))]
+        for k in range(5):
+            w = list(base)
+            for _ in range(k % 3 + 1):
+                w[r.randrange(len(w))] = f"x{r.randrange(900)}"
+            docs.append((len(docs), " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(x) for x in jaccard_components(df).collect()) == brute(docs)
+
+
 def test_empty(spark):
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0

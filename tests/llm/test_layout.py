@@ -24,9 +24,12 @@ def test_encoder_equals_whole_text():
     model.encode_special_tokens = True
     want = [np.array(x.ids, "<u4").tobytes() for x in model.encode_batch(TEXTS, add_special_tokens=False)]
     with open(vocabulary(), encoding="utf-8") as f:
-        encoder = Encoder(f.read())
-    assert encoder.encode(TEXTS) == want
-    assert encoder.encode(TEXTS) == want
+        own = f.read()
+    with open(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = f.read()
+    for encoder in (Encoder(own), Encoder(own, ranks)):
+        assert encoder.encode(TEXTS) == want
+        assert encoder.encode(TEXTS) == want
 
 
 @pytest.mark.parametrize("rule", ["dot", "norm"])

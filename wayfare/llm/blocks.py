@@ -102,7 +102,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep or [])])
     name = f"blocks_{uuid.uuid4().hex}"
-    buckets = min(20_000, max(8, rows.rdd.getNumPartitions()))
+    # with fewer buckets than shuffle partitions Spark would deal the blocks anew in each join
+    buckets = min(20_000, max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows.mapInArrow(_packer(block_bytes), SCHEMA).write.bucketBy(buckets, "block").option("compression", "none").saveAsTable(name)
     _tables.setdefault(spark.sparkContext.applicationId, []).append(name)
     return spark.table(name)

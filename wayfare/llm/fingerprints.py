@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from wayfare.llm.blocks import NULL_ID
 from wayfare.llm.jaccard_join import shingle_set
-from wayfare.llm.repeats import U, _WordHash, grams, mix
+from wayfare.llm.repeats import U, grams, mix, words_in
 from wayfare.operators.components import components
 from wayfare.session import settle, ship
 
@@ -46,15 +46,9 @@ def multipliers(permutations: int) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(texts: list[bytes], width: int = 5, permutations: int = 128, chunk: int = 1 << 16) -> np.ndarray:
     """uint64 array: a row for each text, the least value of each permutation; all ones for no shingles."""
-    known = _WordHash()
-    sizes, parts = [], []
-    words: list[bytes] = []
-    for t in texts:
-        own = t.translate(_LOWER).split()
-        words += own
-        sizes.append(len(own))
-    h = np.fromiter(map(known.__getitem__, words), U, len(words))
-    n = np.array(sizes, np.int64)
+    parts = []
+    starts, _, h = words_in(b"\n".join(texts).translate(_LOWER))
+    n = np.diff(np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)])))
     start = np.cumsum(n) - n
     out = np.full((len(texts), permutations), TOP)
     with np.errstate(over="ignore"):

@@ -13,9 +13,11 @@ its set size and the least id that links reach.
    T-occurrence search with every hub as query.
 4. The links so far form components. A link that is still missing joins two
    components, so only shingles that occur in several components matter, and
-   only documents that have enough of those. These are searched once more: each
-   goes to the shards of its rarest such shingles (at least one of which any
-   partner shares), where it queries the inverted index of the others.
+   only documents that have enough of those. Their sets are split by hash into
+   segments. Of two linked sets, at least one segment reaches the required share
+   too, so the search runs on segments: each goes to the shards of its rarest
+   shared shingles (one of which any partner has) and queries the inverted index
+   there. Pairs found are verified on the whole sets.
 5. Components of all links.
 
 Steps 3 and 4 use the same search: of a query's inverted lists, DivideSkip puts
@@ -42,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.llm.blocks import NULL_ID, Block, expand, pack, squeeze
-from wayfare.llm.repeats import KEYS, U, _WordHash, by_shard, count_keys, grams, join_notes, key_batch, mix, read_notes, rows_of
+from wayfare.llm.repeats import KEYS, U, count_keys, grams, join_notes, key_batch, mix, read_notes, rows_of, short, words_in
 from wayfare.operators.components import components
 from wayfare.session import settle
 
@@ -51,15 +53,23 @@ _A = mix(np.arange(1, BANDS * ROWS + 1, dtype=U)) | U(1)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def shingle_set(text: bytes, width: int = 5, known: dict | None = None) -> np.ndarray:
-    """Sorted distinct hashes (64 bits) of the text's shingles."""
-    words = text.translate(_LOWER).split()
-    if not words:
-        return np.empty(0, U)
-    known = _WordHash() if known is None else known
-    h = np.fromiter(map(known.__getitem__, words), U, len(words))
+def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
+    """For each text, the sorted distinct hashes (64 bits) of its shingles."""
+    starts, _, h = words_in(b"\n".join(texts).translate(_LOWER))
+    bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)])).tolist()
+    out = []
     with np.errstate(over="ignore"):
-        return np.unique(mix(grams(h, width if len(h) >= width else len(h)) + U(min(len(h), width))))
+        full = mix(grams(h, width) + U(width)) if len(h) >= width else np.empty(0, U)
+        for a, b in zip(bounds, bounds[1:]):
+            if b - a >= width:
+                out.append(np.unique(full[a : b - width + 1]))
+            else:
+                out.append(mix(grams(h[a:b], b - a) + U(b - a)) if b > a else np.empty(0, U))
+    return out
+
+
+def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
+    return shingle_sets([text], width)[0]
 
 
 def least_overlap(n: int, num: int, den: int) -> int:
@@ -110,25 +120,23 @@ def divide_skip(lists: list[list[int]], need: int, mu: float = 0.01) -> dict[int
     return out
 
 
-def search_shard(sets: list[np.ndarray], queries: list[int], num: int, den: int, usable: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """Linked pairs (query, other) of positions in sets. usable: the shingles that can be shared with others, if fewer."""
+def search_lists(sets: list[list[int]], queries: list[int], need: list[int]) -> list[tuple[int, int, int]]:
+    """(query, other, shared) of positions in sets that share at least need[query] entries."""
     index: dict[int, list[int]] = {}
-    for i, own in enumerate(usable or sets):
-        for x in own.tolist():
+    for i, own in enumerate(sets):
+        for x in own:
             index.setdefault(x, []).append(i)
     out = []
     for q in queries:
-        lists = [index[x] for x in (usable or sets)[q].tolist() if len(index[x]) > 1]
-        n = len(sets[q])
-        for other, shared in divide_skip(lists, least_overlap(n, num, den)).items():
-            if other != q:
-                if usable is not None:
-                    shared = len(np.intersect1d(sets[q], sets[other], assume_unique=True))
-                if den * shared >= num * (n + len(sets[other]) - shared):
-                    out.append((q, other))
+        lists = [index[x] for x in sets[q] if len(index[x]) > 1]
+        out += [(q, other, shared) for other, shared in divide_skip(lists, need[q]).items() if other != q]
     return out
 
 
+def linked(n: int, m: int, shared: int, num: int, den: int) -> bool:
+    return den * shared >= num * (n + m - shared)
+
+
 def _bands(items: np.ndarray) -> list[int]:
     with np.errstate(over="ignore"):
         low = np.array([(items * a).min() for a in _A], U).reshape(BANDS, ROWS)
@@ -138,16 +146,32 @@ def _bands(items: np.ndarray) -> list[int]:
         return mix(key + np.arange(BANDS, dtype=U)).view(np.int64).tolist()
 
 
-def _search_shards(rows: DataFrame, num: int, den: int, all_queries: bool) -> DataFrame:
-    """rows (shard, id, comp, hub, items[, usable]) to links (a, b)."""
+SEGMENTS = 64
+
+
+def _hub_links(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """rows (shard, id, hub, items) to links (a, b): every hub queries the index of its shard."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["id"].to_numpy()
-        sets = [np.frombuffer(x, U) for x in pdf["items"]]
-        usable = [np.frombuffer(x, U) for x in pdf["usable"]] if all_queries else None
-        queries = list(range(len(ids))) if all_queries else np.flatnonzero(pdf["hub"].to_numpy()).tolist()
-        pairs = search_shard(sets, queries, num, den, usable)
-        return pd.DataFrame({"a": [ids[q] for q, _ in pairs], "b": [ids[o] for _, o in pairs]}, dtype="int64")
+        sets = [np.frombuffer(x, U).tolist() for x in pdf["items"]]
+        need = [least_overlap(len(s), num, den) for s in sets]
+        found = search_lists(sets, np.flatnonzero(pdf["hub"].to_numpy()).tolist(), need)
+        pairs = [(ids[q], ids[o]) for q, o, n in found if linked(len(sets[q]), len(sets[o]), n, num, den)]
+        return pd.DataFrame({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}, dtype="int64")
+
+    return rows.groupBy("shard").applyInPandas(run, "a long, b long")
+
+
+def _segment_pairs(rows: DataFrame) -> DataFrame:
+    """rows (shard, id, comp, need, items), one for a segment, to pairs (a, b) of different components."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, comps = pdf["id"].tolist(), pdf["comp"].tolist()
+        sets = [np.frombuffer(x, U).tolist() for x in pdf["items"]]
+        found = search_lists(sets, list(range(len(sets))), pdf["need"].tolist())
+        pairs = {(min(ids[q], ids[o]), max(ids[q], ids[o])) for q, o, _ in found if comps[q] != comps[o]}
+        return pd.DataFrame({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}, dtype="int64")
 
     return rows.groupBy("shard").applyInPandas(run, "a long, b long")
 
@@ -185,8 +209,8 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
     shards = max(48, math.ceil(raw / 6 * 0.35 / 1_000_000))
 
     def block_sets(row: dict):
-        block, known = Block(row), _WordHash()
-        return block, [shingle_set(block.text(i), width, known) for i in range(len(block))]
+        block = Block(row)
+        return block, shingle_sets([block.text(i) for i in range(len(block))], width)
 
     def prefixes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         cut = [s[: _prefix(len(s), num, den)] for s in sets]
@@ -198,6 +222,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
         for row in rows_of(batches):
             _, sets = block_sets(row)
             keys, owner = prefixes(sets)
+            keys = short(keys)
             order = np.argsort(keys, kind="stable")
             keys, owner = keys[order], owner[order]
             new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.empty(0, bool)
@@ -209,6 +234,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
         for row in rows_of(batches):
             block, sets = block_sets(row)
             keys, owner = prefixes(sets)
+            keys = short(keys)
             distinct = np.unique(keys)
             shared = read_notes(row["n1"], distinct, shards)[np.searchsorted(distinct, keys)] >= 1 if len(keys) else np.empty(0, bool)
             count = np.bincount(owner, weights=shared, minlength=len(sets))
@@ -230,9 +256,9 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
         for row in rows_of(batches):
             if not row["chosen"]:
                 continue
-            block, known = Block(row), _WordHash()
+            block = Block(row)
             at = sorted(row["chosen"])
-            sets = [shingle_set(block.text(i), width, known) for i in at]
+            sets = shingle_sets([block.text(i) for i in at], width)
             yield pa.RecordBatch.from_pydict({
                 "id": pa.array(block.ids[at], pa.int64()),
                 "n": pa.array([len(s) for s in sets], pa.int64()),
@@ -252,7 +278,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
     salted = pairs.select("hub", "id", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / 300)).alias("salt"))
     placed = salted.select(F.pmod(F.xxhash64("hub", "salt"), F.lit(groups)).cast("int").alias("shard"), F.explode(F.array(F.struct("id", F.lit(False).alias("hub")), F.struct(F.col("hub").alias("id"), F.lit(True).alias("hub")))).alias("x"))
     placed = placed.groupBy("shard", "x.id").agg(F.max("x.hub").alias("hub"))
-    links = settle(_search_shards(placed.join(sets.select("id", "items"), "id"), num, den, False))
+    links = settle(_hub_links(placed.join(sets.select("id", "items"), "id"), num, den))
     comp = settle(components(links))
 
     # shingles that several components hold
@@ -267,8 +293,11 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
                 items = [np.frombuffer(x.as_py(), U) for x in own.column(2)]
                 keys = np.concatenate([*items, np.empty(0, U)])
                 owner = np.repeat(np.arange(len(items)), [len(x) for x in items])
-                order, cuts = by_shard(keys, parts)
+                shard = (mix(keys) % U(parts)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
                 keys, owner = keys[order], owner[order]
+                edge = np.searchsorted(shard[order], np.arange(parts + 1)).tolist()
+                cuts = [(s, x, y) for s, (x, y) in enumerate(zip(edge, edge[1:])) if y > x]
                 out = {"shard": [], "ids": [], "comps": [], "counts": [], "keys": []}
                 for s, x, y in cuts:
                     who, n = np.unique(owner[x:y], return_counts=True)
@@ -302,24 +331,43 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
     partial = dealt.groupBy("shard").applyInPandas(across, "id long, keys binary, often binary")
     counted = partial.withColumn("m", (F.length("keys") / 8).cast("long"))
     rest = counted.groupBy("id").agg(F.sum("m").alias("m"), F.collect_list("keys").alias("keys"), F.collect_list("often").alias("often"))
-    rest = settle(rest.join(sets.select("id", "n", "items"), "id").filter(F.col("m") >= F.ceil(F.col("n") * num / den - 1e-6)))
+    rest = settle(rest.join(labelled.select("id", "comp", "items"), "id").filter(F.col("m") >= F.ceil(F.length("items") / 8 * num / den - 1e-6)))
     size = rest.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     if size:
-        few = max(48, math.ceil(4 * size / shard_items))
+        few = max(48, math.ceil(3 * size / shard_items))
 
         def route(batches):
             for row in rows_of(batches):
                 keys = np.concatenate([np.frombuffer(x, U) for x in row["keys"]])
                 often = np.concatenate([np.frombuffer(x, np.int64) for x in row["often"]])
-                n = row["n"]
-                # unshared shingles come first among the n - T + 1 rarest
-                take = n - least_overlap(n, num, den) + 1 - (n - len(keys))
-                rare = keys[np.lexsort((keys, often))][:take]
-                to = np.unique((mix(rare) % U(few)).astype(np.int64))
-                usable = np.sort(keys).tobytes()
-                yield pa.RecordBatch.from_pydict({"shard": pa.array(to, pa.int32()), "id": pa.array([row["id"]] * len(to), pa.int64()), "items": pa.array([row["items"]] * len(to), pa.binary()), "usable": pa.array([usable] * len(to), pa.binary())})
-
-        more = settle(_search_shards(rest.mapInArrow(route, "shard int, id long, items binary, usable binary"), num, den, True))
+                sizes = np.bincount((mix(np.frombuffer(row["items"], U)) % U(SEGMENTS)).astype(np.int64), minlength=SEGMENTS)
+                order = np.lexsort((keys, often))
+                keys = keys[order]
+                segment = (mix(keys) % U(SEGMENTS)).astype(np.int64)
+                out = []
+                for s in range(SEGMENTS):
+                    own = keys[segment == s]
+                    need = least_overlap(int(sizes[s]), num, den)
+                    if sizes[s] and len(own) >= need:
+                        for to in np.unique(mix(own[: len(own) - need + 1] + U(1)) % U(few)).tolist():
+                            out.append((to, need, own.tobytes()))
+                if out:
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array([x[0] for x in out], pa.int32()), "id": pa.array([row["id"]] * len(out), pa.int64()), "comp": pa.array([row["comp"]] * len(out), pa.int64()), "need": pa.array([x[1] for x in out], pa.int32()), "items": pa.array([x[2] for x in out], pa.binary())})
+
+        pairs = _segment_pairs(rest.mapInArrow(route, "shard int, id long, comp long, need int, items binary")).distinct()
+
+        @F.pandas_udf("boolean")
+        def verified(x: pd.Series, y: pd.Series) -> pd.Series:
+            out = []
+            for p, q in zip(x, y):
+                p, q = np.frombuffer(p, U), np.frombuffer(q, U)
+                out.append(linked(len(p), len(q), len(np.intersect1d(p, q, assume_unique=True)), num, den))
+            return pd.Series(out, dtype=bool)
+
+        one = rest.select(F.col("id").alias("a"), F.col("items").alias("x"))
+        two = rest.select(F.col("id").alias("b"), F.col("items").alias("y"))
+        near = F.least(F.length("x"), F.length("y")) * den >= F.greatest(F.length("x"), F.length("y")) * num
+        more = settle(pairs.join(one, "a").join(two, "b").filter(near).filter(verified("x", "y")).select("a", "b"))
         links = links.unionByName(more)
         comp = settle(components(links))
     label = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("class", F.coalesce("component", "id").alias("component_id"))

@@ -20,10 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary() -> str:
+def vocabulary() -> dict[str, str]:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return {"vocabulary": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken")}
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit_packing(table(spark, sf_dir, "documents"), vocabulary(), capacity=1024, end_id=2)
+    return best_fit_packing(table(spark, sf_dir, "documents"), **vocabulary(), capacity=1024, end_id=2)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

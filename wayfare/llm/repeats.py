@@ -31,7 +31,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,13 +80,40 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return a if size == width else np.minimum(a[: len(a) - (width - size)], a[width - size :])
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+_BYTE_HASH = mix(np.arange(1, 257, dtype=U) * BASE)
+SPACES = b" \t\n\x0b\x0c\r"
+_IS_SPACE = np.isin(np.arange(256), np.frombuffer(SPACES, np.uint8))
+_TO_SPACE = bytes.maketrans(SPACES, b" " * len(SPACES))
+#: Bytes, or entries, that are worked on at a time, so that they stay in cache.
+CHUNK = 1 << 15
+_powers: list[np.ndarray] = []
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and its inverse, for i below n."""
+    if not _powers or len(_powers[0]) < n:
+        inverse = U(pow(int(BASE), -1, 2**64))
+        with np.errstate(over="ignore"):
+            _powers[:] = [np.cumprod(np.r_[U(1), np.full(max(n, 4 * CHUNK), x, U)]) for x in (BASE, inverse)]
+    return _powers[0], _powers[1]
 
 
-_BYTE_HASH = mix(np.arange(1, 257, dtype=U) * BASE)
+def words_in(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of each word between ASCII white space."""
+    raw = np.frombuffer(data, np.uint8)
+    edge = np.diff(np.concatenate([[1], _IS_SPACE[raw], [1]]).astype(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    out = np.empty(len(start), U)
+    groups = np.unique(np.searchsorted(start, np.arange(0, len(raw) + CHUNK, CHUNK)))
+    with np.errstate(over="ignore"):
+        for i, j in zip(groups[:-1].tolist(), groups[1:].tolist()):
+            a, b = int(start[i]), int(end[j - 1])
+            power, inverse = _powers_to(b - a + 1)
+            total = np.zeros(b - a + 1, U)
+            np.cumsum(_BYTE_HASH[raw[a:b]] * power[: b - a], out=total[1:])
+            x, y = start[i:j] - a, end[i:j] - a
+            out[i:j] = mix((total[y] - total[x]) * inverse[x] + (y - x).astype(U))
+    return start, end, out
 
 
 class Units:
@@ -96,24 +122,24 @@ class Units:
     def __init__(self, block: Block, kind: str):
         self.block, self.kind = block, kind
         if kind == "words":
-            words: list[bytes] = []
-            counts = []
-            for i in range(len(block)):
-                own = block.text(i).split()
-                counts.append(len(own))
-                words += own
-            self.words = words
-            known = _WordHash()
-            self.hash = np.fromiter(map(known.__getitem__, words), U, len(words))
-            self.bounds = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+            self.data = b"\n".join([block.text(i) for i in range(len(block))]).translate(_TO_SPACE)
+            self.start, self.end, self.hash = words_in(self.data)
+            edge = np.searchsorted(self.start, block.bounds + np.arange(len(block) + 1))
+            self.bounds = edge.astype(np.int64)
         else:
             self.raw = np.frombuffer(block.data, np.uint8)
-            self.hash = _BYTE_HASH[self.raw]
             self.bounds = block.bounds
+        self.size = int(self.bounds[-1])
         self.owner = np.repeat(np.arange(len(block), dtype=np.int32), np.diff(self.bounds))
 
+    def hashes(self, a: int, b: int) -> np.ndarray:
+        return self.hash[a:b] if self.kind == "words" else _BYTE_HASH[self.raw[a:b]]
+
     def content(self, a: int, b: int) -> bytes:
-        return b" ".join(self.words[a:b]) if self.kind == "words" else self.block.data[a:b]
+        if self.kind == "bytes":
+            return self.block.data[a:b]
+        text = self.data[self.start[a] : self.end[b - 1]]
+        return b" ".join(text.split()) if b"  " in text else text
 
 
 class Windows:
@@ -121,25 +147,29 @@ class Windows:
 
     def __init__(self, units: Units, length: int, gram: int):
         self.units, self.length, self.gram = units, length, gram
-        n = len(units.hash) - length + 1
-        if n <= 0:
-            self.start = np.empty(0, np.int64)
-            self.key = np.empty(0, U)
-        else:
-            with np.errstate(over="ignore"):
-                self._grams = grams(units.hash, gram)
-                key = sliding_min(mix(self._grams), length - gram + 1)
-            self.start = np.flatnonzero(units.owner[:n] == units.owner[length - 1 :])
-            self.key = key[self.start]
+        n = max(0, units.size - length + 1)
+        self.start = np.flatnonzero(units.owner[:n] == units.owner[length - 1 :]) if n else np.empty(0, np.int64)
+        self.key = self._all(self._key)[self.start]
         self.owner = units.owner[self.start]
 
-    def second_key(self) -> np.ndarray:
+    def _all(self, f: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """f of the unit hashes of every window, some windows at a time."""
+        n = max(0, self.units.size - self.length + 1)
+        out = np.empty(n, U)
         with np.errstate(over="ignore"):
-            return sliding_min(mix(self._grams ^ BASE, MIX2), self.length - self.gram + 1)[self.start]
+            for a in range(0, n, CHUNK):
+                b = min(n, a + CHUNK)
+                out[a:b] = f(self.units.hashes(a, b + self.length - 1))
+        return out
+
+    def _key(self, h: np.ndarray) -> np.ndarray:
+        return sliding_min(mix(grams(h, self.gram)), self.length - self.gram + 1)
+
+    def second_key(self) -> np.ndarray:
+        return self._all(lambda h: sliding_min(mix(grams(h, self.gram) ^ BASE, MIX2), self.length - self.gram + 1))[self.start]
 
     def whole(self, chosen: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix(grams(self.units.hash, self.length))[self.start[chosen]]
+        return self._all(lambda h: mix(grams(h, self.length)))[self.start[chosen]]
 
 
 def tally(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,30 +186,46 @@ def tally(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.minimum(np.add.reduceat(pair.astype(np.int64), first), 255).astype(np.uint8)
 
 
-def by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """An order that groups keys by shard, and (shard, from, to) within it."""
-    shard = (mix(keys ^ MIX1) % U(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    count = np.bincount(shard, minlength=shards)
-    end = np.cumsum(count)
-    return order, [(int(s), int(end[s] - count[s]), int(end[s])) for s in np.flatnonzero(count)]
+KEY_BITS = 48
+
+
+def short(keys: np.ndarray) -> np.ndarray:
+    """Keys of 48 bits, evenly spread. They count and rule out; that two differ is then still found by the units."""
+    with np.errstate(over="ignore"):
+        return mix(keys ^ BASE) >> U(64 - KEY_BITS)
+
+
+def by_shard(keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
+    """(shard, from, to) for ascending short keys; shards are ranges of them."""
+    edge = (np.arange(shards + 1, dtype=np.float64) / shards * 2.0**KEY_BITS).astype(U)
+    cut = np.searchsorted(keys, edge).tolist()
+    return [(s, a, b) for s, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending short keys as the bytes of their differences, byte by byte, squeezed."""
+    step = np.diff(keys, prepend=U(0))
+    return squeeze(step.view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].T.tobytes(), 1)
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(expand(data), np.uint8).reshape(KEY_BITS // 8, -1)
+    step = np.zeros((planes.shape[1], 8), np.uint8)
+    step[:, : KEY_BITS // 8] = planes.T
+    return np.cumsum(step.view(U).ravel(), dtype=U)
 
 
 def read_notes(notes: list | None, keys: np.ndarray, shards: int) -> np.ndarray:
-    """Class of each key, from the answers of the shards."""
-    order, parts = by_shard(keys, shards)
+    """Class of each of the ascending short keys, from the answers of the shards."""
     got = {x["shard"]: x["payload"] for x in notes or []}
-    out = np.empty(len(keys), np.uint8)
-    for shard, a, b in parts:
-        out[order[a:b]] = np.frombuffer(expand(got[shard]), np.uint8)
-    return out
+    return np.concatenate([np.empty(0, np.uint8), *(np.frombuffer(expand(got[shard]), np.uint8) for shard, _, _ in by_shard(keys, shards))])
 
 
 def count_keys(rows: DataFrame) -> DataFrame:
     """Rows (shard, block, keys, counts) to notes: 0 one text, 1 several, 2 common."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(x, U) for x in pdf["keys"]]
+        keys = [unpack_keys(x) for x in pdf["keys"]]
         counts = np.concatenate([np.frombuffer(expand(x), np.uint8) for x in pdf["counts"]])
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(place, weights=counts)
@@ -195,13 +241,12 @@ KEYS_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("keys", p
 
 
 def key_batch(block: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.RecordBatch:
-    order, parts = by_shard(keys, shards)
-    keys, counts = keys[order], counts[order]
+    parts = by_shard(keys, shards)
     return pa.RecordBatch.from_pydict(
         {
             "shard": [s for s, _, _ in parts],
             "block": [block] * len(parts),
-            "keys": [keys[a:b].tobytes() for _, a, b in parts],
+            "keys": [pack_keys(keys[a:b]) for _, a, b in parts],
             "counts": [squeeze(counts[a:b].tobytes(), 1) for _, a, b in parts],
         },
         KEYS_ARROW,
@@ -252,14 +297,19 @@ class Search:
         def run(batches):
             for row in rows_of(batches):
                 w = Windows(Units(Block(row), self.kind), self.length, self.gram)
-                yield key_batch(row["block"], *tally(w.key, w.owner), self.s1)
+                yield key_batch(row["block"], *tally(short(w.key), w.owner), self.s1)
 
         return run
 
     def _asked(self, row: dict, w: Windows) -> tuple[np.ndarray, np.ndarray]:
         """Class of each window's key; whether it is asked for again by the whole window."""
-        keys = np.unique(w.key)
-        kind = read_notes(row["n1"], keys, self.s1)[np.searchsorted(keys, w.key)] if len(keys) else np.empty(0, np.uint8)
+        if not len(w.key):
+            return np.empty(0, np.uint8), np.empty(0, bool)
+        head = np.flatnonzero(np.concatenate([[True], w.key[1:] != w.key[:-1]]))
+        own = short(w.key[head])
+        keys = np.unique(own)
+        kind = read_notes(row["n1"], keys, self.s1)[np.searchsorted(keys, own)]
+        kind = np.repeat(kind, np.diff(np.append(head, len(w.key))))
         return kind, kind >= (1 if self.refine == "all" else 2)
 
     def _whole(self):
@@ -267,7 +317,7 @@ class Search:
             for row in rows_of(batches):
                 w = Windows(Units(Block(row), self.kind), self.length, self.gram)
                 _, asked = self._asked(row, w)
-                yield key_batch(row["block"], *tally(w.whole(asked) if asked.any() else w.key[:0], w.owner[asked]), self.s1)
+                yield key_batch(row["block"], *tally(short(w.whole(asked)) if asked.any() else w.key[:0], w.owner[asked]), self.s1)
 
         return run
 
@@ -277,7 +327,7 @@ class Search:
         chosen = kind >= 1
         route = w.key.copy()
         if asked.any():
-            whole = w.whole(asked)
+            whole = short(w.whole(asked))
             keys = np.unique(whole)
             chosen[asked] = (read_notes(row["n2"], keys, self.s1) >= 1)[np.searchsorted(keys, whole)]
             if (kind == 2).any():
@@ -350,7 +400,7 @@ class Search:
         units = Units(Block(row), self.kind)
         w = Windows(units, self.length, self.gram)
         known, owner, runs, which = self._runs(row, w)
-        edge = np.zeros(len(units.hash) + 1, np.int32)
+        edge = np.zeros(units.size + 1, np.int32)
         if known:
             got = {x["shard"]: np.frombuffer(expand(x["payload"]), np.int64) for x in row["n3"]}
             size_of = np.zeros(len(known), np.int64)

@@ -128,7 +128,7 @@ def _kept(units: Units, gone: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     b = units.bounds
     total = np.concatenate([[0], np.cumsum(gone)])
     removed = total[b[1:]] - total[b[:-1]]
-    return removed, [b" ".join(compress(units.words[x:y], (~gone[x:y]).tolist()) if n else units.words[x:y]) for x, y, n in zip(b[:-1].tolist(), b[1:].tolist(), removed.tolist())]
+    return removed, [b" ".join(compress(units.block.text(i).split(), (~gone[x:y]).tolist()) if n else units.block.text(i).split()) for i, (x, y, n) in enumerate(zip(b[:-1].tolist(), b[1:].tolist(), removed.tolist()))]
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, length: int = 13) -> DataFrame:

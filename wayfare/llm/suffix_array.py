@@ -25,11 +25,23 @@ from wayfare.llm.repeats import Search, rows_of
 U = np.uint64
 
 
-def _names(keys: np.ndarray) -> tuple[np.ndarray, int]:
-    order = np.argsort(keys, kind="stable")
+def _order(keys: np.ndarray, bound: int) -> np.ndarray:
+    """An order of keys (uint64, below bound). Where key and place fit into 64 bits together, they are sorted as one number."""
+    bits = max(1, len(keys)).bit_length()
+    if bound.bit_length() + bits > 64:
+        return np.argsort(keys)
+    packed = keys << U(bits)
+    packed |= np.arange(len(keys), dtype=U)
+    packed.sort()
+    packed &= U((1 << bits) - 1)
+    return packed.astype(np.int64)
+
+
+def _names(keys: np.ndarray, bound: int) -> tuple[np.ndarray, int]:
+    order = _order(keys, bound)
     ks = keys[order]
     rank = np.empty(len(keys), np.int64)
-    rank[order] = np.cumsum(np.r_[1, (ks[1:] != ks[:-1]).astype(np.int64)])
+    rank[order] = np.cumsum(np.concatenate([[1], ks[1:] != ks[:-1]]))
     return rank, int(rank[order[-1]]) if len(keys) else 0
 
 
@@ -43,19 +55,21 @@ def difference_cover_sort(s: np.ndarray) -> np.ndarray:
     sample = np.concatenate([np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)])
     n1 = len(np.arange(1, n + (n % 3 == 1), 3))
     if int(top) ** 3 < 2**64:
+        bound = int(top) ** 3
         triple = (t[sample].astype(U) * top + t[sample + 1].astype(U)) * top + t[sample + 2].astype(U)
     else:
-        pair, _ = _names(t[sample].astype(U) * top + t[sample + 1].astype(U))
+        pair, most = _names(t[sample].astype(U) * top + t[sample + 1].astype(U), int(top) ** 2)
+        bound = (most + 1) * int(top)
         triple = pair.astype(U) * top + t[sample + 2].astype(U)
-    name, most = _names(triple)
+    name, most = _names(triple, bound)
     if most < len(sample):
         order = difference_cover_sort(name)
         rank_in = np.empty(len(sample), np.int64)
         rank_in[order] = np.arange(1, len(sample) + 1)
     else:
-        order = np.argsort(name, kind="stable")
-        rank_in = np.empty(len(sample), np.int64)
-        rank_in[order] = np.arange(1, len(sample) + 1)
+        rank_in = name
+        order = np.empty(len(sample), np.int64)
+        order[name - 1] = np.arange(len(sample))
     rank = np.zeros(n + 4, np.int64)
     rank[sample] = rank_in
     sorted_sample = sample[order]
@@ -64,7 +78,7 @@ def difference_cover_sort(s: np.ndarray) -> np.ndarray:
     rest = np.arange(0, n, 3)
     wide = U(n + 4)
     key0 = t[rest].astype(U) * wide + rank[rest + 1].astype(U)
-    o = np.argsort(key0, kind="stable")
+    o = _order(key0, int(top) * int(wide))
     rest, key0 = rest[o], key0[o]
     # merge: each class of the sample against the rest on keys both can form
     ones, twos = sorted_sample[sorted_sample % 3 == 1], sorted_sample[sorted_sample % 3 == 2]
