@@ -1,10 +1,13 @@
-"""Registered queries of the street-network operators."""
+"""Registered queries of the street-network operators, with the SQL that checks them."""
 
 from __future__ import annotations
 
+from wayfare.workloads import network, paths
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _part in (network, paths):
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.ORACLE_SQL
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+flagship = paths.compared

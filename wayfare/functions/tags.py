@@ -91,7 +91,7 @@ def speed_stress(kmh: Column) -> Column:
 def width_m(c: str) -> Column:
     s = F.regexp_replace(text(c), ",", ".")
     number = F.regexp_replace(s, "[^0-9.]", "").try_cast("double")
-    return F.greatest(F.lit(0.0), F.when(s.contains("ft") | s.contains("foot"), number * 0.3048).otherwise(number))
+    return F.when(s.contains("ft") | s.contains("foot"), number * 0.3048).otherwise(number)
 
 
 def _has(cols: tuple[str, ...], values: tuple[str, ...]) -> Column:
