@@ -14,10 +14,14 @@ its set size and the least id that links reach.
 4. The links so far form components. A link that is still missing joins two
    components, so only shingles that occur in several components matter, and
    only documents that have enough of those. Their sets are split by hash into
-   segments. Of two linked sets, at least one segment reaches the required share
-   too, so the search runs on segments: each goes to the shards of its rarest
-   shared shingles (one of which any partner has) and queries the inverted index
-   there. Pairs found are verified on the whole sets.
+   segments of 16 to 32 shingles; the larger of two linked sets decides how many
+   segments a pair has, so a set near a power of two takes two divisions. Of two
+   linked sets, at least one segment reaches the required share too, so the
+   search runs on segments: each goes to the shards of its rarest shared shingles
+   (one of which any partner has) and queries the inverted index there. Sizes and
+   parity bitmaps of the whole sets, whose differing bits never outnumber the
+   differing shingles, rule most pairs out there; the rest are verified on the
+   whole sets.
 5. Components of all links.
 
 Steps 3 and 4 use the same search: of a query's inverted lists, DivideSkip puts
@@ -36,6 +40,7 @@ import bisect
 import hashlib
 import heapq
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -120,17 +125,17 @@ def divide_skip(lists: list[list[int]], need: int, mu: float = 0.01) -> dict[int
     return out
 
 
-def search_lists(sets: list[list[int]], queries: list[int], need: list[int]) -> list[tuple[int, int, int]]:
+def search_lists(sets: list[list[int]], queries: Iterable[int], need: list[int]) -> Iterator[tuple[int, int, int]]:
     """(query, other, shared) of positions in sets that share at least need[query] entries."""
     index: dict[int, list[int]] = {}
     for i, own in enumerate(sets):
         for x in own:
             index.setdefault(x, []).append(i)
-    out = []
     for q in queries:
         lists = [index[x] for x in sets[q] if len(index[x]) > 1]
-        out += [(q, other, shared) for other, shared in divide_skip(lists, need[q]).items() if other != q]
-    return out
+        for other, shared in divide_skip(lists, need[q]).items():
+            if other != q:
+                yield q, other, shared
 
 
 def linked(n: int, m: int, shared: int, num: int, den: int) -> bool:
@@ -146,7 +151,21 @@ def _bands(items: np.ndarray) -> list[int]:
         return mix(key + np.arange(BANDS, dtype=U)).view(np.int64).tolist()
 
 
-SEGMENTS = 64
+#: Shingles in a segment, at least; bits of a set's parity bitmap.
+SEGMENT, BITS = 16, 1024
+
+
+def divisions(n: int, num: int, den: int) -> set[int]:
+    """Numbers of segments in which a set of n meets any partner of its size or larger, or smaller."""
+    return {1 << max(0, (m // SEGMENT).bit_length() - 1) for m in (n, n * den // num)}
+
+
+def parity(items: np.ndarray) -> bytes:
+    return np.packbits(np.bincount((mix(items + U(7)) % U(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
+def _may_link(n: int, x: int, m: int, y: int, num: int, den: int) -> bool:
+    return min(n, m) * den >= max(n, m) * num and (x ^ y).bit_count() * (num + den) <= (n + m) * (den - num)
 
 
 def _hub_links(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -163,14 +182,17 @@ def _hub_links(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.groupBy("shard").applyInPandas(run, "a long, b long")
 
 
-def _segment_pairs(rows: DataFrame) -> DataFrame:
-    """rows (shard, id, comp, need, items), one for a segment, to pairs (a, b) of different components."""
+def _segment_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """rows (shard, id, comp, n, parity, need, items), one for a segment, to pairs (a, b) of different components that may link."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, comps = pdf["id"].tolist(), pdf["comp"].tolist()
+        ids, comps, n, need = (pdf[c].tolist() for c in ("id", "comp", "n", "need"))
+        bits = [int.from_bytes(x, "big") for x in pdf["parity"]]
         sets = [np.frombuffer(x, U).tolist() for x in pdf["items"]]
-        found = search_lists(sets, list(range(len(sets))), pdf["need"].tolist())
-        pairs = {(min(ids[q], ids[o]), max(ids[q], ids[o])) for q, o, _ in found if comps[q] != comps[o]}
+        pairs: set[tuple[int, int]] = set()
+        for q, o, _ in search_lists(sets, range(len(sets)), need):
+            if comps[q] != comps[o] and _may_link(n[q], bits[q], n[o], bits[o], num, den):
+                pairs.add((min(ids[q], ids[o]), max(ids[q], ids[o])))
         return pd.DataFrame({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}, dtype="int64")
 
     return rows.groupBy("shard").applyInPandas(run, "a long, b long")
@@ -340,21 +362,25 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
             for row in rows_of(batches):
                 keys = np.concatenate([np.frombuffer(x, U) for x in row["keys"]])
                 often = np.concatenate([np.frombuffer(x, np.int64) for x in row["often"]])
-                sizes = np.bincount((mix(np.frombuffer(row["items"], U)) % U(SEGMENTS)).astype(np.int64), minlength=SEGMENTS)
-                order = np.lexsort((keys, often))
-                keys = keys[order]
-                segment = (mix(keys) % U(SEGMENTS)).astype(np.int64)
+                keys = keys[np.lexsort((keys, often))]
+                whole = np.frombuffer(row["items"], U)
                 out = []
-                for s in range(SEGMENTS):
-                    own = keys[segment == s]
-                    need = least_overlap(int(sizes[s]), num, den)
-                    if sizes[s] and len(own) >= need:
-                        for to in np.unique(mix(own[: len(own) - need + 1] + U(1)) % U(few)).tolist():
-                            out.append((to, need, own.tobytes()))
+                for count in divisions(len(whole), num, den):
+                    sizes = np.bincount((mix(whole) % U(count)).astype(np.int64), minlength=count).tolist()
+                    segment = (mix(keys) % U(count)).astype(np.int64)
+                    order = np.argsort(segment, kind="stable")
+                    edge = np.searchsorted(segment[order], np.arange(count + 1)).tolist()
+                    for s in range(count):
+                        own = keys[order[edge[s] : edge[s + 1]]]
+                        need = least_overlap(sizes[s], num, den)
+                        if sizes[s] and len(own) >= need:
+                            for to in np.unique(mix(own[: len(own) - need + 1] + U(count)) % U(few)).tolist():
+                                out.append((to, need, own.tobytes()))
                 if out:
-                    yield pa.RecordBatch.from_pydict({"shard": pa.array([x[0] for x in out], pa.int32()), "id": pa.array([row["id"]] * len(out), pa.int64()), "comp": pa.array([row["comp"]] * len(out), pa.int64()), "need": pa.array([x[1] for x in out], pa.int32()), "items": pa.array([x[2] for x in out], pa.binary())})
+                    m = len(out)
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array([x[0] for x in out], pa.int32()), "id": pa.array([row["id"]] * m, pa.int64()), "comp": pa.array([row["comp"]] * m, pa.int64()), "n": pa.array([len(whole)] * m, pa.int64()), "parity": pa.array([parity(whole)] * m, pa.binary()), "need": pa.array([x[1] for x in out], pa.int32()), "items": pa.array([x[2] for x in out], pa.binary())})
 
-        pairs = _segment_pairs(rest.mapInArrow(route, "shard int, id long, comp long, need int, items binary")).distinct()
+        pairs = _segment_pairs(rest.mapInArrow(route, "shard int, id long, comp long, n long, parity binary, need int, items binary"), num, den).distinct()
 
         @F.pandas_udf("boolean")
         def verified(x: pd.Series, y: pd.Series) -> pd.Series:
