@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from wayfare.workloads import network, paths
+from wayfare.workloads import live, network, paths, spatial
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (network, paths):
+for _part in (network, paths, spatial, live):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
 
