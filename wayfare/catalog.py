@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from wayfare.workloads import live, network, paths, spatial
+from wayfare.workloads import live, network, paths, reports, spatial
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (network, paths, spatial, live):
+for _part in (network, paths, spatial, live, reports):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
 
