@@ -54,7 +54,7 @@ def is_lit(c: str = "lit") -> Column:
 
 def tokens(c: str) -> Column:
     """Tag values split at ';' without empty, 'no' and 'none'."""
-    return F.filter(F.transform(F.split(text(c), ";"), F.trim), lambda t: ~t.isin("", "no", "none"))
+    return F.filter(F.transform(F.split(text(c), ";"), lambda x: F.trim(x)), lambda t: ~t.isin("", "no", "none"))
 
 
 def access_denied(access: str, bicycle: str, denied: tuple[str, ...]) -> Column:
@@ -102,7 +102,7 @@ def _has(cols: tuple[str, ...], values: tuple[str, ...]) -> Column:
 
 
 def superhighway(c: str = "programme") -> Column:
-    return F.array_contains(F.transform(F.split(text(c), ";"), F.trim), "superhighway")
+    return F.array_contains(F.transform(F.split(text(c), ";"), lambda x: F.trim(x)), "superhighway")
 
 
 def separated(c: str = "separation") -> Column:

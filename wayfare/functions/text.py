@@ -12,13 +12,13 @@ def slug(name: Column) -> Column:
 
 def merged_tags(*values: Column) -> Column:
     """Semicolon lists joined in order, each value once."""
-    parts = F.flatten(F.array(*[F.transform(F.split(F.coalesce(v, F.lit("")), ";"), F.trim) for v in values]))
+    parts = F.flatten(F.array(*[F.transform(F.split(F.coalesce(v, F.lit("")), ";"), lambda x: F.trim(x)) for v in values]))
     return F.array_join(F.array_distinct(F.filter(parts, lambda x: x != "")), ";")
 
 
 def vias(text: Column, most: int = 3) -> tuple[Column, Column]:
     """Points of "lat,lon;lat,lon" as an array, and an error naming the first bad one (null: fine)."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ";"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
     point = lambda x: F.struct(F.get(F.split(x, ","), 0).try_cast("double").alias("lat"), F.get(F.split(x, ","), 1).try_cast("double").alias("lon"))
     points = F.transform(parts, point)
     bad = F.transform(parts, lambda x: (F.size(F.split(x, ",")) != 2) | point(x)["lat"].isNull() | point(x)["lon"].isNull() | (F.abs(point(x)["lat"]) > 90) | (F.abs(point(x)["lon"]) > 180))
@@ -47,7 +47,7 @@ def open_at(expression: Column, minute: Column, weekday: Column, dark: Column) -
         on_time = F.when(start < end, (minute >= start) & (minute < end)).otherwise((minute >= start) | (minute < end))
         return F.when(p == "24/7", True).when(p == "dawn-dusk", ~dark).when(p.rlike(form), on_day & on_time)
 
-    parts = F.filter(F.transform(F.split(F.coalesce(expression, F.lit("")), ";"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(expression, F.lit("")), ";"), lambda x: F.trim(x)), lambda p: p != "")
     said = F.transform(parts, one)
     fallback = ~dark
     return F.when(F.size(parts) == 0, fallback).otherwise(F.aggregate(said, F.lit(None).cast("boolean"), lambda s, x: F.when(s.isNotNull(), s).when(x.isNull(), fallback).when(x, True), lambda s: F.coalesce(s, F.lit(False))))

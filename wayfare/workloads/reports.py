@@ -48,7 +48,7 @@ def elevation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hours_catalog(spark: SparkSession, sf: str) -> DataFrame:
-    part = F.explode(F.transform(F.split("opening_hours", ";"), F.trim))
+    part = F.explode(F.transform(F.split("opening_hours", ";"), lambda x: F.trim(x)))
     return net.ways(spark, sf).select(part.alias("hours")).filter("hours <> ''").distinct()
 
 
