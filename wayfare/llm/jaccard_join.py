@@ -125,14 +125,16 @@ def divide_skip(lists: list[list[int]], need: int, mu: float = 0.01) -> dict[int
     return out
 
 
-def search_lists(sets: list[list[int]], queries: Iterable[int], need: list[int]) -> Iterator[tuple[int, int, int]]:
-    """(query, other, shared) of positions in sets that share at least need[query] entries."""
+def search_lists(sets: list[list[int]], queries: Iterable[int], need: list[int], later: bool = False) -> Iterator[tuple[int, int, int]]:
+    """(query, other, shared) of positions in sets that share at least need[query] entries; with later, of others behind the query."""
     index: dict[int, list[int]] = {}
     for i, own in enumerate(sets):
         for x in own:
             index.setdefault(x, []).append(i)
     for q in queries:
         lists = [index[x] for x in sets[q] if len(index[x]) > 1]
+        if later:
+            lists = [own[bisect.bisect_right(own, q) :] for own in lists if own[-1] > q]
         for other, shared in divide_skip(lists, need[q]).items():
             if other != q:
                 yield q, other, shared
@@ -164,10 +166,6 @@ def parity(items: np.ndarray) -> bytes:
     return np.packbits(np.bincount((mix(items + U(7)) % U(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
 
 
-def _may_link(n: int, x: int, m: int, y: int, num: int, den: int) -> bool:
-    return min(n, m) * den >= max(n, m) * num and (x ^ y).bit_count() * (num + den) <= (n + m) * (den - num)
-
-
 def _hub_links(rows: DataFrame, num: int, den: int) -> DataFrame:
     """rows (shard, id, hub, items) to links (a, b): every hub queries the index of its shard."""
 
@@ -183,17 +181,43 @@ def _hub_links(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _segment_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """rows (shard, id, comp, n, parity, need, items), one for a segment, to pairs (a, b) of different components that may link."""
+    """rows (shard, id, comp, n, parity, size, items), one for a segment, to pairs (a, b) of different components that may link.
+
+    Segments with the same items count as one in the search. A pair that links
+    has a segment that links by itself, so sizes are compared there as well.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, comps, n, need = (pdf[c].tolist() for c in ("id", "comp", "n", "need"))
-        bits = [int.from_bytes(x, "big") for x in pdf["parity"]]
-        sets = [np.frombuffer(x, U).tolist() for x in pdf["items"]]
-        pairs: set[tuple[int, int]] = set()
-        for q, o, _ in search_lists(sets, range(len(sets)), need):
-            if comps[q] != comps[o] and _may_link(n[q], bits[q], n[o], bits[o], num, den):
-                pairs.add((min(ids[q], ids[o]), max(ids[q], ids[o])))
-        return pd.DataFrame({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}, dtype="int64")
+        pdf = pdf.sort_values("n", kind="stable")
+        ids, comps, n, size = (pdf[c].to_numpy(np.int64) for c in ("id", "comp", "n", "size"))
+        bits = np.frombuffer(b"".join(pdf["parity"]), U).reshape(len(pdf), -1)
+        same: dict[bytes, list[int]] = {}
+        for i, x in enumerate(pdf["items"]):
+            same.setdefault(x, []).append(i)
+        sets = [np.frombuffer(x, U).tolist() for x in same]
+        members = [np.array(x) for x in same.values()]
+        lone = [comps[x[0]] if (comps[x] == comps[x[0]]).all() else None for x in members]
+        need = [least_overlap(int(size[x].min()), num, den) for x in members]
+        found: list[np.ndarray] = []
+
+        def check(own: np.ndarray, others: np.ndarray, shared: int) -> None:
+            for i in own.tolist():
+                lo, hi = np.searchsorted(n[others], [-(-n[i] * num // den), n[i] * den // num + 1])
+                x = others[lo:hi]
+                x = x[(comps[x] != comps[i]) & (den * shared >= num * (size[x] + size[i] - shared))]
+                if len(x):
+                    apart = np.bitwise_count(bits[x] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                    x = x[apart * (num + den) <= (n[x] + n[i]) * (den - num)]
+                    found.append(np.stack([np.minimum(ids[x], ids[i]), np.maximum(ids[x], ids[i])]))
+
+        for own, items, comp in zip(members, sets, lone):
+            if comp is None:
+                check(own, own, len(items))
+        for q, o, shared in search_lists(sets, range(len(sets)), need, later=True):
+            if lone[q] is None or lone[q] != lone[o]:
+                check(*sorted((members[q], members[o]), key=len), shared)
+        pairs = np.unique(np.concatenate([np.empty((2, 0), np.int64), *found], axis=1), axis=1)
+        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
 
     return rows.groupBy("shard").applyInPandas(run, "a long, b long")
 
@@ -374,13 +398,14 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
                         own = keys[order[edge[s] : edge[s + 1]]]
                         need = least_overlap(sizes[s], num, den)
                         if sizes[s] and len(own) >= need:
-                            for to in np.unique(mix(own[: len(own) - need + 1] + U(count)) % U(few)).tolist():
-                                out.append((to, need, own.tobytes()))
+                            own = mix(own + U(count))
+                            for to in np.unique(own[: len(own) - need + 1] % U(few)).tolist():
+                                out.append((to, sizes[s], own.tobytes()))
                 if out:
                     m = len(out)
-                    yield pa.RecordBatch.from_pydict({"shard": pa.array([x[0] for x in out], pa.int32()), "id": pa.array([row["id"]] * m, pa.int64()), "comp": pa.array([row["comp"]] * m, pa.int64()), "n": pa.array([len(whole)] * m, pa.int64()), "parity": pa.array([parity(whole)] * m, pa.binary()), "need": pa.array([x[1] for x in out], pa.int32()), "items": pa.array([x[2] for x in out], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array([x[0] for x in out], pa.int32()), "id": pa.array([row["id"]] * m, pa.int64()), "comp": pa.array([row["comp"]] * m, pa.int64()), "n": pa.array([len(whole)] * m, pa.int64()), "parity": pa.array([parity(whole)] * m, pa.binary()), "size": pa.array([x[1] for x in out], pa.int32()), "items": pa.array([x[2] for x in out], pa.binary())})
 
-        pairs = _segment_pairs(rest.mapInArrow(route, "shard int, id long, comp long, n long, parity binary, need int, items binary"), num, den).distinct()
+        pairs = _segment_pairs(rest.mapInArrow(route, "shard int, id long, comp long, n long, parity binary, size int, items binary"), num, den).distinct()
 
         @F.pandas_udf("boolean")
         def verified(x: pd.Series, y: pd.Series) -> pd.Series:
