@@ -1,8 +1,9 @@
 """N-gram Jaccard join against all pairs compared one by one."""
 
 import random
+from collections import Counter
 
-from wayfare.llm.jaccard_join import divide_skip, jaccard_components
+from wayfare.llm.jaccard_join import divide_skip, jaccard_components, one_of_each_component
 
 
 def brute(docs, width=5):
@@ -81,3 +82,29 @@ def test_links_across_components(spark, monkeypatch):
 
 def test_empty(spark):
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows of one id, or of none, stay apart unless their texts link."""
+    r = random.Random(4)
+    text = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    docs = []
+    for g in range(12):
+        base = text(40)
+        near = [*base[:-1], "end"]
+        alone = text(30)
+        docs += [(None, base), (None, near), (None, alone), (g % 3, text(25)), (50 + g, text(6))]
+        if g % 2:
+            docs += [(100 + g, base), (100 + g, text(20)), (200 - g, near)]
+    docs = [(d, " ".join(w)) for d, w in docs] + [(None, None), (None, ""), (1, "  "), (1, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    big = 10**6
+    want = brute([(big if d is None else d, t) for d, t in docs])
+    got = sorted((big if d is None else d, n, big if c is None else c) for d, n, c in jaccard_components(df).collect())
+    assert got == want
+    kept = [tuple(x) for x in one_of_each_component(df).collect()]
+    assert set(kept) <= set(docs)
+    # of each group base and near link, so one of all its linked rows stays: that of the least id
+    linked = [(d, t) for d, t in docs if t and len(t.split()) == 40]
+    assert Counter(x for x in kept if x not in linked) == Counter(x for x in docs if x not in linked)
+    assert Counter(d for d, t in kept if (d, t) in linked) == Counter([None] * 6 + [100 + g for g in range(1, 12, 2)])

@@ -7,7 +7,7 @@ its set size and the least id that links reach.
 1. Filter. A set of n shingles can miss at most n - ceil(n * num / den) of them
    in a partner. So of its shingles that come first in hash order, a share must
    occur in other sets too; documents below that share have no links.
-2. Equal sets become one class; its least id stands for it.
+2. Equal sets become one class, which has a key of its own; links join keys.
 3. Hub search. Each class sends its set to the least member of its MinHash
    buckets. A shard holds an inverted index of the sets sent to it and runs the
    T-occurrence search with every hub as query.
@@ -22,7 +22,7 @@ its set size and the least id that links reach.
    parity bitmaps of the whole sets, whose differing bits never outnumber the
    differing shingles, rule most pairs out there; the rest are verified on the
    whole sets.
-5. Components of all links.
+5. Components of all links; the least id of a component's rows is its name.
 
 Steps 3 and 4 use the same search: of a query's inverted lists, DivideSkip puts
 the longest aside, merges the short ones with a heap, keeps documents that reach
@@ -32,6 +32,8 @@ exact. Step 3 only keeps step 4 small; step 4 leaves no pair out.
 Defined results: null texts and texts without words have an empty set and link
 with nothing; texts of fewer words than a shingle have one, the whole sequence;
 repeated rows get one result each; a null id counts as larger than all others.
+Rows are told apart by their place, not by their id: null ids, or one id with
+several texts, link nothing by themselves.
 """
 
 from __future__ import annotations
@@ -155,6 +157,8 @@ def _bands(items: np.ndarray) -> list[int]:
 
 #: Shingles in a segment, at least; bits of a set's parity bitmap.
 SEGMENT, BITS = 16, 1024
+#: Rows of a block, at most, so that block and place make one number.
+PLACES = 1 << 20
 
 
 def divisions(n: int, num: int, den: int) -> set[int]:
@@ -230,10 +234,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs, all columns as they were, of which one stays for each component: the first row of its least id. Rows without words stay."""
+    """The rows of docs, all columns as they were, of which one stays for each component: the first row of its least id. Rows that link with none stay, whatever their ids."""
     blocks, out = _solve(docs, id_col, text_col, width, num, den, [c for c in docs.columns if c != text_col])
-    first = out.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("id", "block", "at")).alias("x")).select("x.block", "x.at")
-    stay = first.unionByName(out.filter("n_shingles = 0").select("block", "at")).groupBy("block").agg(F.collect_list("at").alias("stay"))
+    first = out.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct("id", "block", "at")).alias("x")).select("x.block", "x.at")
+    stay = first.unionByName(out.filter("comp IS NULL").select("block", "at")).groupBy("block").agg(F.collect_list("at").alias("stay"))
     schema = docs.schema
 
     def run(batches):
@@ -249,7 +253,7 @@ def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, keep: list[str] | None = None, shard_items: int = 1_500_000) -> tuple[DataFrame, DataFrame]:
-    """The packed blocks, and per document: block, at, id, n_shingles, component_id."""
+    """The packed blocks, and per document: block, at, id, n_shingles, component_id, and comp (a key of its component; null for rows that link with none)."""
     blocks = pack(docs, id_col, text_col, keep=keep)
     raw = blocks.agg(F.coalesce(F.sum("raw"), F.lit(0))).first()[0]
     shards = max(48, math.ceil(raw / 6 * 0.35 / 1_000_000))
@@ -279,6 +283,8 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
     def second(batches):
         for row in rows_of(batches):
             block, sets = block_sets(row)
+            if len(sets) > PLACES:
+                raise ValueError(f"{len(sets)} rows in one block")
             keys, owner = prefixes(sets)
             keys = short(keys)
             distinct = np.unique(keys)
@@ -295,8 +301,8 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
 
     common = settle(count_keys(blocks.mapInArrow(first, KEYS)))
     found = settle(join_notes(blocks, n1=common).mapInArrow(second, "block long, at int, id long, n long, class binary"))
-    # one document stands for each class of equal sets; copies with its id don't matter for links
-    classes = settle(found.filter("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("id", "block", "at")).alias("x")).select("class", "x.*"))
+    # one document stands for each class of equal sets; its place is the key of the class, as ids may be null or repeated
+    classes = settle(found.filter("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("id", "block", "at")).alias("x")).select("class", "x.*", (F.col("x.block") * PLACES + F.col("x.at")).alias("key")))
 
     def third(batches):
         for row in rows_of(batches):
@@ -306,7 +312,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
             at = sorted(row["chosen"])
             sets = shingle_sets([block.text(i) for i in at], width)
             yield pa.RecordBatch.from_pydict({
-                "id": pa.array(block.ids[at], pa.int64()),
+                "id": pa.array([row["block"] * PLACES + i for i in at], pa.int64()),
                 "n": pa.array([len(s) for s in sets], pa.int64()),
                 "items": pa.array([s.tobytes() for s in sets], pa.binary()),
                 "bands": pa.array([_bands(s) for s in sets], pa.list_(pa.int64())),
@@ -421,5 +427,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
         more = settle(pairs.join(one, "a").join(two, "b").filter(near).filter(verified("x", "y")).select("a", "b"))
         links = links.unionByName(more)
         comp = settle(components(links))
-    label = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("class", F.coalesce("component", "id").alias("component_id"))
-    return blocks, found.join(label, "class", "left").select("block", "at", "id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    label = classes.join(comp.withColumnRenamed("node", "key"), "key", "left").select("class", "id", F.coalesce("component", "key").alias("comp"))
+    least = label.groupBy("comp").agg(F.min("id").alias("component_id"))
+    label = label.join(least, "comp").select("class", "comp", "component_id")
+    return blocks, found.join(label, "class", "left").select("block", "at", "id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "comp")
