@@ -95,6 +95,18 @@ def test_sharding_laws(spark):
     assert max(big.values()) >= 30
 
 
+@pytest.mark.parametrize("texts, groups", [(1, 20_000), (3, 20_000), (40, 5)])
+def test_sharding_of_few_texts(spark, texts, groups):
+    """Nearly all rows are copies of few texts: shards start above their room."""
+    docs = [(i, f"t{i % texts}") for i in range(3001)] + [(9000 + i, f"lone{i}") for i in range(5)]
+    rows = balanced_shards(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), groups_in_bucket=groups).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(d for d, _ in docs)
+    count = Counter(r.shard for r in rows)
+    assert set(count) == set(range(8)) and max(count.values()) - min(count.values()) <= 1
+    for s, n in count.items():
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(n))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert best_fit_packing(df, vocabulary()).count() == 0 and balanced_shards(df).count() == 0

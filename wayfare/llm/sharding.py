@@ -6,7 +6,10 @@ the shard that holds most of its copies and asks to move the others there; the
 moves between two shards are granted up to quotas which keep every shard within
 its capacity, so a text with more copies than a shard holds spreads over several.
 Copies of a text in one shard are interchangeable, so a round works on counts of
-copies by (text, shard). At the end documents without links fill the shards up.
+copies by (text, shard). Where shards still hold more than their room after the
+rounds, the copies above it move to shards with room: copies of a shard are in
+order by prefix sums over buckets of texts, so each is told from its rank where
+it goes. At the end documents without links fill the shards up.
 
 Law "rows": the numbers of rows in two shards differ by one at most.
 
@@ -43,6 +46,37 @@ def _quotas(asked: dict[tuple[int, int], int], load: list[int], room: list[int])
     return granted
 
 
+def _refit(state: DataFrame, room: list[int], buckets: int) -> DataFrame:
+    """state (_g, s, n) with the copies above a shard's room moved to shards with room, in order; the state itself if there are none."""
+    shards = len(room)
+    load = [0] * shards
+    for r in state.groupBy("s").agg(F.sum("n").alias("n")).collect():  # a row for each shard
+        load[r["s"]] = r["n"]
+    if all(n <= r for n, r in zip(load, room)):
+        return state
+    # intervals (from, to) of the ranks of shard s that go to shard t
+    free, t, steps = [max(0, r - n) for n, r in zip(load, room)], 0, []
+    for s in range(shards):
+        at = min(load[s], room[s])
+        steps.append((s, 0, at, s))
+        while at < load[s]:
+            while not free[t]:
+                t += 1
+            n = min(free[t], load[s] - at)
+            steps.append((s, at, at + n, t))
+            at, free[t] = at + n, free[t] - n
+    plan = state.sparkSession.createDataFrame(steps, "s int, lo long, hi long, to int")
+    # texts of many copies are last within their buckets, so that they leave and texts of few stay whole
+    rows = state.withColumn("_k", F.pmod(F.xxhash64("_g"), F.lit(buckets)))
+    sums = rows.groupBy("s", "_k").agg(F.sum("n").alias("m"), F.max("n").alias("most"))
+    sums = sums.withColumn("base", F.sum("m").over(Window.partitionBy("s").orderBy("most", "_k")) - F.col("m"))  # a row for each shard and bucket
+    rows = rows.join(sums.select("s", "_k", "base"), ["s", "_k"])
+    end = F.col("base") + F.sum("n").over(Window.partitionBy("s", "_k").orderBy("n", "_g"))
+    rows = rows.withColumn("end", end).join(F.broadcast(plan), "s")  # at most twice the shards
+    part = F.least("end", "hi") - F.greatest(F.col("end") - F.col("n"), "lo")
+    return settle(rows.withColumn("part", part).filter("part > 0").groupBy("_g", F.col("to").alias("s")).agg(F.sum("part").alias("n")))
+
+
 def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text", groups_in_bucket: int = 20_000) -> DataFrame:
     """Per document: id, size, text_crc32, law, shard, slot, grown_shard, n_equal (documents of this text)."""
     text = F.col(text_col).cast("string")
@@ -91,6 +125,7 @@ def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = 6, id_col: s
         )
         split = moves.select("_g", F.explode(F.array(F.struct(F.col("s").alias("s"), (F.col("n") - F.col("go")).alias("n")), F.struct(F.col("to").alias("s"), F.col("go").alias("n")))).alias("x"))
         state = settle(split.select("_g", "x.*").filter("n > 0").groupBy("_g", "s").agg(F.sum("n").alias("n")))
+    state = _refit(state, room, buckets)
     load = [0] * shards
     for r in state.groupBy("s").agg(F.sum("n").alias("n")).collect():
         load[r["s"]] = r["n"]
