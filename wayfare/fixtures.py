@@ -50,14 +50,14 @@ def _pick_sql(values: list[str], index: str) -> str:
 
 
 def _pick(values: list[str], index: str):
-    return F.element_at(F.array(*map(F.lit, values)), F.expr(f"cast(({index.format(d='div')}) % {len(values)} + 1 as int)"))
+    return F.element_at(F.array(*map(F.lit, values)), F.expr(f"cast(pmod({index.format(d='div')}, {len(values)}) + 1 as int)"))
 
 
 #: CTEs nodes, ways and edges for DuckDB; a query goes on with ", name AS (...)" or SELECT.
 SQL = (
     "WITH grid AS (SELECT cast(ceil(sqrt(count(*))) AS bigint) AS w, count(*) AS n FROM part), "
-    "nodes AS (SELECT p_partkey - 1 AS node_id, (p_partkey - 1) % w AS gx, (p_partkey - 1) // w AS gy, -100000 + ((p_partkey - 1) % w) * 1000 AS x_u, "
-    "51500000 + ((p_partkey - 1) // w) * 1000 AS y_u, ((p_partkey - 1) * 7919 + p_size * 131) % 6000 AS elev_cm, p_size, w, n FROM part, grid), "
+    "nodes AS (SELECT p_partkey AS node_id, p_partkey % w AS gx, p_partkey // w AS gy, -100000 + (p_partkey % w) * 1000 AS x_u, "
+    "51500000 + (p_partkey // w) * 1000 AS y_u, (p_partkey * 7919 + p_size * 131) % 6000 AS elev_cm, p_size, w, n FROM part, grid), "
     "tagged_nodes AS (SELECT node_id, gx, gy, x_u, y_u, elev_cm, "
     + ", ".join(f"{_pick_sql(v, i)} AS {c}" for c, (v, i) in NODE_TAGS.items())
     + " FROM nodes), both_ways AS (SELECT node_id AS u, node_id + 1 AS v, node_id * 2 AS way_id, node_id * 2 + p_size AS k, 69000 + ((node_id * 2 + p_size) * 37) % 2000 AS length_mm FROM nodes WHERE gx + 1 < w AND node_id + 1 < n "
@@ -74,7 +74,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """node_id, gx, gy, x_u, y_u, elev_cm and node tags."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
     w = _width(part)
-    base = part.select((F.col("p_partkey") - 1).alias("node_id"), F.col("p_size").cast("long").alias("p_size"))
+    base = part.select(F.col("p_partkey").alias("node_id"), F.col("p_size").cast("long").alias("p_size"))
     base = base.withColumns({"gx": F.expr(f"node_id % {w}"), "gy": F.expr(f"node_id div {w}")})
     base = base.withColumns({"x_u": F.expr("-100000 + gx * 1000"), "y_u": F.expr("51500000 + gy * 1000"), "elev_cm": F.expr("(node_id * 7919 + p_size * 131) % 6000")})
     return base.withColumns({c: _pick(v, i) for c, (v, i) in NODE_TAGS.items()}).drop("p_size")
@@ -90,7 +90,7 @@ def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Undirected streets with their tags: two for each grid point where the neighbour exists."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
     w, n = _width(part), part.count()
-    base = part.select((F.col("p_partkey") - 1).alias("u"), F.col("p_size").cast("long").alias("p_size"), F.explode(F.array(F.lit(0), F.lit(1))).alias("south"))
+    base = part.select(F.col("p_partkey").alias("u"), F.col("p_size").cast("long").alias("p_size"), F.explode(F.array(F.lit(0), F.lit(1))).alias("south"))
     base = base.withColumn("v", F.expr(f"u + if(south = 1, {w}, 1)")).filter(f"v < {n} AND (south = 1 OR u % {w} + 1 < {w})")
     base = base.withColumns({"way_id": F.expr("u * 2 + south"), "k": F.expr("u * 2 + south + p_size")})
     base = base.withColumn("length_mm", F.expr("if(south = 1, 111000 + (k * 53) % 2000, 69000 + (k * 37) % 2000)"))
