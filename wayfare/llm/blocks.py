@@ -6,12 +6,16 @@ table that is bucketed by block lets each pass join its notes (a few bytes for
 a text) to the texts without moving the texts through a shuffle again.
 
 A block row: block long, raw long (bytes of text), ids binary (int64), sizes
-binary (int64, -1 for a null text), data binary (zstd of the UTF-8 texts), rest
-binary (zstd of an Arrow stream with further columns of the same rows, or null).
+binary (int64, -1 for a null text), marks binary (16 bytes of digest a text),
+data binary (zstd of the UTF-8 texts), rest binary (zstd of an Arrow stream with
+further columns of the same rows, or null).
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -22,12 +26,46 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.session import ship
+from wayfare.session import settle, ship
 
-SCHEMA = "block long, raw long, ids binary, sizes binary, data binary, rest binary"
+SCHEMA = "block long, raw long, ids binary, sizes binary, marks binary, data binary, rest binary"
 #: Stands for a null id inside blocks; it sorts after every other id.
 NULL_ID = np.iinfo(np.int64).max
+MARK = 16
 _tables: dict[str, list[str]] = {}
+#: What this worker keeps from task to task, for one operator at a time.
+_kept: dict[str, dict] = {}
+
+
+def kept(operator: str) -> dict:
+    """This worker's cache for an operator; what other operators left there is given back."""
+    if operator not in _kept:
+        _kept.clear()
+        tidy()
+        _kept[operator] = {}
+    return _kept[operator]
+
+
+def tidy() -> None:
+    """Give memory that is free inside this process back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
+def tidied(run):
+    """A function of batches that gives its free memory back when a task ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return wrapped
 
 
 def squeeze(data: bytes, level: int = 3) -> bytes:
@@ -82,10 +120,11 @@ def _packer(block_bytes: int):
                         "raw": [len(raw)],
                         "ids": [ids[a:b].tobytes()],
                         "sizes": [np.where(nulls[a:b], -1, sizes[a:b]).tobytes()],
+                        "marks": [b"".join(hashlib.blake2b(data[x:y], digest_size=MARK).digest() for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist()))],
                         "data": [squeeze(raw)],
                         "rest": [_stream([c.slice(a, b - a) for c in batch.columns[2:]], batch.schema.names[2:])],
                     },
-                    pa.schema([("block", pa.int64()), ("raw", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary()), ("rest", pa.binary())]),
+                    pa.schema([("block", pa.int64()), ("raw", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("marks", pa.binary()), ("data", pa.binary()), ("rest", pa.binary())]),
                 )
                 number += 1
 
@@ -104,15 +143,27 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_
     name = f"blocks_{uuid.uuid4().hex}"
     # with fewer buckets than shuffle partitions Spark would deal the blocks anew in each join
     buckets = min(20_000, max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    rows.mapInArrow(_packer(block_bytes), SCHEMA).write.bucketBy(buckets, "block").option("compression", "none").saveAsTable(name)
+    rows.mapInArrow(tidied(_packer(block_bytes)), SCHEMA).write.bucketBy(buckets, "block").option("compression", "none").saveAsTable(name)
     _tables.setdefault(spark.sparkContext.applicationId, []).append(name)
     return spark.table(name)
 
 
-def release(spark: SparkSession) -> None:
-    """Drop the tables that pack() has written in this application."""
-    for name in _tables.pop(spark.sparkContext.applicationId, []):
+def release(spark: SparkSession, names: list[str] | None = None) -> None:
+    """Drop tables that pack() has written in this application: those named, or all."""
+    own = _tables.get(spark.sparkContext.applicationId, [])
+    for name in list(own) if names is None else names:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        if name in own:
+            own.remove(name)
+
+
+def finished(spark: SparkSession, build) -> DataFrame:
+    """build() written to the shared folder, without the tables that it packed on the way; for small results."""
+    before = set(_tables.get(spark.sparkContext.applicationId, []))
+    try:
+        return settle(build())
+    finally:
+        release(spark, [x for x in _tables.get(spark.sparkContext.applicationId, []) if x not in before])
 
 
 class Block:

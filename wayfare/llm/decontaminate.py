@@ -33,6 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfare.llm.blocks import tidied
 from wayfare.session import settle, ship
 
 WORD = re.compile(r"\w+")
@@ -218,7 +219,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     cols = list(zip(*found))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0])), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:])], names=["id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        found = rows.mapInArrow(run, schema)
+        found = rows.mapInArrow(tidied(run), schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("id", id_col)
 
@@ -238,5 +239,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     clean.append(not any(at.match(words, threshold, overlap) for at in index.value))
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidied(run), docs.schema)
     return docs

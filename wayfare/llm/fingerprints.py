@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.blocks import NULL_ID
+from wayfare.llm.blocks import NULL_ID, tidied
 from wayfare.llm.jaccard_join import shingle_set
 from wayfare.llm.repeats import U, grams, mix, words_in
 from wayfare.operators.components import components
@@ -146,7 +146,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     ids.append(k[i])
 
     schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return dealt.mapInArrow(tidied(run), schema).withColumnRenamed("id", id_col)
 
 
 def _range_of(edges: list[int]):

@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.blocks import NULL_ID, Block, expand, pack, squeeze
+from wayfare.llm.blocks import NULL_ID, Block, expand, pack, squeeze, tidied, tidy
 from wayfare.llm.repeats import KEYS, U, count_keys, grams, join_notes, key_batch, mix, read_notes, rows_of, short, words_in
 from wayfare.operators.components import components
 from wayfare.session import settle
@@ -179,6 +179,8 @@ def _hub_links(rows: DataFrame, num: int, den: int) -> DataFrame:
         need = [least_overlap(len(s), num, den) for s in sets]
         found = search_lists(sets, np.flatnonzero(pdf["hub"].to_numpy()).tolist(), need)
         pairs = [(ids[q], ids[o]) for q, o, n in found if linked(len(sets[q]), len(sets[o]), n, num, den)]
+        del sets, found
+        tidy()
         return pd.DataFrame({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}, dtype="int64")
 
     return rows.groupBy("shard").applyInPandas(run, "a long, b long")
@@ -221,6 +223,8 @@ def _segment_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
             if lone[q] is None or lone[q] != lone[o]:
                 check(*sorted((members[q], members[o]), key=len), shared)
         pairs = np.unique(np.concatenate([np.empty((2, 0), np.int64), *found], axis=1), axis=1)
+        del sets, members, bits
+        tidy()
         return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
 
     return rows.groupBy("shard").applyInPandas(run, "a long, b long")
@@ -249,7 +253,7 @@ def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([texts if f.name == text_col else next(rest) for f in schema.fields], names=[f"c{i}" for i in range(len(schema.fields))])
 
     fields = ", ".join(f"c{i} {f.dataType.simpleString() if f.name != text_col else 'string'}" for i, f in enumerate(schema.fields))
-    return blocks.join(stay, "block").mapInArrow(run, fields).toDF(*docs.columns)
+    return blocks.join(stay, "block").mapInArrow(tidied(run), fields).toDF(*docs.columns)
 
 
 def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, keep: list[str] | None = None, shard_items: int = 1_500_000) -> tuple[DataFrame, DataFrame]:
@@ -299,8 +303,8 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
                 "class": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) and c >= _needed(len(s), num, den) else None for s, c in zip(sets, count)], pa.binary()),
             })
 
-    common = settle(count_keys(blocks.mapInArrow(first, KEYS)))
-    found = settle(join_notes(blocks, n1=common).mapInArrow(second, "block long, at int, id long, n long, class binary"))
+    common = settle(count_keys(blocks.mapInArrow(tidied(first), KEYS)))
+    found = settle(join_notes(blocks, n1=common).mapInArrow(tidied(second), "block long, at int, id long, n long, class binary"))
     # one document stands for each class of equal sets; its place is the key of the class, as ids may be null or repeated
     classes = settle(found.filter("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("id", "block", "at")).alias("x")).select("class", "x.*", (F.col("x.block") * PLACES + F.col("x.at")).alias("key")))
 
@@ -319,7 +323,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
             })
 
     chosen = classes.groupBy("block").agg(F.collect_list("at").alias("chosen"))
-    sets = settle(blocks.join(chosen, "block").mapInArrow(third, "id long, n long, items binary, bands array<long>"))
+    sets = settle(blocks.join(chosen, "block").mapInArrow(tidied(third), "id long, n long, items binary, bands array<long>"))
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     # hub search
@@ -379,7 +383,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
         ends = np.r_[start[1:], len(picked)]
         return pd.DataFrame({"id": ids[owners], "keys": [keys[picked[x:y]].tobytes() for x, y in zip(start, ends)], "often": [often[x:y].astype(np.int64).tobytes() for x, y in zip(start, ends)]})
 
-    dealt = labelled.mapInArrow(deal, "shard int, ids binary, comps binary, counts binary, keys binary")
+    dealt = labelled.mapInArrow(tidied(deal), "shard int, ids binary, comps binary, counts binary, keys binary")
     partial = dealt.groupBy("shard").applyInPandas(across, "id long, keys binary, often binary")
     counted = partial.withColumn("m", (F.length("keys") / 8).cast("long"))
     rest = counted.groupBy("id").agg(F.sum("m").alias("m"), F.collect_list("keys").alias("keys"), F.collect_list("often").alias("often"))
@@ -411,7 +415,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
                     m = len(out)
                     yield pa.RecordBatch.from_pydict({"shard": pa.array([x[0] for x in out], pa.int32()), "id": pa.array([row["id"]] * m, pa.int64()), "comp": pa.array([row["comp"]] * m, pa.int64()), "n": pa.array([len(whole)] * m, pa.int64()), "parity": pa.array([parity(whole)] * m, pa.binary()), "size": pa.array([x[1] for x in out], pa.int32()), "items": pa.array([x[2] for x in out], pa.binary())})
 
-        pairs = _segment_pairs(rest.mapInArrow(route, "shard int, id long, comp long, n long, parity binary, size int, items binary"), num, den).distinct()
+        pairs = _segment_pairs(rest.mapInArrow(tidied(route), "shard int, id long, comp long, n long, parity binary, size int, items binary"), num, den).distinct()
 
         @F.pandas_udf("boolean")
         def verified(x: pd.Series, y: pd.Series) -> pd.Series:

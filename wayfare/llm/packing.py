@@ -31,11 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfare.llm.blocks import NULL_ID, ids_of
+from wayfare.llm.blocks import NULL_ID, ids_of, kept, tidied
 from wayfare.session import settle, ship
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
-_encoders: dict[int, "Encoder"] = {}
 
 
 class Encoder:
@@ -46,7 +45,7 @@ class Encoder:
     other white space beside a space are encoded whole.
     """
 
-    KEEP, SLICE = 250_000, 2_000
+    KEEP, KEEP_CHARS, SLICE = 150_000, 8 << 20, 2_000
     #: Fixed value: how byte-level BPE cuts a text into pre-tokens.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -57,6 +56,7 @@ class Encoder:
         self.model.encode_special_tokens = True
         self.inner: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        self.chars = 0
         self.fast = None
         if ranks is not None:
             import tiktoken
@@ -78,17 +78,20 @@ class Encoder:
         return [array("I", self.fast.encode_ordinary(t)).tobytes() for t in texts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.inner) + len(self.first) > self.KEEP:
+        if len(self.inner) + len(self.first) > self.KEEP or self.chars > self.KEEP_CHARS:
             self.inner.clear()
             self.first.clear()
+            self.chars = 0
         split = [None if _mixed(t) else t.split(" ") for t in texts]
         new = {s for own in split if own for s in own[1:]}.difference(self.inner)
         if new:
             new = list(new)
+            self.chars += sum(map(len, new))
             self.inner.update(zip(new, self._raw([" " + s for s in new])))
         new = {own[0] for own in split if own}.difference(self.first)
         if new:
             new = list(new)
+            self.chars += sum(map(len, new))
             self.first.update(zip(new, self._raw(new)))
         whole = iter(self._raw([t for t, own in zip(texts, split) if own is None]))
         get = self.inner.__getitem__
@@ -117,7 +120,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = zlib.crc32(model.value[0].encode())
-        encoder = _encoders.get(key) or _encoders.setdefault(key, Encoder(*model.value))
+        own = kept("packing")
+        encoder = own.get(key) or own.setdefault(key, Encoder(*model.value))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids = ids_of(batch.column(0))
@@ -138,7 +142,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             got = pa.array(out[0], pa.int64(), mask=np.array(out[0], np.int64) == NULL_ID)
             yield pa.RecordBatch.from_arrays([got, pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:])], names=["id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, PIECES).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidied(run), PIECES).withColumnRenamed("id", id_col)
 
 
 def fill(counts: dict[int, int], capacity: int = 1024, max_docs: int = 1024, max_attention: int = 1024 * 1024, rule: str = "dot") -> list[tuple[int, list[tuple[int, int]]]]:

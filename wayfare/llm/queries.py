@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wayfare.llm.blocks import finished
 from wayfare.llm.decontaminate import contamination
 from wayfare.llm.fingerprints import neighbours
 from wayfare.llm.html_extract import html_extract
@@ -27,11 +28,11 @@ def vocabulary() -> dict[str, str]:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents"), length=13)
+    return finished(spark, lambda: substring_dedup(table(spark, sf_dir, "documents"), length=13))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), width=5, num=80, den=100)
+    return finished(spark, lambda: jaccard_components(table(spark, sf_dir, "documents"), width=5, num=80, den=100))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_array_dedup(table(spark, sf_dir, "documents"), length=50)
+    return finished(spark, lambda: suffix_array_dedup(table(spark, sf_dir, "documents"), length=50))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ one of its windows, the smallest id of a text in which the same window starts.
 The work is dealt by content, so that it grows with the corpus and not with
 pairs of texts:
 
+0. Of equal texts, only those of the smallest id are searched: another's windows
+   all start in that one. Equal texts meet by a digest of 128 bits.
 1. Every window has a key, the least hash of its k-unit grams. Equal windows
    have equal keys, so a key that one text alone holds rules its windows out.
    Keys are counted over all texts, pre-aggregated within each block.
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.blocks import Block, expand, pack, squeeze
+from wayfare.llm.blocks import MARK, Block, expand, pack, squeeze, tidied, tidy
 from wayfare.session import settle
 
 U = np.uint64
@@ -145,10 +147,13 @@ class Units:
 class Windows:
     """Windows of a block: start, key and owner of each, in order of start."""
 
-    def __init__(self, units: Units, length: int, gram: int):
+    def __init__(self, units: Units, length: int, gram: int, skip: np.ndarray | None = None):
+        """skip: bool of each text whose windows are left out."""
         self.units, self.length, self.gram = units, length, gram
         n = max(0, units.size - length + 1)
         self.start = np.flatnonzero(units.owner[:n] == units.owner[length - 1 :]) if n else np.empty(0, np.int64)
+        if skip is not None and skip.any():
+            self.start = self.start[~skip[units.owner[self.start]]]
         self.key = self._all(self._key)[self.start]
         self.owner = units.owner[self.start]
 
@@ -197,9 +202,11 @@ def short(keys: np.ndarray) -> np.ndarray:
 
 def by_shard(keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
     """(shard, from, to) for ascending short keys; shards are ranges of them."""
-    edge = (np.arange(shards + 1, dtype=np.float64) / shards * 2.0**KEY_BITS).astype(U)
-    cut = np.searchsorted(keys, edge).tolist()
-    return [(s, a, b) for s, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+    if not len(keys):
+        return []
+    shard = np.minimum((keys.astype(np.float64) * (shards / 2.0**KEY_BITS)).astype(np.int64), shards - 1)
+    head = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+    return list(zip(shard[head].tolist(), head.tolist(), [*head[1:].tolist(), len(keys)]))
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -267,8 +274,48 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
 
 
+MARKED = pa.schema([("mark", pa.binary()), ("block", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("at", pa.binary())])
+
+
+def later_copies(blocks: DataFrame) -> DataFrame:
+    """Per block, n0: array of (least, at): places of texts that equal others, and the least id among those."""
+
+    def marks(batches):
+        for row in rows_of(batches):
+            ids = np.frombuffer(row["ids"], np.int64)
+            mark = np.frombuffer(row["marks"], f"V{MARK}")
+            _, place = np.unique(mark.view([("a", "<u8"), ("b", "<u8")]), return_inverse=True)
+            order = np.argsort(place, kind="stable")
+            head = np.flatnonzero(np.r_[True, place[order][1:] != place[order][:-1]]) if len(order) else order
+            ends = np.r_[head[1:], len(order)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([bytes(mark[order[a]]) for a in head.tolist()], pa.binary()),
+                    pa.array(np.full(len(head), row["block"]), pa.int64()),
+                    pa.array(np.minimum.reduceat(ids[order], head) if len(head) else ids, pa.int64()),
+                    pa.array(np.maximum.reduceat(ids[order], head) if len(head) else ids, pa.int64()),
+                    pa.array([order[a:b].astype(np.int32).tobytes() for a, b in zip(head.tolist(), ends.tolist())], pa.binary()),
+                ],
+                schema=MARKED,
+            )
+
+    rows = settle(blocks.select("block", "ids", "marks").mapInArrow(marks, "mark binary, block long, low long, high long, at binary"))
+    groups = rows.groupBy("mark").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most").select("mark", "least")
+    return rows.join(groups, "mark").filter("high > least").groupBy("block").agg(F.collect_list(F.struct("least", "at")).alias("n0"))
+
+
+def is_later(row: dict) -> np.ndarray:
+    """bool of each text of a block: whether an equal text has a smaller id."""
+    ids = np.frombuffer(row["ids"], np.int64)
+    out = np.zeros(len(ids), bool)
+    for x in row["n0"] or []:
+        at = np.frombuffer(x["at"], np.int32)
+        out[at] = ids[at] > x["least"]
+    return out
+
+
 class Search:
-    """Steps 1 to 4 for one kind of units.
+    """Steps 0 to 4 for one kind of units.
 
     kernel(contexts, smallest, length) gets the distinct contexts of a shard
     (bytes) and the smallest id that holds each, and returns one int64 array:
@@ -280,23 +327,24 @@ class Search:
         self.key_shard, self.context_shard = key_shard, context_shard
 
     def start(self, docs: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
-        """Pack docs, run steps 1 to 3, return blocks with all their notes."""
+        """Pack docs, run steps 0 to 3, return blocks with all their notes."""
         blocks = pack(docs, id_col, text_col, keep=keep)
+        blocks = blocks.join(settle(later_copies(blocks)), "block", "left")
         raw = blocks.agg(F.coalesce(F.sum("raw"), F.lit(0))).first()[0]
         units = raw / (6 if self.kind == "words" else 1)
         self.s1 = max(48, math.ceil(units * 2 / (self.length - self.gram + 2) / self.key_shard))
         self.s2 = max(48, math.ceil(raw / self.context_shard))
-        common = settle(count_keys(blocks.mapInArrow(self._keys(), KEYS)))
+        common = settle(count_keys(blocks.mapInArrow(tidied(self._keys()), KEYS)))
         noted = join_notes(blocks, n1=common)
-        exact = settle(count_keys(noted.mapInArrow(self._whole(), KEYS)))
+        exact = settle(count_keys(noted.mapInArrow(tidied(self._whole()), KEYS)))
         noted = join_notes(blocks, n1=common, n2=exact)
-        answers = settle(self._answer(noted.mapInArrow(self._contexts(), "shard int, block long, sizes binary, smallest binary, data binary")))
+        answers = settle(self._answer(noted.mapInArrow(tidied(self._contexts()), "shard int, block long, sizes binary, smallest binary, data binary")))
         return join_notes(blocks, n1=common, n2=exact, n3=answers)
 
     def _keys(self):
         def run(batches):
             for row in rows_of(batches):
-                w = Windows(Units(Block(row), self.kind), self.length, self.gram)
+                w = Windows(Units(Block(row), self.kind), self.length, self.gram, is_later(row))
                 yield key_batch(row["block"], *tally(short(w.key), w.owner), self.s1)
 
         return run
@@ -315,7 +363,7 @@ class Search:
     def _whole(self):
         def run(batches):
             for row in rows_of(batches):
-                w = Windows(Units(Block(row), self.kind), self.length, self.gram)
+                w = Windows(Units(Block(row), self.kind), self.length, self.gram, is_later(row))
                 _, asked = self._asked(row, w)
                 yield key_batch(row["block"], *tally(short(w.whole(asked)) if asked.any() else w.key[:0], w.owner[asked]), self.s1)
 
@@ -347,7 +395,7 @@ class Search:
     def _contexts(self):
         def run(batches):
             for row in rows_of(batches):
-                w = Windows(Units(Block(row), self.kind), self.length, self.gram)
+                w = Windows(Units(Block(row), self.kind), self.length, self.gram, is_later(row))
                 known, owner, _, which = self._runs(row, w)
                 if not known:
                     continue
@@ -391,6 +439,8 @@ class Search:
             size = np.array([windows(x) for x in texts])
             base = np.cumsum(size) - size
             payload = [squeeze(first[np.repeat(base[own], size[own]) + _ranges(size[own])].tobytes()) for own in each]
+            del texts, first
+            tidy()
             return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "payload": payload})
 
         return rows.groupBy("shard").applyInPandas(run, NOTE)
@@ -398,7 +448,8 @@ class Search:
     def covered(self, row: dict) -> tuple[Units, np.ndarray, np.ndarray]:
         """Units of a block, which of them an earlier text's window covers, and the windows' own verdicts' count."""
         units = Units(Block(row), self.kind)
-        w = Windows(units, self.length, self.gram)
+        later = is_later(row)
+        w = Windows(units, self.length, self.gram, later)
         known, owner, runs, which = self._runs(row, w)
         edge = np.zeros(units.size + 1, np.int32)
         if known:
@@ -419,7 +470,10 @@ class Search:
             hit = (np.repeat(starts, size) + step)[earlier]
             edge += np.bincount(hit, minlength=len(edge)).astype(np.int32)
             edge -= np.bincount(hit + self.length, minlength=len(edge)).astype(np.int32)
-        return units, np.cumsum(edge[:-1]) > 0
+        gone = np.cumsum(edge[:-1]) > 0
+        for i in np.flatnonzero(later & (np.diff(units.bounds) >= self.length)).tolist():
+            gone[units.bounds[i] : units.bounds[i + 1]] = True
+        return units, gone
 
 
 def _ranges(sizes: np.ndarray) -> np.ndarray:

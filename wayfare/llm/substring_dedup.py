@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.blocks import NULL_ID
+from wayfare.llm.blocks import NULL_ID, tidied
 from wayfare.llm.repeats import Search, Units, rows_of
 
 
@@ -120,7 +120,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
             })
 
-    return noted.mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)
+    return noted.mapInArrow(tidied(run), "id long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def _kept(units: Units, gone: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
@@ -153,7 +153,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield batch.filter(pa.array([bool(k) or not n for k, n in zip(kept, removed)]))
 
     fields = ", ".join(f"c{i} {f.dataType.simpleString() if f.name != text_col else 'string'}" for i, f in enumerate(schema.fields)) + f", c{len(schema.fields)} boolean"
-    out = noted.mapInArrow(run, fields)
+    out = noted.mapInArrow(tidied(run), fields)
     changed = F.col(f"c{len(schema.fields)}")
     text = F.col(f"c{docs.columns.index(text_col)}")
     return out.select(*[(F.when(changed, F.length(text)).otherwise(F.col(f"c{i}")).cast(f.dataType) if f.name == length_col else F.col(f"c{i}")).alias(f.name) for i, f in enumerate(schema.fields)])

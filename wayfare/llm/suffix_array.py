@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wayfare.llm.blocks import NULL_ID
+from wayfare.llm.blocks import NULL_ID, tidied
 from wayfare.llm.repeats import Search, rows_of
 
 U = np.uint64
@@ -165,4 +165,4 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_pydict(out)
 
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
-    return noted.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return noted.mapInArrow(tidied(run), schema).withColumnRenamed("id", id_col)

@@ -11,13 +11,18 @@ Nystroem: these values are multiplied by the inverse root of the landmarks'
 kernel matrix. A linear squared-hinge machine on the result is calibrated to a
 probability.
 
+A text's value is the best of its words, not a sum over the whole text, and
+small values are cut, so the text values are features of a kernel machine and
+not themselves a kernel between texts.
+
 Training reads at most `train_rows` labelled texts, the ones of least hash.
 Statistics on words, landmarks and the machine come from those; every text is
 scored whole.
 
 Defined results: null and empty texts get the score of a text without insults;
 labels that are null are ignored; without two classes every score is 0; repeated
-rows are scored each; held-out rows are those whose crc32(id) mod folds is 0.
+rows are scored each; a text with several labels trains once with each;
+held-out rows are those whose crc32(id) mod folds is 0.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfare.llm.blocks import kept, tidied
 from wayfare.session import settle, ship
 
 DECAY, SPAN, FLOOR, LONGEST = 0.6, 6, 0.45, 24
@@ -40,9 +46,6 @@ ALPHABET, START = 32, 31
 #: Signs that stand for letters inside words.
 SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-#: The worker's describer, kept from task to task for the same landmarks.
-_describers: dict[tuple[bytes, ...], "Describer"] = {}
-
 
 _CODE = bytes.maketrans(bytes(range(97, 123)), bytes(range(26)))
 
@@ -84,6 +87,17 @@ def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, (DECAY ** (at[:, 2] - at[:, 0] + 1)).astype(np.float32)
 
 
+def features(z: bytes) -> dict[int, float]:
+    """A string's weight for each triple of letters, of length 1 together; the dot product of two strings is their normalised kernel."""
+    out: dict[int, float] = {}
+    at, w = _triples(len(z))
+    for (i, j, k), x in zip(at.tolist(), w.tolist()):
+        key = (z[i] * ALPHABET + z[j]) * ALPHABET + z[k]
+        out[key] = out.get(key, 0.0) + x
+    size = sum(x * x for x in out.values()) ** 0.5
+    return {k: x / size for k, x in out.items()}
+
+
 class Kernel:
     """Kernel values of strings against landmarks, as shares of the landmarks' own."""
 
@@ -143,19 +157,21 @@ class Kernel:
 
 
 class Describer:
-    """Best kernel value of a text's words for each landmark. Words that are near no landmark are remembered as such."""
+    """Best kernel value of a text's words for each landmark. Words that are near no landmark are remembered as such, up to some MB of them."""
 
-    KEEP = 400_000
+    KEEP, KEEP_CHARS = 200_000, 8 << 20
 
     def __init__(self, landmarks: list[bytes]):
         self.kernel = Kernel(landmarks)
         self.known: dict[str, int] = {}
         self.rows: list[np.ndarray] = []
+        self.chars = 0
 
     def describe(self, texts: list[str | None]) -> np.ndarray:
-        if len(self.known) > self.KEEP:
+        if len(self.known) > self.KEEP or self.chars > self.KEEP_CHARS:
             self.known.clear()
             self.rows.clear()
+            self.chars = 0
         own = [tokens(t) for t in texts]
         new = list(set().union(*own).difference(self.known)) if own else []
         if new:
@@ -163,6 +179,7 @@ class Describer:
             value = self.kernel.values(plain)
             near = value.any(axis=1)
             self.known.update(dict.fromkeys(new, -1))
+            self.chars += sum(map(len, new))
             for i in np.flatnonzero(near).tolist():
                 self.known[new[i]] = len(self.rows)
                 self.rows.append(value[i])
@@ -176,11 +193,12 @@ class Describer:
 
 
 def describer(landmarks: list[bytes]) -> Describer:
-    key = tuple(landmarks)
-    if key not in _describers:
-        _describers.clear()
-        _describers[key] = Describer(landmarks)
-    return _describers[key]
+    """The worker's describer, kept from task to task for the same landmarks."""
+    own, key = kept("toxicity"), tuple(landmarks)
+    if key not in own:
+        own.clear()
+        own[key] = Describer(landmarks)
+    return own[key]
 
 
 def beginnings(text: str | None) -> set[bytes]:
@@ -195,19 +213,20 @@ def beginnings(text: str | None) -> set[bytes]:
 
 
 def choose_landmarks(stats: list[tuple[bytes, int, int]], positives: int, negatives: int, most: int = 48) -> list[bytes]:
-    """Strings that mark toxic texts, the surest first, none too close to one chosen before. stats: (string, toxic texts, others)."""
+    """At most `most` strings that mark toxic texts, the surest first, none too close to one chosen before. stats: (string, toxic texts, others)."""
     scored = []
     for word, pos, neg in stats:
         p, q = (pos + 0.5) / (positives + 1), (neg + 0.5) / (negatives + 1)
         if pos >= 2 and p > 4 * q:
             scored.append((pos * np.log(p / q), len(word), word))
-    chosen: list[bytes] = []
-    for _, _, word in sorted(scored, reverse=True)[:3000]:
+    chosen: dict[bytes, dict[int, float]] = {}
+    for _, _, word in sorted(scored, reverse=True):
         if len(chosen) == most:
             break
-        if not chosen or Kernel(chosen + [word]).gram()[-1, :-1].max() < 0.7:
-            chosen.append(word)
-    return chosen
+        own = features(word)
+        if all(sum(x * other.get(k, 0.0) for k, x in own.items()) < 0.7 for other in chosen.values()):
+            chosen[word] = own
+    return list(chosen)
 
 
 def fit(x: np.ndarray, y: np.ndarray, cost: float = 1.0) -> tuple[np.ndarray, float]:
@@ -264,7 +283,7 @@ def _described(rows: DataFrame, landmarks: list[bytes]) -> DataFrame:
             x = d.describe(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "x"])
 
-    return rows.mapInArrow(run, "y int, x binary")
+    return rows.mapInArrow(tidied(run), "y int, x binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, train_rows: int = 20_000) -> Model | None:
@@ -288,11 +307,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                         seen[w] = seen.get(w, 0) + 1
             yield pa.RecordBatch.from_pydict({"w": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
 
-        return rows.filter(F.col("y") == y).mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+        return rows.filter(F.col("y") == y).mapInArrow(tidied(run), "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
-    # candidates: strings of enough toxic training texts, at most 20,000
+    # candidates: strings of one in 200 toxic training texts or more; train_rows bounds their number
     least = max(2, count[1] // 200)
-    toxic = {bytes(r["w"]): r["n"] for r in counted(1).filter(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(20_000).collect()}
+    toxic = {bytes(r["w"]): r["n"] for r in counted(1).filter(F.col("n") >= least).collect()}
     clean = {bytes(r["w"]): r["n"] for r in counted(0, frozenset(toxic)).collect()}
     landmarks = choose_landmarks([(w, n, clean.get(w, 0)) for w, n in toxic.items()], count[1], count[0])
     if not landmarks:
@@ -327,7 +346,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             score = _scores(model, batch.column(2))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidied(run), f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, train_rows: int = 20_000) -> DataFrame:
@@ -339,4 +358,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         for batch in batches:
             yield batch.filter(pa.array(_scores(model, batch.column(text_at)) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
