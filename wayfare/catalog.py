@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from wayfare.workloads import live, network, paths, reports, spatial
+from wayfare.workloads import live, network, paths, reports, requests, spatial
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (network, paths, spatial, live, reports):
+for _part in (network, paths, spatial, live, reports, requests):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
 

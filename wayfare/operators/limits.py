@@ -1,0 +1,67 @@
+"""Rate limits as stateful streams: what a key has left depends on what it was granted before.
+
+State is one short array of times for each key, at most as long as the limit,
+so a busy key costs time but no memory.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayfare.session import shared_folder, ship
+
+
+def _stateful(spark: SparkSession, sf_dir: str, key: str, types: tuple[str, ...] | None, step: Callable) -> DataFrame:
+    """The events table as a stream through step, one state for each key; event_id, key, allowed."""
+    ship(spark)
+    where = f"{shared_folder(spark)}/limits-{uuid.uuid4().hex}"
+    shape = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    rows = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    rows = rows.filter(F.col("event_type").isin(*types)) if types else rows
+    second = F.expr("timestampdiff(SECOND, timestamp_ntz '1970-01-01 00:00:00', cast(ts AS timestamp_ntz))")
+    rows = rows.select(F.col(key).cast("long").alias("key"), "event_id", "event_type", second.alias("second"))
+
+    def run(own: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        kept, until = state.get if state.exists else ([], 0)
+        pdf = pd.concat(list(parts)).sort_values(["second", "event_id"])
+        kept, allowed = list(kept), []
+        for t, kind in zip(pdf["second"].tolist(), pdf["event_type"].tolist()):
+            kept, until, ok = step(kept, until, t, kind)
+            allowed.append(ok)
+        state.update((kept, until))
+        yield pd.DataFrame({"event_id": pdf["event_id"], "key": own[0], "allowed": allowed})
+
+    out = rows.groupBy("key").applyInPandasWithState(run, "event_id long, key long, allowed boolean", "kept array<long>, until long", "append", "NoTimeout")
+    q = out.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{where}/out").select("event_id", F.col("key").alias(key), "allowed")
+
+
+def budget_stream(spark: SparkSession, sf_dir: str, key: str, window_s: int, limit: int) -> DataFrame:
+    """Hits of a key: allowed while fewer than limit allowed ones lie in the window before."""
+
+    def step(kept, until, t, kind):
+        kept = [x for x in kept if x > t - window_s]
+        ok = len(kept) < limit
+        return kept + [t] if ok else kept, until, ok
+
+    return _stateful(spark, sf_dir, key, None, step)
+
+
+def lockout_stream(spark: SparkSession, sf_dir: str, window_s: int, failures: int, lock_s: int) -> DataFrame:
+    """Attempts and failures of a user: the failure that fills the window locks for lock_s and clears the count."""
+
+    def step(kept, until, t, kind):
+        ok = until <= t
+        if kind == "error":
+            kept = [x for x in kept if x > t - window_s] + [t]
+            if len(kept) >= failures:
+                kept, until = [], t + lock_s
+        return kept, until, ok
+
+    return _stateful(spark, sf_dir, "user_id", ("error", "click"), step)
