@@ -7,10 +7,11 @@ in every cell that their box touches.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions.geo import along, cell, point_segment
+from wayfare.session import settle
 
 
 def _cells(lo_x: Column, hi_x: Column, lo_y: Column, hi_y: Column, size: int) -> Column:
@@ -38,12 +39,9 @@ def points_near_segments(points: DataFrame, segments: DataFrame, reach: int, px:
 
 def nearest(pairs: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Of each key's candidates the first in order; ties need further columns in order."""
-    return pairs.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_r = 1").drop("_r")
-
-
-def overlap_share(lo: Column, hi: Column, other_lo: Column, other_hi: Column) -> Column:
-    """Share of the interval lo-hi that the other covers."""
-    return F.greatest(F.lit(0), F.least(hi, other_hi) - F.greatest(lo, other_lo)) / F.greatest(hi - lo, F.lit(1))
+    rest = [c for c in pairs.columns if c not in (key, *order)]
+    best = pairs.groupBy(key).agg(F.min_by(F.struct(*order, *rest), F.struct(*order)).alias("_x"))  # combines before the shuffle
+    return best.select(key, "_x.*").select(*pairs.columns)
 
 
 def segment_in_box_share(ux: Column, uy: Column, vx: Column, vy: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
@@ -57,3 +55,61 @@ def segment_in_box_share(ux: Column, uy: Column, vx: Column, vy: Column, x0: Col
 
     (ex, lx), (ey, ly) = axis(ux, vx, x0, x1), axis(uy, vy, y0, y1)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), lx, ly) - F.greatest(F.lit(0.0), ex, ey))
+
+
+def segments_near_segments(a: DataFrame, b: DataFrame, reach: int, size: int = 1000) -> DataFrame:
+    """Pairs of segments (a: ax, ay, bx, by; b: ux, uy, vx, vy) at distance up to reach; each pair once."""
+    box_a = _cells(F.least("ax", "bx") - reach, F.greatest("ax", "bx") + reach, F.least("ay", "by") - reach, F.greatest("ay", "by") + reach, size)
+    box_b = _cells(F.least("ux", "vx"), F.greatest("ux", "vx"), F.least("uy", "vy"), F.greatest("uy", "vy"), size)
+    pairs = a.withColumn("_c", box_a).select("*", "_c.cx", "_c.cy").drop("_c").join(b.withColumn("_c", box_b).select("*", "_c.cx", "_c.cy").drop("_c"), ["cx", "cy"]).drop("cx", "cy").distinct()
+    ax, ay, bx, by, ux, uy, vx, vy = [F.col(c).cast("double") for c in ("ax", "ay", "bx", "by", "ux", "uy", "vx", "vy")]
+    side = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (qy - py) * (rx - px)
+    cross = (side(ax, ay, bx, by, ux, uy) * side(ax, ay, bx, by, vx, vy) < 0) & (side(ux, uy, vx, vy, ax, ay) * side(ux, uy, vx, vy, bx, by) < 0)
+    ends = F.least(point_segment(ax, ay, ux, uy, vx, vy), point_segment(bx, by, ux, uy, vx, vy), point_segment(ux, uy, ax, ay, bx, by), point_segment(vx, vy, ax, ay, bx, by))
+    return pairs.filter(cross | (ends <= reach))
+
+
+def corridor_share(reach: float, a: tuple[str, ...] = ("ax", "ay", "bx", "by"), e: tuple[str, ...] = ("ux", "uy", "vx", "vy")) -> Column:
+    """Share of segment e that lies within reach of segment a. What lies within reach is convex, so it is one interval of e."""
+    ax, ay, bx, by = [F.col(c).cast("double") for c in a]
+    ux, uy, vx, vy = [F.col(c).cast("double") for c in e]
+    length = F.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
+    cx, cy = (bx - ax) / length, (by - ay) / length
+    along_of = lambda x, y: (x - ax) * cx + (y - ay) * cy
+    off_of = lambda x, y: (y - ay) * cx - (x - ax) * cy
+    s0, s1, o0, o1 = along_of(ux, uy), along_of(vx, vy), off_of(ux, uy), off_of(vx, vy)
+
+    def strip(p: Column, q: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
+        d = q - p
+        flat = F.abs(d) < 1e-9
+        inside = (p >= lo) & (p <= hi)
+        return F.when(flat, F.when(inside, -1e18).otherwise(1e18)).otherwise(F.least((lo - p) / d, (hi - p) / d)), F.when(flat, F.when(inside, 1e18).otherwise(-1e18)).otherwise(F.greatest((lo - p) / d, (hi - p) / d))
+
+    (e1, l1), (e2, l2) = strip(s0, s1, F.lit(0.0), length), strip(o0, o1, F.lit(-float(reach)), F.lit(float(reach)))
+    spans = [(F.greatest(e1, e2), F.least(l1, l2))]
+    for px, py in ((ax, ay), (bx, by)):
+        dx, dy = vx - ux, vy - uy
+        qa, qb, qc = dx * dx + dy * dy, (ux - px) * dx + (uy - py) * dy, (ux - px) * (ux - px) + (uy - py) * (uy - py) - float(reach) ** 2
+        disc = qb * qb - qa * qc
+        root = F.sqrt(F.greatest(disc, F.lit(0.0)))
+        spans.append((F.when(disc < 0, 1e18).otherwise((-qb - root) / qa), F.when(disc < 0, -1e18).otherwise((-qb + root) / qa)))
+    cut = [(F.greatest(F.lit(0.0), s), F.least(F.lit(1.0), t)) for s, t in spans]
+    first = F.least(*[F.when(s < t, s).otherwise(2.0) for s, t in cut])
+    last = F.greatest(*[F.when(s < t, t).otherwise(-2.0) for s, t in cut])
+    return F.greatest(F.lit(0.0), last - first)
+
+
+def nearest_at_any_distance(points: DataFrame, targets: DataFrame, target: str, first_reach: int, last_reach: int) -> DataFrame:
+    """id, target, d2: each point's nearest target, by rings of doubling reach; only points without a hit go on.
+
+    Points farther than last_reach from all targets get no row; choose it as the extent of the data.
+    """
+    left, out, reach = points, None, first_reach
+    while True:
+        near = points_near_points(left, targets, reach)
+        hit = settle(near.groupBy("id").agg(F.min(F.struct("d2", target)).alias("x")).select("id", f"x.{target}", "x.d2"))
+        out = hit if out is None else out.unionByName(hit)
+        left = settle(left.join(hit, "id", "left_anti"))
+        if reach >= last_reach or left.isEmpty():
+            return out
+        reach = min(2 * reach, last_reach)
