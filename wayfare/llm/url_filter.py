@@ -3,25 +3,27 @@
 Everything runs as DataFrame functions and JVM-side trees. Features of a URL:
 lengths of host and path, depth, digit and hyphen counts, entropy of the host,
 parameter counts, labels in the host, and statistics of its suffix over the
-whole table. The trees learn from labelled URLs: rows with a label column (1:
-block), or, without one, weak labels by a short list of words in the host. At
-most `train_rows` labelled rows are used, the ones of least hash.
+whole table. The trees learn from labelled URLs: the rows' own label column (1:
+block) where there is one, else labelled_urls(), invented addresses of two kinds.
+The rules' own rows don't serve as labels: they would only teach the trees which
+top level domain a rule names. At most `train_rows` labelled rows are used, the
+ones of least hash. The trees decide the rows without a rule.
 
 Defined results: a null URL or one without "://" has an empty host and path,
-fits no rule, and is allowed. Rows are kept one to one; other columns pass by.
+fits no rule, and is allowed; where the labels have one class only, there are no
+trees and rows without a rule are allowed. Rows are kept one to one; other
+columns pass by.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: (rule, verdict): a host with its subdomains, and the start of the path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Words that mark a host as unwanted, where no labels are given.
-WEAK_WORDS = ("ads", "adult", "bets", "casino", "cheap", "farm", "free", "pills", "porn", "poker", "spam", "track", "viagra", "win")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ("host_length", "path_length", "depth", "digit_ratio", "hyphens", "entropy", "labels", "parameters", "label_length", "suffix_share")
 
@@ -78,13 +80,26 @@ def with_features(urls: DataFrame, url_col: str = "url") -> DataFrame:
     })
 
 
-def weak_label(host: Column) -> Column:
-    return F.arrays_overlap(F.split(host, r"[.\-]"), F.array(*map(F.lit, WEAK_WORDS))).cast("int")
+def labelled_urls(spark: SparkSession, n: int = 6000) -> DataFrame:
+    """url, label: invented addresses by a fixed rule. Half are plain; half (label 1) are dressed up: words chained by hyphens, digits, long
+    query strings. A tenth of each kind carries one trait of the other, so that no single feature decides. Suffixes are dealt alike to both."""
+    syllables = F.array(*map(F.lit, "ba ce di fo gu la me ni po ru sta tre vin wol dex kan mil ors pel quo".split()))
+    suffixes = F.array(*map(F.lit, "com org net info de co.uk example.com example.net example.org".split()))
+    draw = lambda salt, of: F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(of))
+    word = lambda salt: F.concat(*[F.element_at(syllables, (draw(f"{salt}{k}", 20) + 1).cast("int")) for k in range(2)], F.when(draw(f"{salt}m", 2) == 0, F.element_at(syllables, (draw(f"{salt}l", 20) + 1).cast("int"))).otherwise(""))
+    dressed = F.col("label") == 1
+    odd = draw("odd", 10) == 0
+    chained = F.concat(word("h"), F.lit("-"), word("i"), F.when(draw("three", 3) == 0, F.concat(F.lit("-"), word("j"))).otherwise(""), F.when(draw("digits", 3) == 0, draw("d", 1000).cast("string")).otherwise(""))
+    plain = F.concat(F.element_at(F.array(F.lit(""), F.lit("www."), F.lit("blog."), F.lit("m.")), (draw("sub", 4) + 1).cast("int")), word("h"))
+    host = F.when(dressed != odd, chained).otherwise(plain)
+    query = F.when(draw("query", 4) < F.when(dressed, 2).otherwise(1), F.concat(F.lit("?id="), draw("q", 100000).cast("string"), F.lit("&ref="), word("r"))).otherwise("")
+    url = F.concat(F.lit("http://"), host, F.lit("."), F.element_at(suffixes, (draw("suffix", 9) + 1).cast("int")), F.lit("/"), F.substring(word("p"), 1, 2), F.lit("/"), draw("page", 10000).cast("string"), query)
+    return spark.range(n).withColumn("label", (F.col("id") % 2).cast("int")).select(url.alias("url"), "label")
 
 
 def train(rows: DataFrame, label_col: str, train_rows: int = 20_000) -> GBTClassificationModel | None:
     """Boosted trees from at most train_rows labelled rows with features; None if one class is missing."""
-    sample = rows.filter(F.col(label_col).isNotNull()).orderBy(F.xxhash64("host", "path")).limit(train_rows)
+    sample = rows.filter(F.col(label_col).isNotNull()).orderBy(F.xxhash64("host", "path"), *FEATURES).limit(train_rows)
     sample = sample.select(*FEATURES, F.col(label_col).cast("double").alias("label"))
     sample = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample).select("features", "label").persist()
     try:
@@ -99,9 +114,7 @@ def url_filter(urls: DataFrame, id_col: str = "page_id", url_col: str = "url", l
     """Per URL: id, host, path, rule, verdict, score (of the trees; null where the URL has no host)."""
     keep = [F.col(id_col).alias("_id"), F.col(url_col).alias("_url")] + ([F.col(label_col).alias("_label")] if label_col else [])
     rows = with_features(urls.select(*keep), "_url")
-    if not label_col:
-        rows = rows.withColumn("_label", F.when(F.col("host") != "", weak_label(F.col("host"))))
-    model = train(rows, "_label", train_rows)
+    model = train(rows, "_label", train_rows) if label_col else train(with_features(labelled_urls(urls.sparkSession)), "label", train_rows)
     if model is None:
         rows = rows.withColumn("score", F.lit(None).cast("double"))
     else:
