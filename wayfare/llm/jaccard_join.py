@@ -170,15 +170,31 @@ def parity(items: np.ndarray) -> bytes:
     return np.packbits(np.bincount((mix(items + U(7)) % U(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
 
 
+def _root(up: list[int], x: int) -> int:
+    while up[x] != x:
+        up[x] = up[up[x]]
+        x = up[x]
+    return x
+
+
 def _hub_links(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """rows (shard, id, hub, items) to links (a, b): every hub queries the index of its shard."""
+    """rows (shard, id, hub, items) to links (a, b): every hub queries the index of its shard.
+
+    Of a shard's links, those stay that join what its earlier ones don't; the others say nothing new about components.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["id"].to_numpy()
         sets = [np.frombuffer(x, U).tolist() for x in pdf["items"]]
         need = [least_overlap(len(s), num, den) for s in sets]
         found = search_lists(sets, np.flatnonzero(pdf["hub"].to_numpy()).tolist(), need)
-        pairs = [(ids[q], ids[o]) for q, o, n in found if linked(len(sets[q]), len(sets[o]), n, num, den)]
+        up, pairs = list(range(len(ids))), []
+        for q, o, n in found:
+            if linked(len(sets[q]), len(sets[o]), n, num, den):
+                x, y = _root(up, q), _root(up, o)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    pairs.append((ids[q], ids[o]))
         del sets, found
         tidy()
         return pd.DataFrame({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}, dtype="int64")
