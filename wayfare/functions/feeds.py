@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Severity words of source a, icon groups and delay classes of source b.
@@ -53,8 +53,9 @@ def in_force(now: Column, start: Column, end: Column) -> Column:
 
 def most_severe(records: DataFrame, keys: list[str], severity: str, order: str) -> DataFrame:
     """Of each key's records the one of highest severity; the first in order among equals."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(severity), order)
-    return records.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    rest = [c for c in records.columns if c not in keys]
+    best = records.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(severity), -F.col(order))).alias("_x"))  # combines before the shuffle
+    return best.select(*keys, "_x.*").select(*records.columns)
 
 
 def merge_sources(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

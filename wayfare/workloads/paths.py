@@ -12,6 +12,7 @@ from wayfare import fixtures as net
 from wayfare.functions import tags as t
 from wayfare.functions.text import ride_minutes
 from wayfare.operators import graph, runs
+from wayfare.plans.cost import per_metre_bound as cost_bound
 from wayfare.workloads import network as n
 
 
@@ -20,33 +21,64 @@ def tracks(spark: SparkSession, sf: str) -> DataFrame:
     return net.ways(spark, sf).filter("way_id % 2 = 0").join(at, "u")
 
 
+def _placed(requests: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
+    """requests with the places of source and target."""
+    at = net.nodes(spark, sf).select("node_id", "x_u", "y_u")
+    return requests.join(at.toDF("source", "sx", "sy"), "source").join(at.toDF("target", "tx", "ty"), "target")
+
+
 def requests(spark: SparkSession, sf: str) -> DataFrame:
-    """A stated set of four requests from the first two nodes to the middle and the last."""
+    """A stated set of twelve requests, short and long; some have no path."""
     last = net.nodes(spark, sf).agg(F.max("node_id").alias("m"))
-    pick = F.array(*[F.struct(F.lit(k).cast("bigint").alias("request_id"), F.lit(k % 2).cast("bigint").alias("source"), to.alias("target")) for k, to in enumerate([F.expr("m div 2"), F.expr("m div 2"), F.col("m"), F.col("m")])])
-    return last.select(F.explode(pick).alias("r")).select("r.*")
+    r = last.select("m", F.explode(F.expr("sequence(0L, 11L)")).alias("request_id"))
+    return _placed(r.select("request_id", F.expr("request_id * 211 % (m + 1)").alias("source"), F.expr("if(request_id = 11, request_id * 211, request_id * request_id * 97 + 31 * request_id + m div 3) % (m + 1)").alias("target")), spark, sf)
+
+
+def costs(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    return n.edge_costs(spark, sf).select("u", "v", F.col(kind).alias("cost"), "ux", "uy", "vx", "vy", "length_mm")
 
 
-def routes(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    costs = n.edge_costs(spark, sf).select("u", "v", F.col(kind).alias("cost"))
-    return graph.grouped_paths(requests(spark, sf), costs)
+def _totals(paths: DataFrame) -> DataFrame:
+    return paths.groupBy("request_id").agg(F.max("total").alias("total"))
 
 
 def fastest_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return routes(spark, sf, "fastest_mm").groupBy("request_id").agg(F.max("total").alias("total"))
+    return _totals(graph.grouped_paths(requests(spark, sf), costs(spark, sf, "fastest_mm")))
 
 
 def optimised_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return routes(spark, sf, "optimised_mm").groupBy("request_id").agg(F.max("total").alias("total"))
+    return _totals(graph.grouped_paths(requests(spark, sf), costs(spark, sf, "optimised_mm")))
+
+
+#: Millimetres that a microdegree measures at least, on this grid; with the least cost of a metre it bounds any path's cost from below.
+MM_A_MICRODEGREE = 69
+
+
+def bounded_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """The search with a heuristic stretched by 0.75: its cost against the exact one, and whether the bound holds."""
+    r, c = requests(spark, sf), costs(spark, sf, "optimised_mm")
+    least = cost_bound(n.WEIGHTS) * MM_A_MICRODEGREE
+    exact = _totals(graph.grouped_paths(r, c, stretch=least)).withColumnRenamed("total", "exact")
+    loose = _totals(graph.grouped_paths(r, c, stretch=least * 1.75))
+    return exact.join(loose, "request_id").select("request_id", "exact", F.coalesce((F.col("total") >= F.col("exact")) & (F.col("total") * 100 <= F.col("exact") * 175), F.lit(True)).alias("within"))
+
+
+def legs(spark: SparkSession, sf: str) -> DataFrame:
+    """Five requests with up to three points on the way, as legs."""
+    last = net.nodes(spark, sf).agg(F.max("node_id").alias("m"))
+    r = last.select("m", F.explode(F.expr("sequence(0L, 4L)")).alias("trip"))
+    r = r.select("trip", F.expr("transform(sequence(0, cast(trip % 4 as int) + 1), i -> (trip * 131 + i * i * 83 + m div 4) % (m + 1))").alias("stops"))
+    leg = F.expr("transform(slice(stops, 1, size(stops) - 1), (x, i) -> struct(i AS leg, x AS source, stops[i + 1] AS target))")
+    out = r.select("trip", F.explode(leg).alias("l")).select("trip", "l.*")
+    return _placed(out.withColumn("request_id", F.expr("trip * 10 + leg")), spark, sf)
 
 
 def compared(spark: SparkSession, sf: str) -> DataFrame:
-    """Each request's fastest and optimised route: cost and length in millimetres, edges and blocked edges."""
-    costs = n.edge_costs(spark, sf)
-    out = None
+    """Each trip's fastest and optimised route over its legs: cost, number of legs and whether all have a path."""
+    r, out = legs(spark, sf), None
     for kind in ("fastest_mm", "optimised_mm"):
-        path = routes(spark, sf, kind).join(costs.select("u", "v", "length_mm", F.col(kind).alias("c")), ["u", "v"])
-        one = path.groupBy("request_id").agg(F.lit(kind[:-3]).alias("mode"), F.max("total").alias("cost_mm"), F.sum("c").alias("path_cost_mm"), F.sum("length_mm").alias("length_mm"), F.count("*").alias("edges"), F.sum((F.col("c") >= 10**12).cast("int")).alias("blocked"))
+        each = _totals(graph.grouped_paths(r, costs(spark, sf, kind)))
+        one = each.groupBy((F.col("request_id") / 10).cast("bigint").alias("trip")).agg(F.lit(kind[:-3]).alias("mode"), F.when(F.count("total") == F.count("*"), F.sum("total")).alias("cost_mm"), F.count("*").alias("legs"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -117,6 +149,7 @@ def mode_shares(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "g05_fastest_paths": fastest_paths,
     "g05_optimised_paths": optimised_paths,
+    "g08_bounded_paths": bounded_paths,
     "g09_compared_routes": compared,
     "a09_path_stats": path_stats,
     "a10_leg_totals": leg_totals,
@@ -134,14 +167,28 @@ _ROUGH = f"(lower(surface) IN {n._in(t.BAD_SURFACES)})"
 _RUNS = "SELECT path_id, run, min(seq) AS first_seq, max(seq) AS last_seq, any_value(kind) AS kind, sum(length_mm)::BIGINT AS {mm}{more} FROM (SELECT *, sum(fresh) OVER (PARTITION BY path_id ORDER BY seq) - 1 AS run FROM (SELECT *, CASE WHEN lag(seq) OVER w = seq - 1 AND lag(kind) OVER w = kind THEN 0 ELSE 1 END AS fresh FROM kinds WINDOW w AS (PARTITION BY path_id ORDER BY seq))) GROUP BY path_id, run"
 
 
-def _paths_sql(kind: str) -> str:
+_INSIDE = "sqrt(((ax - sx) ** 2 + (ay - sy) ** 2)::DOUBLE) + sqrt(((ax - tx) ** 2 + (ay - ty) ** 2)::DOUBLE) <= sqrt(((tx - sx) ** 2 + (ty - sy) ** 2)::DOUBLE) * 1.5"
+_REQUESTS = "SELECT k AS request_id, k * 211 % (m + 1) AS source, (CASE WHEN k = 11 THEN k * 211 ELSE k * k * 97 + 31 * k + m // 3 END) % (m + 1) AS target FROM top, range(12) AS q(k)"
+_LEGS = "SELECT trip * 10 + i AS request_id, (trip * 131 + i * i * 83 + m // 4) % (m + 1) AS source, (trip * 131 + (i + 1) * (i + 1) * 83 + m // 4) % (m + 1) AS target FROM top, range(5) AS q(trip), range(4) AS z(i) WHERE i <= trip % 4"
+
+
+def _paths_sql(kind: str, requests: str = _REQUESTS) -> str:
+    """CTEs up to total (request_id, total): least costs over the edges in each request's ellipse; null where there is no path."""
     base = n.COSTS_SQL.replace("WITH grid", "WITH RECURSIVE grid", 1)
-    return base + f", top AS (SELECT max(node_id) AS m FROM nodes), req AS (SELECT k AS request_id, k % 2 AS source, CASE WHEN k < 2 THEN m // 2 ELSE m END AS target FROM top, unnest([0, 1, 2, 3]) AS q(k)), dist(request_id, node, c) USING KEY (request_id, node) AS (SELECT request_id::BIGINT, source::BIGINT, 0::BIGINT FROM req UNION SELECT d.request_id, e.v, min(d.c + e.{kind}) FROM dist d JOIN costs e ON e.u = d.node LEFT JOIN recurring.dist r ON r.request_id = d.request_id AND r.node = e.v WHERE d.c + e.{kind} < coalesce(r.c, 9000000000000000000) GROUP BY 1, 2) SELECT d.request_id, d.c AS total FROM dist d JOIN req ON d.request_id = req.request_id AND d.node = req.target"
+    place = lambda x, y: _INSIDE.replace("ax", x).replace("ay", y)
+    return base + f", top AS (SELECT max(node_id) AS m FROM nodes), req AS (SELECT q.*, a.x_u AS sx, a.y_u AS sy, b.x_u AS tx, b.y_u AS ty FROM ({requests}) q JOIN nodes a ON a.node_id = q.source JOIN nodes b ON b.node_id = q.target), near AS (SELECT request_id, e.u, e.v, e.{kind} AS c FROM req JOIN costs e ON {place('ux', 'uy')} AND {place('vx', 'vy')}), dist(request_id, node, c) USING KEY (request_id, node) AS (SELECT request_id::BIGINT, source::BIGINT, 0::BIGINT FROM req UNION SELECT d.request_id, e.v, min(d.c + e.c) FROM dist d JOIN near e ON e.u = d.node AND e.request_id = d.request_id LEFT JOIN recurring.dist r ON r.request_id = d.request_id AND r.node = e.v WHERE d.c + e.c < coalesce(r.c, 9000000000000000000) GROUP BY 1, 2), total AS (SELECT req.request_id, d.c AS total FROM req LEFT JOIN dist d ON d.request_id = req.request_id AND d.node = req.target) "
+
+
+def _compared_sql() -> str:
+    one = lambda kind: _paths_sql(kind, _LEGS) + f"SELECT request_id // 10 AS trip, '{kind[:-3]}' AS mode, CASE WHEN count(total) = count(*) THEN sum(total)::BIGINT END AS cost_mm, count(*) AS legs FROM total GROUP BY 1"
+    return f"SELECT * FROM ({one('fastest_mm')}) UNION ALL SELECT * FROM ({one('optimised_mm')})"
 
 
 ORACLE_SQL = {
-    "g05_fastest_paths": _paths_sql("fastest_mm"),
-    "g05_optimised_paths": _paths_sql("optimised_mm"),
+    "g05_fastest_paths": _paths_sql("fastest_mm") + "SELECT request_id, total FROM total",
+    "g05_optimised_paths": _paths_sql("optimised_mm") + "SELECT request_id, total FROM total",
+    "g08_bounded_paths": _paths_sql("optimised_mm") + "SELECT request_id, total AS exact, true AS within FROM total",
+    "g09_compared_routes": _compared_sql(),
     "a09_path_stats": _TRACKS + f"SELECT path_id, sum(length_mm)::BIGINT AS length_mm, sum(CASE WHEN {n._FREE} THEN 0 ELSE risk_milli END)::BIGINT AS risk_milli, sum(CASE WHEN lower(lit) IN {n._in(t.LIT)} THEN length_mm ELSE 0 END)::BIGINT AS lit_mm, sum(CASE WHEN NOT {n._MASKED} AND {_ROUGH} THEN length_mm ELSE 0 END)::BIGINT AS rough_mm, sum(CASE WHEN {n._FREE} THEN length_mm ELSE 0 END)::BIGINT AS free_mm, sum(CASE WHEN is_park = 'yes' OR is_river = 'yes' THEN length_mm ELSE 0 END)::BIGINT AS green_mm, sum(CASE WHEN NOT {n._FREE} AND {n._STRESS} > 0 THEN length_mm ELSE 0 END)::BIGINT AS stress_mm, sum(CASE WHEN programme LIKE '%quietway%' THEN length_mm ELSE 0 END)::BIGINT AS quiet_mm, count(*) FILTER (WHERE NOT {n._FREE} AND {n._CALM['both']} > 0) AS calming, count(*) FILTER (WHERE {n._HARD} OR {n._BARRIER_M} > 0) AS barriers, {n._m('(sum(length_mm) / 1000::DOUBLE / (16::DOUBLE / 3.6::DOUBLE * 60))')} AS minutes_milli FROM tracks GROUP BY path_id",
     "a10_leg_totals": _TRACKS + f", legs AS (SELECT path_id // 10 AS trip, sum(length_mm)::BIGINT AS mm, (sum(CASE WHEN lower(lit) IN {n._in(t.LIT)} THEN length_mm ELSE 0 END)::BIGINT * 200 + sum(length_mm)::BIGINT) // (2 * sum(length_mm)::BIGINT) AS pct FROM tracks GROUP BY path_id) SELECT trip, sum(mm)::BIGINT AS length_mm, sum(mm * pct)::BIGINT // sum(mm)::BIGINT AS lit_pct FROM legs GROUP BY trip",
     "a11_mode_shares": _TRACKS + f"SELECT path_id, kind, mm, mm * 100 // sum(mm) OVER (PARTITION BY path_id)::BIGINT AS pct FROM (SELECT path_id, CASE WHEN {n._SEGREGATED} THEN 'segregated' WHEN {n._FREE} THEN 'shared' ELSE 'traffic' END AS kind, sum(length_mm)::BIGINT AS mm FROM tracks GROUP BY 1, 2)",
