@@ -69,13 +69,25 @@ def monthly_quota(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def nearest_hour(spark: SparkSession, sf: str) -> DataFrame:
-    """Each purchase with the hourly reading nearest in time; the earlier of two as near. Both sides meet by hour."""
+    """Each purchase with the hourly reading nearest in time, however far; the earlier of two as near.
+
+    The last reading before and the first after come from one ordered pass over both in each day; days without a
+    reading take the one at their edge from a small table of days.
+    """
     e = _events(spark, sf)
-    hourly = e.filter("event_type = 'view'").groupBy(F.expr("second div 3600 * 3600").alias("slot")).agg(F.max("k").alias("reading"))
+    hourly = e.filter("event_type = 'view' AND second div 3600 % 7 = 0").groupBy(F.expr("second div 3600 * 3600").alias("slot")).agg(F.max("k").alias("reading"))
     at = e.filter("event_type = 'purchase'").select("event_id", "second")
-    cand = at.withColumn("slot", F.explode(F.expr("transform(sequence(-6, 6), d -> (second div 3600 + d) * 3600)"))).join(hourly, "slot")
-    best = cand.groupBy("event_id").agg(F.min(F.struct(F.abs(F.col("second") - F.col("slot")).alias("d"), "slot", "reading")).alias("x"))
-    return best.select("event_id", "x.slot", "x.reading")
+    both = at.select("second", "event_id", F.lit(None).cast("struct<slot:bigint,reading:int>").alias("r")).unionByName(hourly.select(F.col("slot").alias("second"), F.lit(None).cast("bigint").alias("event_id"), F.struct("slot", "reading").alias("r")))
+    both = both.withColumn("day", F.expr("second div 86400"))
+    w = Window.partitionBy("day").orderBy("second", F.col("event_id").isNotNull())
+    near = both.withColumns({"before": F.last("r", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "after": F.first("r", True).over(w.rowsBetween(0, Window.unboundedFollowing))}).filter("event_id IS NOT NULL")
+    # one row for each day: its first and last reading, and those of the days around it
+    days = both.groupBy("day").agg(F.max("r").alias("last_r"), F.min("r").alias("first_r"))
+    d = Window.orderBy("day")
+    days = days.select("day", F.last("last_r", True).over(d.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.first("first_r", True).over(d.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    out = near.join(F.broadcast(days), "day").withColumns({"before": F.coalesce("before", "earlier"), "after": F.coalesce("after", "later")})
+    take = F.when(F.col("after").isNull() | (F.col("second") - F.col("before.slot") <= F.col("after.slot") - F.col("second")), F.col("before")).otherwise(F.col("after"))
+    return out.withColumn("x", take).select("event_id", "x.slot", "x.reading")
 
 
 def clamps(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,8 +103,12 @@ def clamps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def coupling_degree(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(w, k) for k, conds, _ in COUPLINGS for w, _, _ in conds], "weight string, id string")
-    return rows.groupBy("weight").agg(F.count("*").alias("couplings"))
+    """For each weight: its couplings, the most that it loses under one preset, and how many requests trip one that it loses."""
+    rules = spark.createDataFrame([(w, p, k, wins[i] != j) for k, conds, wins in COUPLINGS for j, (w, _, _) in enumerate(conds) for i, p in enumerate(PRESETS)], "weight string, preset string, id string, loses boolean")
+    by = rules.groupBy("weight", "preset").agg(F.count("*").alias("n"), F.sum(F.col("loses").cast("int")).alias("lost"))
+    asked = spark.read.parquet(f"{sf}/orders.parquet").groupBy(_pick(PRESETS, F.col("o_orderkey")).alias("preset")).agg(F.count("*").alias("requests"))
+    # a handful of rows on both sides
+    return by.join(asked, "preset").groupBy("weight").agg(F.max("n").alias("couplings"), F.max("lost").alias("most_lost"), F.sum(F.when(F.col("lost") > 0, F.col("requests")).otherwise(0)).alias("requests"))
 
 
 def open_streets(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,7 +141,67 @@ def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{where}/out").select("event_type", "user_id", "x.event_id")
 
 
-QUERIES = {"x41_feed_a": feed_a, "x42_feed_b": feed_b, "w11_most_severe": street_a, "l04_merged_feeds": merged, "r08_rate_limit": rate_limit, "r09_monthly_quota": monthly_quota, "j22_nearest_hour": nearest_hour, "r01_preset_clamps": clamps, "a19_coupling_degree": coupling_degree, "x32_open_streets": open_streets, "x38_slugs": slugs, "x40_tag_union": tag_union, "l03_stream_latest": stream_latest}
+#: Settings of the live cost query.
+LIVE = {"tfl_live_weight": 0.8}
+
+
+def _live_costs(spark: SparkSession, sf: str, live: bool) -> DataFrame:
+    """Edges with their end node's terms, the merged record of their street, and both costs."""
+    from wayfare.plans import cost
+    from wayfare.workloads import network as n
+
+    m = merged(spark, sf).select(F.col("street").alias("way_id"), F.col("closed").alias("has_closure"), F.col("closed").alias("is_closed"), F.col("diversion").alias("is_diversion"), "category", F.col("surface").alias("temporary_bad_surface"), F.col("weather").alias("environmental_hazard"), (F.col("severity") / 100).alias("severity_multiplier"))
+    over = m.select("way_id", *[c.alias(k) for k, c in cost.live_overlay().items()])
+    danger = n.car_roads(spark, sf).select("node_id", F.col("danger_m").cast("double").alias("v_danger_m"))
+    from wayfare.functions import tags as t
+
+    at = net.nodes(spark, sf).select("node_id", t.node_crossing_m().alias("v_crossing_m"), t.node_mini_m().alias("v_mini_m"), t.node_signal_m().alias("v_signal_m")).join(danger, "node_id").withColumnRenamed("node_id", "v")
+    e = net.edges(spark, sf).join(at, "v").join(over, "way_id", "left")
+    return e.select("u", "v", "way_id", n.milli(cost.fastest(live=live)).alias("fastest_mm"), n.milli(cost.optimised(n.WEIGHTS | LIVE, live=live)).alias("optimised_mm"), F.col("live_sev").isNotNull().alias("disrupted"))
+
+
+def live_costs(spark: SparkSession, sf: str) -> DataFrame:
+    """Costs with the live overlay: closures block whatever the weights; the rest counts by its weight."""
+    return _live_costs(spark, sf, True).drop("way_id")
+
+
+def later_costs(spark: SparkSession, sf: str) -> DataFrame:
+    """Costs of a later ride: no live records, but parks that are closed by then block."""
+    from wayfare.functions import tags as t
+    from wayfare.plans import cost
+    from wayfare.workloads import network as n
+
+    shut = ~open_at(F.col("opening_hours"), F.lit(1320), F.lit(2), F.lit(True))
+    return net.edges(spark, sf).select("u", "v", F.when(cost.blocked(park_closed=shut), 10**12).otherwise(n.milli(F.col("length_mm") / 1000 * t.highway_multiplier())).cast("bigint").alias("fastest_mm"))
+
+
+OVERRIDES = (("Mill Lane", "Mo-Fr 08:00-18:00"), ("Park Road", ""))
+
+
+def park_hours(spark: SparkSession, sf: str) -> DataFrame:
+    """Opening hours by override where the name is the same, else the street's own."""
+    own = spark.createDataFrame(OVERRIDES, "match string, hours string")
+    name = F.when(F.lower(F.trim("name")).isin("", "nan", "none"), None).otherwise(F.trim("name"))
+    return net.ways(spark, sf).select("way_id", name.alias("match"), F.trim("opening_hours").alias("own")).join(F.broadcast(own), "match", "left").select("way_id", F.coalesce("hours", "own").alias("hours"))
+
+
+#: Hours, minute of a Wednesday, whether it is dark, and whether the place is open then; stated by hand.
+HOURS_CASES = (
+    ("24/7", 180, True, True), ("Mo-Su 06:00-20:00", 359, True, False), ("Mo-Su 06:00-20:00", 360, False, True), ("Mo-Su 06:00-20:00", 1200, True, False),
+    ("Mo-Fr 07:30-16:00", 450, False, True), ("Sa-Su 10:00-16:00", 720, False, False), ("We 12:00-13:00", 740, False, True), ("Th-Tu 09:00-17:00", 600, False, False),
+    ("Fr-We 09:00-17:00", 600, False, True), ("22:00-02:00", 60, True, True), ("22:00-02:00", 720, False, False), ("08:00-24:00", 1439, True, True),
+    ("dawn-dusk", 1320, True, False), ("dawn-dusk", 720, False, True), ("", 1320, True, False), ("sunrise-sunset", 720, False, True),
+    ("Sa 10:00-12:00; We 09:00-10:00", 570, False, True), ("Sa 10:00-12:00; We 09:00-10:00", 660, False, False), ("Mar-Oct 09:00-18:00", 1320, True, False),
+)
+
+
+def hours_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """The hours grammar on cases stated by hand, for each region."""
+    rows = spark.createDataFrame([(i, h, m, d) for i, (h, m, d, _) in enumerate(HOURS_CASES)], "id int, hours string, minute int, dark boolean")
+    return spark.read.parquet(f"{sf}/region.parquet").select("r_regionkey").crossJoin(F.broadcast(rows)).select("r_regionkey", "id", open_at(F.col("hours"), F.col("minute"), F.lit(2), F.col("dark")).alias("open"))
+
+
+QUERIES = {"x30_live_costs": live_costs, "l06_later_costs": later_costs, "r07_park_hours": park_hours, "x32_hours_cases": hours_cases, "x41_feed_a": feed_a, "x42_feed_b": feed_b, "w11_most_severe": street_a, "l04_merged_feeds": merged, "r08_rate_limit": rate_limit, "r09_monthly_quota": monthly_quota, "j22_nearest_hour": nearest_hour, "r01_preset_clamps": clamps, "a19_coupling_degree": coupling_degree, "x32_open_streets": open_streets, "x38_slugs": slugs, "x40_tag_union": tag_union, "l03_stream_latest": stream_latest}
 
 
 def _list(values, i: str) -> str:
@@ -156,6 +232,35 @@ def _clamp_sql() -> str:
     return sql + " SELECT id, preset, " + ", ".join(f"cast(floor({n} * 10000 + 0.5) AS BIGINT) AS {n}" for n in names) + f" FROM s{len(COUPLINGS)}"
 
 
+def _degree_sql() -> str:
+    rows = ", ".join(f"('{w}', '{p}', {str(wins[i] != j).lower()})" for _, conds, wins in COUPLINGS for j, (w, _, _) in enumerate(conds) for i, p in enumerate(PRESETS))
+    return f"WITH r(weight, preset, loses) AS (VALUES {rows}), a AS (SELECT {_list(PRESETS, 'o_orderkey')} AS preset, count(*) AS requests FROM orders GROUP BY 1), b AS (SELECT weight, preset, count(*) AS n, sum(loses::INTEGER)::BIGINT AS lost FROM r GROUP BY 1, 2) SELECT weight, max(n) AS couplings, max(lost) AS most_lost, coalesce(sum(requests) FILTER (WHERE lost > 0), 0)::BIGINT AS requests FROM b JOIN a USING (preset) GROUP BY 1"
+
+
+def _live_sql() -> str:
+    from wayfare.workloads import network as n
+
+    w = LIVE["tfl_live_weight"]
+    base = n._optimised_sql()
+    cut = base.index(", costs AS (")
+    m = base[base.index("greatest(0.1::DOUBLE, (1::DOUBLE") : base.index(f") * {n._MULT}")] + ")"
+    live = f"(({m} + coalesce(live_add, 0) * {w}::DOUBLE) * CASE WHEN live_env THEN 1 + 0.3::DOUBLE * {w}::DOUBLE ELSE 1 END * CASE WHEN live_sev > 1 THEN 1 + (live_sev - 1) * {w}::DOUBLE ELSE 1 END)"
+    rest = base[cut:].replace(m, live)
+    hard = f"{n._DENIED} OR {n._HARD} THEN"
+    rest = rest.replace(hard, f"{n._DENIED} OR {n._HARD} OR coalesce(live_closed, false) THEN").replace("SELECT edges.*", "SELECT edges.*, live_sev").replace("FROM edges JOIN ends ON ends.node_id = edges.v", "FROM edges JOIN ends ON ends.node_id = edges.v LEFT JOIN live ON live.street = edges.way_id")
+    cats = "'Collisions', 'Emergency service incidents', 'Traffic Incidents', 'Network delays'"
+    feed = ORACLE_SQL["l04_merged_feeds"].replace("WITH e AS", ", e AS", 1)
+    at = feed.index(" SELECT coalesce(p.street")
+    live_cte = f", mg AS ({feed[at:]}), live AS (SELECT street, closed AS live_closed, CASE WHEN diversion THEN 5 ELSE 0 END + CASE WHEN category = 'Works' THEN 3 WHEN category IN ({cats}) THEN 2 ELSE 0 END + CASE WHEN surface THEN 3 ELSE 0 END AS live_add, weather AS live_env, severity / 100::DOUBLE AS live_sev FROM mg)"
+    return net.SQL + base[:cut] + feed[:at] + live_cte + rest + " SELECT u, v, fastest_mm, optimised_mm, live_sev IS NOT NULL AS disrupted FROM costs"
+
+
+def _later_sql() -> str:
+    from wayfare.workloads import network as n
+
+    return net.SQL + f"SELECT u, v, CASE WHEN {n._DENIED} OR {n._HARD} OR is_park = 'yes' AND opening_hours <> '24/7' THEN 1000000000000 ELSE cast(floor(length_mm / 1000::DOUBLE * {n._MULT} * 1000 + 0.5) AS BIGINT) END AS fastest_mm FROM edges"
+
+
 ORACLE_SQL = {
     "x41_feed_a": f"{_E}, {_A} SELECT * FROM a",
     "x42_feed_b": f"{_E}, {_B} SELECT * FROM b",
@@ -163,10 +268,15 @@ ORACLE_SQL = {
     "l04_merged_feeds": f"{_E}, {_A}, {_B}, p AS ({_TOP.format('a')}), q AS ({_TOP.format('b')}) SELECT coalesce(p.street, q.street) AS street, coalesce(p.closed, false) OR coalesce(q.kind = 'closure', false) AS closed, coalesce(p.diversion, false) AS diversion, coalesce(q.kind = 'roadworks', false) AS surface, coalesce(q.kind = 'environmental', false) AS weather, coalesce(nullif(p.category, ''), q.kind, '') AS category, coalesce(p.kind, q.kind) AS description, greatest(p.severity, q.severity) AS severity, CASE WHEN p.street IS NULL THEN 'b' WHEN q.street IS NULL THEN 'a' ELSE 'a+b' END AS source FROM p FULL JOIN q ON p.street = q.street",
     "r08_rate_limit": "WITH e AS (SELECT event_id, user_id, cast(floor(epoch(ts)) AS BIGINT) AS second FROM events) SELECT *, count(*) OVER w AS recent, count(*) OVER w <= 5 AS allowed FROM e WINDOW w AS (PARTITION BY user_id ORDER BY second RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW)",
     "r09_monthly_quota": "WITH f AS (SELECT strftime(ts, '%Y-%m') AS month, user_id, min(event_id) AS e FROM events WHERE event_type = 'view' GROUP BY 1, 2) SELECT month, user_id, cast(row_number() OVER (PARTITION BY month ORDER BY e) AS INTEGER) AS rank, row_number() OVER (PARTITION BY month ORDER BY e) <= 40 AS granted FROM f",
-    "j22_nearest_hour": f"{_E}, h AS (SELECT cast(floor(epoch(ts)) AS BIGINT) // 3600 * 3600 AS slot, max(k) AS reading FROM e WHERE event_type = 'view' GROUP BY 1) SELECT event_id, slot, reading FROM (SELECT event_id, cast(floor(epoch(ts)) AS BIGINT) AS second FROM e WHERE event_type = 'purchase'), h WHERE abs(second // 3600 - slot // 3600) <= 6 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(second - slot), slot) = 1",
+    "j22_nearest_hour": f"{_E}, h AS (SELECT cast(floor(epoch(ts)) AS BIGINT) // 3600 * 3600 AS slot, max(k) AS reading FROM e WHERE event_type = 'view' AND cast(floor(epoch(ts)) AS BIGINT) // 3600 % 7 = 0 GROUP BY 1) SELECT event_id, slot, reading FROM (SELECT event_id, cast(floor(epoch(ts)) AS BIGINT) AS second FROM e WHERE event_type = 'purchase'), h QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(second - slot), slot) = 1",
+    "a19_coupling_degree": _degree_sql(),
+    "l06_later_costs": _later_sql(),
+    "r07_park_hours": net.SQL + "SELECT way_id, CASE name WHEN 'Mill Lane' THEN 'Mo-Fr 08:00-18:00' WHEN 'Park Road' THEN '' ELSE trim(opening_hours) END AS hours FROM ways",
+    "x32_hours_cases": "SELECT r_regionkey, id, open FROM region, (VALUES " + ", ".join(f"({i}, {str(c[3]).lower()})" for i, c in enumerate(HOURS_CASES)) + ") AS v(id, open)",
     "r01_preset_clamps": _clamp_sql(),
     "x32_open_streets": net.SQL + "SELECT way_id, minute, CASE WHEN opening_hours = '24/7' THEN true WHEN opening_hours LIKE 'Mo%' THEN minute = 720 ELSE minute = 720 END AS open FROM ways, unnest([300, 720, 1320]) AS q(minute)",
     "x38_slugs": "SELECT p_partkey, CASE WHEN r = 1 THEN s ELSE s || '-' || r END AS slug FROM (SELECT p_partkey, s, row_number() OVER (PARTITION BY s ORDER BY p_partkey) AS r FROM (SELECT p_partkey, replace(p_name, ' ', '-') AS s FROM part))",
     "l03_stream_latest": "SELECT event_type, user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2",
     "x40_tag_union": net.SQL + "SELECT way_id, array_to_string(list_filter(list_distinct_in_order, lambda x: x <> ''), ';') AS tags FROM (SELECT way_id, list_concat(list_filter(string_split(programme, ';'), lambda x: x <> ''), list_filter(string_split(cycleway, ';'), lambda x: x <> '' AND NOT list_contains(string_split(programme, ';'), x))) AS list_distinct_in_order FROM ways)",
 }
+ORACLE_SQL["x30_live_costs"] = _live_sql()
