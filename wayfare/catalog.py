@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from wayfare.workloads import build, live, network, paths, reports, requests, spatial
+from wayfare.workloads import build, live, network, paths, reports, requests, spatial, surface
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (network, paths, spatial, live, reports, requests, build):
+for _part in (network, paths, spatial, live, reports, requests, build, surface):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EARTH_M = 6_371_000.0
+MERCATOR_M = 6_378_137.0
 
 
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -48,3 +51,17 @@ def solar_elevation_deg(ts: Column, lat: float = 51.5074, lon: float = -0.1278)
     ha = F.radians(mod(mod(18.697374558 + d * 24.06570982441908, 24.0) * 15.0 + lon, 360.0)) - ra
     la = F.radians(F.lit(lat))
     return F.degrees(F.asin(F.sin(la) * F.sin(dec) + F.cos(la) * F.cos(dec) * F.cos(ha)))
+
+
+def mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Metres of the spherical Mercator projection."""
+    return F.radians(lon) * MERCATOR_M, F.ln(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * MERCATOR_M
+
+
+def from_mercator(x: Column, y: Column) -> tuple[Column, Column]:
+    return F.degrees(x / MERCATOR_M), F.degrees(F.atan(F.exp(y / MERCATOR_M)) * 2 - math.pi / 2)
+
+
+def barrier_confidence(off_u: Column, curve: Column, threshold_m: float = 4.0) -> Column:
+    """How surely a barrier off a street (microdegrees) blocks it: by distance where the street is straight (curve: its length over the straight line), else a half."""
+    return F.when(curve.isNull() | (curve > 1.05), 0.5).otherwise(F.greatest(F.lit(0.0), 1 - off_u / 1e6 * 111_000 / threshold_m))
