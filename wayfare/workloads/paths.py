@@ -1,6 +1,7 @@
 """Queries over routes: search, statistics, runs, profiles and legs.
 
-Tracks are the grid's rows: path_id is the row, seq the place in it.
+Tracks are the grid's rows and columns: path_id is the row, or a million and the
+column; seq is the place in it.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from wayfare.workloads import network as n
 
 
 def tracks(spark: SparkSession, sf: str) -> DataFrame:
-    at = net.nodes(spark, sf).select(F.col("node_id").alias("u"), F.col("gx").alias("seq"), F.col("gy").alias("path_id"), "elev_cm")
-    return net.ways(spark, sf).filter("way_id % 2 = 0").join(at, "u")
+    across = F.col("way_id") % 2 == 0
+    at = net.nodes(spark, sf).select(F.col("node_id").alias("u"), "gx", "gy", "elev_cm")
+    t = net.ways(spark, sf).join(at, "u")
+    return t.withColumns({"seq": F.when(across, F.col("gx")).otherwise(F.col("gy")), "path_id": F.when(across, F.col("gy")).otherwise(F.col("gx") + 1_000_000)}).drop("gx", "gy")
 
 
 def _placed(requests: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
@@ -84,29 +87,50 @@ def compared(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def path_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """What a ride along each track is like: lengths by kind in millimetres, counts, minutes and rounded shares."""
+    from wayfare.workloads.live import merged
+
     free, steps, mm = t.vehicular_free(), t.masks_surface_and_hill(), F.col("length_mm")
     share = lambda c: F.sum(F.when(c, mm).otherwise(0))
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     programmes = F.split("programme", ";")
-    return tracks(spark, sf).groupBy("path_id").agg(
+    # what the far end and the live records add
+    ends = net.nodes(spark, sf).select(F.col("node_id").alias("v"), F.col("elev_cm").alias("v_elev"), (t.node_signal_m() > 0).alias("v_signal"), ((t.node_crossing_m() > 0) | (t.node_mini_m() > 0)).alias("v_stop"))
+    danger = n.car_roads(spark, sf).select(F.col("node_id").alias("v"), (F.col("danger_m") > 0).alias("v_danger"))
+    live = merged(spark, sf).select(F.col("street").alias("way_id"), F.lit(True).alias("live"))
+    rows = tracks(spark, sf).join(ends, "v").join(danger, "v").join(live, "way_id", "left")
+    rise = F.col("v_elev") - F.col("elev_cm")
+    grade = rise * 10e0 / mm
+    out = rows.groupBy("path_id").agg(
         F.sum("length_mm").alias("length_mm"),
         F.sum(F.when(free, 0).otherwise(F.col("risk_milli"))).alias("risk_milli"),
         share(t.is_lit()).alias("lit_mm"),
         share(~steps & t.rough()).alias("rough_mm"),
+        F.sum(F.when(~steps & (rise > 0), rise).otherwise(0)).alias("climb_cm"),
+        count(~steps & ((grade > t.UP) | (grade < t.DOWN))).alias("steep"),
         share(free).alias("free_mm"),
         share(t.yes("is_park") | t.yes("is_river")).alias("green_mm"),
         share(~free & (t.speed_stress(t.max_speed_kmh()) > 0)).alias("stress_mm"),
         share(F.array_contains(programmes, "quietway")).alias("quiet_mm"),
+        share(F.array_contains(programmes, "cycleway") | F.array_contains(programmes, "superhighway")).alias("cycleway_mm"),
         count(~free & (t.calming_m() > 0)).alias("calming"),
         count(t.barrier_hard() | (t.barrier_penalty(F.col("conf_tenths") / 10) > 0)).alias("barriers"),
+        count(t.barrier_penalty(F.col("conf_tenths") / 10) > 0).alias("barrier_penalties"),
+        count(F.col("v_signal")).alias("signals"),
+        count(F.col("v_stop") | F.col("v_danger")).alias("junctions"),
+        count(F.coalesce("live", F.lit(False))).alias("disruptions"),
         n.milli(ride_minutes(F.sum("length_mm") / 1000, F.lit(16.0))).alias("minutes_milli"),
     )
+    pct = lambda c: F.bround(F.col(c) * 100 / F.col("length_mm")).cast("bigint").alias(c.replace("_mm", "_pct"))
+    return out.select("*", *[pct(c) for c in ("lit_mm", "rough_mm", "free_mm", "green_mm", "stress_mm", "quiet_mm", "cycleway_mm")])
 
 
 def leg_totals(spark: SparkSession, sf: str) -> DataFrame:
-    """Legs (ten tracks each) of a trip: lengths add up, shares come from the legs' rounded shares."""
-    legs = path_stats(spark, sf).select((F.expr("path_id div 10")).alias("trip"), "length_mm", F.expr("(lit_mm * 200 + length_mm) div (2 * length_mm)").alias("lit_pct"))
-    return legs.groupBy("trip").agg(F.sum("length_mm").alias("length_mm"), F.expr("sum(length_mm * lit_pct) div sum(length_mm)").alias("lit_pct"))
+    """Legs (ten tracks each) of a trip: lengths and counts add up, shares come from the legs' rounded shares."""
+    shares = ("lit_pct", "rough_pct", "free_pct", "green_pct")
+    counts = ("length_mm", "climb_cm", "steep", "calming", "barriers", "signals", "junctions", "disruptions")
+    legs = path_stats(spark, sf).withColumn("trip", F.expr("path_id div 10"))
+    return legs.groupBy("trip").agg(*[F.sum(c).alias(c) for c in counts], *[F.expr(f"sum(length_mm * {c}) div sum(length_mm)").alias(c) for c in shares])
 
 
 def surface_runs(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,7 +186,7 @@ QUERIES = {
     "w09_joints": type_joints,
 }
 
-_TRACKS = net.SQL + ", tracks AS (SELECT w.*, gx AS seq, gy AS path_id, elev_cm FROM ways w JOIN nodes ON node_id = w.u WHERE way_id % 2 = 0) "
+_TRACKS = net.SQL + ", tracks AS (SELECT w.*, CASE WHEN way_id % 2 = 0 THEN gx ELSE gy END AS seq, CASE WHEN way_id % 2 = 0 THEN gy ELSE gx + 1000000 END AS path_id, elev_cm FROM ways w JOIN nodes ON node_id = w.u) "
 _ROUGH = f"(lower(surface) IN {n._in(t.BAD_SURFACES)})"
 _RUNS = "SELECT path_id, run, min(seq) AS first_seq, max(seq) AS last_seq, any_value(kind) AS kind, sum(length_mm)::BIGINT AS {mm}{more} FROM (SELECT *, sum(fresh) OVER (PARTITION BY path_id ORDER BY seq) - 1 AS run FROM (SELECT *, CASE WHEN lag(seq) OVER w = seq - 1 AND lag(kind) OVER w = kind THEN 0 ELSE 1 END AS fresh FROM kinds WINDOW w AS (PARTITION BY path_id ORDER BY seq))) GROUP BY path_id, run"
 
@@ -179,6 +203,28 @@ def _paths_sql(kind: str, requests: str = _REQUESTS) -> str:
     return base + f", top AS (SELECT max(node_id) AS m FROM nodes), req AS (SELECT q.*, a.x_u AS sx, a.y_u AS sy, b.x_u AS tx, b.y_u AS ty FROM ({requests}) q JOIN nodes a ON a.node_id = q.source JOIN nodes b ON b.node_id = q.target), near AS (SELECT request_id, e.u, e.v, e.{kind} AS c FROM req JOIN costs e ON {place('ux', 'uy')} AND {place('vx', 'vy')}), dist(request_id, node, c) USING KEY (request_id, node) AS (SELECT request_id::BIGINT, source::BIGINT, 0::BIGINT FROM req UNION SELECT d.request_id, e.v, min(d.c + e.c) FROM dist d JOIN near e ON e.u = d.node AND e.request_id = d.request_id LEFT JOIN recurring.dist r ON r.request_id = d.request_id AND r.node = e.v WHERE d.c + e.c < coalesce(r.c, 9000000000000000000) GROUP BY 1, 2), total AS (SELECT req.request_id, d.c AS total FROM req LEFT JOIN dist d ON d.request_id = req.request_id AND d.node = req.target) "
 
 
+def _stats_sql() -> str:
+    """CTE stats: the columns of path_stats."""
+    from wayfare.workloads.live import ORACLE_SQL as live
+
+    sum_of = lambda c: f"coalesce(sum(length_mm) FILTER (WHERE {c}), 0)::BIGINT"
+    feed = live["l04_merged_feeds"].replace("WITH e AS", ", e AS", 1)
+    at = feed.index(" SELECT coalesce(p.street")
+    has = lambda x: f"list_contains(string_split(programme, ';'), '{x}')"
+    cols = {
+        "length_mm": "sum(length_mm)::BIGINT", "risk_milli": f"sum(CASE WHEN {n._FREE} THEN 0 ELSE risk_milli END)::BIGINT", "lit_mm": sum_of(f"lower(lit) IN {n._in(t.LIT)}"), "rough_mm": sum_of(f"NOT {n._MASKED} AND {_ROUGH}"),
+        "climb_cm": f"sum(CASE WHEN NOT {n._MASKED} AND rise > 0 THEN rise ELSE 0 END)::BIGINT", "steep": f"count(*) FILTER (WHERE NOT {n._MASKED} AND (rise * 10::DOUBLE / length_mm > 0.033 OR rise * 10::DOUBLE / length_mm < -0.033))",
+        "free_mm": sum_of(n._FREE), "green_mm": sum_of("is_park = 'yes' OR is_river = 'yes'"), "stress_mm": sum_of(f"NOT {n._FREE} AND {n._STRESS} > 0"), "quiet_mm": sum_of(has("quietway")), "cycleway_mm": sum_of(f"({has('cycleway')} OR {has('superhighway')})"),
+        "calming": f"count(*) FILTER (WHERE NOT {n._FREE} AND {n._CALM['both']} > 0)", "barriers": f"count(*) FILTER (WHERE {n._HARD} OR {n._BARRIER_M} > 0)", "barrier_penalties": f"count(*) FILTER (WHERE {n._BARRIER_M} > 0)",
+        "signals": "count(*) FILTER (WHERE sig = 'yes')", "junctions": "count(*) FILTER (WHERE crossing IN ('zebra', 'uncontrolled') OR sig <> 'yes' AND mini IN ('yes', 'true', '1') OR roads >= 4 AND sig <> 'yes')", "disruptions": "count(*) FILTER (WHERE way_id IN (SELECT street FROM mg))",
+        "minutes_milli": n._m("(sum(length_mm) / 1000::DOUBLE / (16::DOUBLE / 3.6::DOUBLE * 60))"),
+    }
+    shares = ", ".join(f"cast(round_even({c} * 100 / length_mm::DOUBLE, 0) AS BIGINT) AS {c.replace('_mm', '_pct')}" for c in ("lit_mm", "rough_mm", "free_mm", "green_mm", "stress_mm", "quiet_mm", "cycleway_mm"))
+    # the feed's columns must not hide those of the streets
+    rows = "SELECT t.*, x.elev_cm - t.elev_cm AS rise, x.signals AS sig, x.crossing, x.mini, coalesce(roads, 0) AS roads FROM tracks t JOIN tagged_nodes x ON x.node_id = t.v LEFT JOIN roads ON roads.node_id = t.v"
+    return _TRACKS + f", {n._ROADS}{feed[:at]}, mg AS ({feed[at:]}), wide AS ({rows}), sums AS (SELECT path_id, " + ", ".join(f"{v} AS {k}" for k, v in cols.items()) + f" FROM wide GROUP BY path_id), stats AS (SELECT *, {shares} FROM sums) "
+
+
 def _compared_sql() -> str:
     one = lambda kind: _paths_sql(kind, _LEGS) + f"SELECT request_id // 10 AS trip, '{kind[:-3]}' AS mode, CASE WHEN count(total) = count(*) THEN sum(total)::BIGINT END AS cost_mm, count(*) AS legs FROM total GROUP BY 1"
     return f"SELECT * FROM ({one('fastest_mm')}) UNION ALL SELECT * FROM ({one('optimised_mm')})"
@@ -189,8 +235,8 @@ ORACLE_SQL = {
     "g05_optimised_paths": _paths_sql("optimised_mm") + "SELECT request_id, total FROM total",
     "g08_bounded_paths": _paths_sql("optimised_mm") + "SELECT request_id, total AS exact, true AS within FROM total",
     "g09_compared_routes": _compared_sql(),
-    "a09_path_stats": _TRACKS + f"SELECT path_id, sum(length_mm)::BIGINT AS length_mm, sum(CASE WHEN {n._FREE} THEN 0 ELSE risk_milli END)::BIGINT AS risk_milli, sum(CASE WHEN lower(lit) IN {n._in(t.LIT)} THEN length_mm ELSE 0 END)::BIGINT AS lit_mm, sum(CASE WHEN NOT {n._MASKED} AND {_ROUGH} THEN length_mm ELSE 0 END)::BIGINT AS rough_mm, sum(CASE WHEN {n._FREE} THEN length_mm ELSE 0 END)::BIGINT AS free_mm, sum(CASE WHEN is_park = 'yes' OR is_river = 'yes' THEN length_mm ELSE 0 END)::BIGINT AS green_mm, sum(CASE WHEN NOT {n._FREE} AND {n._STRESS} > 0 THEN length_mm ELSE 0 END)::BIGINT AS stress_mm, sum(CASE WHEN programme LIKE '%quietway%' THEN length_mm ELSE 0 END)::BIGINT AS quiet_mm, count(*) FILTER (WHERE NOT {n._FREE} AND {n._CALM['both']} > 0) AS calming, count(*) FILTER (WHERE {n._HARD} OR {n._BARRIER_M} > 0) AS barriers, {n._m('(sum(length_mm) / 1000::DOUBLE / (16::DOUBLE / 3.6::DOUBLE * 60))')} AS minutes_milli FROM tracks GROUP BY path_id",
-    "a10_leg_totals": _TRACKS + f", legs AS (SELECT path_id // 10 AS trip, sum(length_mm)::BIGINT AS mm, (sum(CASE WHEN lower(lit) IN {n._in(t.LIT)} THEN length_mm ELSE 0 END)::BIGINT * 200 + sum(length_mm)::BIGINT) // (2 * sum(length_mm)::BIGINT) AS pct FROM tracks GROUP BY path_id) SELECT trip, sum(mm)::BIGINT AS length_mm, sum(mm * pct)::BIGINT // sum(mm)::BIGINT AS lit_pct FROM legs GROUP BY trip",
+    "a09_path_stats": _stats_sql() + "SELECT * FROM stats",
+    "a10_leg_totals": _stats_sql() + "SELECT path_id // 10 AS trip, " + ", ".join(f"sum({c})::BIGINT AS {c}" for c in ("length_mm", "climb_cm", "steep", "calming", "barriers", "signals", "junctions", "disruptions")) + ", " + ", ".join(f"sum(length_mm * {c})::BIGINT // sum(length_mm)::BIGINT AS {c}" for c in ("lit_pct", "rough_pct", "free_pct", "green_pct")) + " FROM stats GROUP BY 1",
     "a11_mode_shares": _TRACKS + f"SELECT path_id, kind, mm, mm * 100 // sum(mm) OVER (PARTITION BY path_id)::BIGINT AS pct FROM (SELECT path_id, CASE WHEN {n._SEGREGATED} THEN 'segregated' WHEN {n._FREE} THEN 'shared' ELSE 'traffic' END AS kind, sum(length_mm)::BIGINT AS mm FROM tracks GROUP BY 1, 2)",
     "w04_surface_runs": _TRACKS + f", kinds AS (SELECT *, CASE WHEN {_ROUGH} THEN 'rough' ELSE 'smooth' END AS kind FROM tracks) " + _RUNS.format(mm="mm", more=", coalesce(arg_min(name, seq) FILTER (WHERE name <> ''), '') AS name"),
     "w05_green_runs": _TRACKS + ", kinds AS (SELECT *, CASE WHEN is_park = 'yes' THEN 'park' ELSE 'river' END AS kind FROM tracks WHERE is_park = 'yes' OR is_river = 'yes') " + _RUNS.format(mm="length_mm", more=""),

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfare import fixtures as net
+from wayfare.functions.geo import haversine_m
 from wayfare.operators import spatial
 from wayfare.operators.components import components
+from wayfare.session import settle
 
 REACH, SNAP, CLUSTER = 150, 200, 1000
 VIEW = (-90_000, 51_505_000, -70_000, 51_530_000)
@@ -60,15 +62,24 @@ def preferred_street(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("id", take["way_id"].alias("way_id"))
 
 
+#: Radii of the snap in microdegrees; farther than the limit in metres there is none.
+RADII, SNAP_LIMIT_M = (450, 1000, 10_300), 1000
+
+
 def widening_snap(spark: SparkSession, sf: str) -> DataFrame:
-    """Nearest street by growing radius: only points without one go on to the next."""
-    left, out = _points(spark, sf, "customer", "c_custkey", 5000), None
-    streets = _streets(spark, sf)
-    for radius in (45, 100, 1000):
-        hit = spatial.nearest(spatial.points_near_segments(left, streets, radius), "id", ["d", "way_id"]).select("id", "way_id", F.lit(radius).alias("radius"))
-        left = left.join(hit, "id", "left_anti")
+    """Nearest street by growing radius, only points without one going on to the next; the nearer end is the anchor."""
+    at = net.nodes(spark, sf).select("node_id", "x_u", "y_u")
+    streets = net.ways(spark, sf).select("way_id", "u", "v").join(at.toDF("u", "ux", "uy"), "u").join(at.toDF("v", "vx", "vy"), "v")
+    left, out = _points(spark, sf, "customer", "c_custkey", 9000), None
+    for radius in RADII:
+        near = spatial.points_near_segments(left, streets, radius)
+        foot = [(F.col("ux") + F.col("frac") * (F.col("vx") - F.col("ux"))) / 1e6, (F.col("uy") + F.col("frac") * (F.col("vy") - F.col("uy"))) / 1e6]
+        near = near.withColumn("metres", haversine_m(F.col("px") / 1e6, F.col("py") / 1e6, *foot))
+        hit = near.groupBy("id").agg(F.min(F.struct("d", "way_id", F.when(F.col("frac") <= 0.5, F.col("u")).otherwise(F.col("v")).alias("anchor"), "metres")).alias("x"))
+        hit = settle(hit.select("id", "x.way_id", "x.anchor", F.lit(radius).alias("radius"), "x.metres"))
+        left = settle(left.join(hit, "id", "left_anti"))
         out = hit if out is None else out.unionByName(hit)
-    return out
+    return out.filter(F.col("metres") <= SNAP_LIMIT_M).select("id", "way_id", "anchor", "radius")
 
 
 def junction_clusters(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,12 +102,10 @@ def zone_owner(spark: SparkSession, sf: str) -> DataFrame:
     """The zone that holds the most of a street, at least half of it; the later zone among equals."""
     s = _streets(spark, sf)
     box = spatial.segment_in_box_share(*[F.col(c) for c in ("ux", "uy", "vx", "vy", "x0", "x1", "y0", "y1")])
-    cells = s.withColumn("cx", F.expr("floor(ux / 8000)")).withColumn("cy", F.expr("floor(uy / 8000)"))
-    span = lambda a, b: F.sequence(F.expr(f"floor({a} / 8000) - 1"), F.expr(f"floor({b} / 8000) + 1"))
-    zones = _zones(spark, sf).withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
+    cells = s.withColumn("_c", spatial._cells(F.least("ux", "vx"), F.greatest("ux", "vx"), F.least("uy", "vy"), F.greatest("uy", "vy"), 8000)).select("*", "_c.cx", "_c.cy")
+    zones = _zones(spark, sf).withColumn("_c", spatial._cells(F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"), 8000)).select("zone", "x0", "x1", "y0", "y1", "_c.cx", "_c.cy")
     over = cells.join(zones, ["cx", "cy"]).withColumn("milli", F.floor(box * 1000 + 0.5).cast("bigint")).filter("milli >= 500")
-    top = F.row_number().over(Window.partitionBy("way_id").orderBy(F.desc("milli"), F.desc("zone")))
-    return over.withColumn("r", top).filter("r = 1").select("way_id", "zone", "milli")
+    return over.groupBy("way_id").agg(F.max(F.struct("milli", "zone")).alias("x")).select("way_id", "x.zone", "x.milli")
 
 
 def viewport(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,7 +148,7 @@ ORACLE_SQL = {
     "j07_nearest_node": net.SQL + _pts("pts", "customer", "c_custkey", 500) + f" SELECT id, node_id, d2 FROM (SELECT id, node_id, (px - x_u) * (px - x_u) + (py - y_u) * (py - y_u) AS d2 FROM pts, nodes WHERE abs(px - x_u) < {SNAP} AND abs(py - y_u) < {SNAP}) WHERE d2 < {SNAP * SNAP} QUALIFY row_number() OVER (PARTITION BY id ORDER BY d2, node_id) = 1",
     "j08_nearest_street": _C500 + f" SELECT id, way_id, cast(floor(d * 1000 + 0.5) AS BIGINT) AS d_milli, frac > 0.5 AS at_end FROM ({_near(SNAP)}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, way_id) = 1",
     "j10_preferred_street": net.SQL + _pts("pts", "supplier", "s_suppkey", 500) + _STREETS + f", near AS ({_near(SNAP)}), best AS (SELECT id, min((d, way_id)) FILTER (WHERE type = 'cycleway') AS cw, min((d, way_id)) FILTER (WHERE type <> 'cycleway') AS car FROM near GROUP BY 1) SELECT id, CASE WHEN car IS NULL OR cw[1] <= car[1] * 1.15::DOUBLE THEN cw[2] ELSE car[2] END AS way_id FROM best",
-    "j16_widening_snap": net.SQL + _pts("pts", "customer", "c_custkey", 5000) + _STREETS + f" SELECT id, way_id, CASE WHEN d <= 45 THEN 45 WHEN d <= 100 THEN 100 ELSE 1000 END AS radius FROM ({_near(1000)}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, way_id) = 1",
+    "j16_widening_snap": net.SQL + _pts("pts", "customer", "c_custkey", 9000) + _STREETS + f", best AS (SELECT id, way_id, d, frac FROM ({_near(10300)}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, way_id) = 1), foot AS (SELECT id, way_id, d, frac, px, py, greatest(ux, least(vx, px)) AS fx, greatest(uy, least(vy, py)) AS fy FROM best JOIN pts USING (id) JOIN streets USING (way_id)) SELECT id, way_id, CASE WHEN frac <= 0.5 THEN u ELSE v END AS anchor, CASE WHEN d <= 450 THEN 450 WHEN d <= 1000 THEN 1000 ELSE 10300 END AS radius FROM foot JOIN ways USING (way_id) WHERE 2 * 6371000::DOUBLE * asin(sqrt(sin(radians((fy - py) / 1e6::DOUBLE) / 2) ** 2 + cos(radians(py / 1e6::DOUBLE)) * cos(radians(fy / 1e6::DOUBLE)) * sin(radians((fx - px) / 1e6::DOUBLE) / 2) ** 2)) <= 1000",
     "g04_junction_clusters": net.SQL.replace("WITH grid", "WITH RECURSIVE grid", 1) + f", j AS (SELECT t.node_id, t.elev_cm, n.x_u, n.y_u FROM tagged_nodes t JOIN nodes n USING (node_id) WHERE signals = 'yes'), pairs AS (SELECT a.node_id AS a, b.node_id AS b FROM j a, j b WHERE abs(a.x_u - b.x_u) + abs(a.y_u - b.y_u) <= {CLUSTER}), reach AS (SELECT a, a AS b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b), label AS (SELECT b AS node_id, min(a) AS component FROM reach GROUP BY 1) SELECT node_id, component, row_number() OVER (PARTITION BY component ORDER BY elev_cm DESC, node_id) > 1 AS suppressed FROM j JOIN label USING (node_id)",
     "j14_zone_owner": net.SQL + _STREETS + ", zones AS (SELECT n_nationkey::BIGINT AS zone, -100000 + n_nationkey % 5 * 8000 AS x0, 51500000 + n_nationkey // 5 * 8000 AS y0 FROM nation), over AS (SELECT way_id, zone, cast(floor(greatest(0, CASE WHEN ux = vx THEN (least(vy, y0 + 9500) - greatest(uy, y0)) / (vy - uy)::DOUBLE ELSE (least(vx, x0 + 9500) - greatest(ux, x0)) / (vx - ux)::DOUBLE END) * 1000 + 0.5) AS BIGINT) AS milli FROM streets, zones WHERE vx >= x0 AND ux <= x0 + 9500 AND vy >= y0 AND uy <= y0 + 9500) SELECT * FROM over WHERE milli >= 500 QUALIFY row_number() OVER (PARTITION BY way_id ORDER BY milli DESC, zone DESC) = 1",
     "t01_viewport": net.SQL + _STREETS + f", seen AS (SELECT * FROM streets WHERE vx > {VIEW[0]} AND ux < {VIEW[2]} AND vy > {VIEW[1]} AND uy < {VIEW[3]}) SELECT way_id, (ux + vx - {VIEW[0] + VIEW[2]}) ** 2 + (uy + vy - {VIEW[1] + VIEW[3]}) ** 2 AS d2, (SELECT count(*) FROM seen) AS found FROM seen ORDER BY d2, way_id LIMIT 300",
