@@ -26,9 +26,9 @@ def geojson_segments(spark: SparkSession, path: str, name_key: str) -> DataFrame
     return ends.select("name", "line", "seq", *[F.col(f"s.{p}")[i].alias(p + "xy"[i]) for p in ("a", "b") for i in (0, 1)])
 
 
-def stations(spark: SparkSession, path: str) -> DataFrame:
+def stations(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Hire stations that are installed and not locked, with their counters."""
-    rows = spark.read.schema(STATIONS).option("multiLine", True).json(path)
+    rows = spark.read.schema(STATIONS).option("multiLine", multi_line).json(path)
     kv = F.map_from_entries(F.transform("additionalProperties", lambda p: F.struct(p["key"], p["value"])))
     rows = rows.withColumn("p", kv).filter("lower(p['Installed']) = 'true' AND lower(coalesce(p['Locked'], 'false')) <> 'true'")
     return rows.select("id", F.col("commonName").alias("name"), "lat", "lon", *[F.col("p")[k].try_cast("int").alias(n) for k, n in (("NbBikes", "bikes"), ("NbEmptyDocks", "empty"), ("NbDocks", "docks"))])
