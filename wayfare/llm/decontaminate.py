@@ -5,9 +5,11 @@ impact, in blocks that know their largest impact. Impacts are divided by the
 item's score against itself, so that one threshold fits items of any length.
 Every document is cut into overlapping passages, twice as long as the longest
 item and at steps of half of that, so each item that occurs lies whole in one.
-Every passage queries the index: the sums of block maxima rule out the blocks of
-items that can't reach the threshold, and block-max WAND runs over the lists of
-what is left and returns every item at or above it. Items
+Every passage queries the whole index once, by block-max WAND: the lists' best
+impacts give the pivot, a pivot in a block of items whose maxima can't reach the
+threshold moves on to the next block that can, the maxima of the lists' own
+blocks rule out the pivot or let it be scored, and every item at or above the
+threshold is returned. Items
 found are verified on the text: of the item's question (its first words) and of
 its answer (the rest), the share of word n-grams that the passage holds.
 
@@ -78,6 +80,8 @@ class Index:
         self.impact = {t: [x for _, x in p] for t, p in postings.items()}
         self.best = {t: max(x) for t, x in self.impact.items()}
         self.block = block
+        #: How many pivots were passed over, and how many items were scored.
+        self.skipped = self.scored = 0
         self.block_max = {t: [max(x[k : k + block]) for k in range(0, len(x), block)] for t, x in self.impact.items()}
         # the largest impact of each term for each block of items
         self.term = {t: k for k, t in enumerate(postings)}
@@ -87,15 +91,9 @@ class Index:
                 k = self.term[t]
                 self.bound[k, i // block] = max(self.bound[k, i // block], x)
 
-    def search(self, terms: set[str], threshold: float, lowest: int = 0, end: int = 1 << 60) -> list[tuple[int, float]]:
-        """All items from lowest to before end whose score reaches threshold, by block-max WAND."""
-        at = []
-        for t in terms:
-            own = self.items.get(t)
-            if own:
-                p = bisect.bisect_left(own, lowest)
-                if p < len(own):
-                    at.append([own[p], p, t])
+    def search(self, terms: set[str], threshold: float, blocks: list[int] | None = None) -> list[tuple[int, float]]:
+        """All items whose score reaches threshold, by block-max WAND. blocks: ascending blocks of items that can reach it, if known."""
+        at = [[self.items[t][0], 0, t] for t in terms if t in self.items]
         found = []
         while at:
             at.sort(key=lambda c: c[0])
@@ -108,8 +106,14 @@ class Index:
             if pivot < 0:
                 break
             item = at[pivot][0]
-            if item >= end:
-                break
+            if blocks is not None:
+                k = bisect.bisect_left(blocks, item // self.block)
+                if k == len(blocks):
+                    break
+                if blocks[k] > item // self.block:
+                    self.skipped += 1
+                    at = self._advance(at, pivot, blocks[k] * self.block)
+                    continue
             while pivot + 1 < len(at) and at[pivot + 1][0] == item:
                 pivot += 1
             # block maxima of the lists up to the pivot, at the blocks that hold the item
@@ -123,29 +127,34 @@ class Index:
                 last = own[min((k + 1) * self.block, len(own)) - 1]
                 jump = last + 1 if jump is None else min(jump, last + 1)
             if shallow < threshold - 1e-9:
+                self.skipped += 1
                 target = max(item + 1, jump)
                 if pivot + 1 < len(at):
                     target = max(item + 1, min(target, at[pivot + 1][0]))
             elif at[0][0] == item:
+                self.scored += 1
                 score = sum(self.impact[c[2]][c[1]] for c in at[: pivot + 1])
                 if score >= threshold - 1e-9:
                     found.append((item, score))
                 target = item + 1
             else:
                 target = item
-            left = []
-            for k, c in enumerate(at):
-                if k <= pivot and c[0] < target:
-                    own, p = self.items[c[2]], c[1]
-                    while p < len(own) and own[p] < target:
-                        p += 1
-                    if p == len(own):
-                        continue
-                    c[0], c[1] = own[p], p
-                left.append(c)
-            at = left
+            at = self._advance(at, pivot, target)
         return found
 
+    def _advance(self, at: list, pivot: int, target: int) -> list:
+        """The cursors up to the pivot moved to the first item from target on; those at their end are dropped."""
+        left = []
+        for k, c in enumerate(at):
+            if k <= pivot and c[0] < target:
+                own = self.items[c[2]]
+                p = bisect.bisect_left(own, target, c[1])
+                if p == len(own):
+                    continue
+                c[0], c[1] = own[p], p
+            left.append(c)
+        return left
+
     def match(self, words: list[str], threshold: float, overlap: float) -> dict[int, tuple[float, float, float]]:
         """item number -> score, question overlap, answer overlap: the best passage of those verified."""
         get = self.term.get
@@ -158,12 +167,10 @@ class Index:
             own = np.unique(known[a:b])
             reach = np.flatnonzero(self.bound[own].sum(axis=0) >= threshold - 1e-5)
             if len(reach):
-                terms = set(words[a:b])
-                for k in reach.tolist():
-                    for item, score in self.search(terms, threshold, k * self.block, (k + 1) * self.block):
-                        share = self.verify(item, words[a:b])
-                        if min(share) >= overlap and (item not in out or score > out[item][0]):
-                            out[item] = (score, *share)
+                for item, score in self.search(set(words[a:b]), threshold, reach.tolist()):
+                    share = self.verify(item, words[a:b])
+                    if min(share) >= overlap and (item not in out or score > out[item][0]):
+                        out[item] = (score, *share)
         return out
 
     def verify(self, item: int, words: list[str]) -> list[float]:
@@ -179,16 +186,21 @@ def _indexes(spark: SparkSession, benchmark: DataFrame, item_col: str, item_text
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, math.ceil(size / index_bytes))
     items = settle(items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts))))
-    df: Counter[str] = Counter()
-    length = n_items = 0
-    for r in items.toLocalIterator():  # counts over all items, a partition at a time
-        own = words_of(r["text"])
-        if own:
-            df.update(set(own))
-            length += len(own)
-            n_items += 1
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = Counter(words_of(text))
+                if own:  # "" counts items, words aren't empty
+                    yield pa.RecordBatch.from_pydict({"part": [part] * (len(own) + 1), "word": ["", *own], "n": [sum(own.values()), *own.values()]}, pa.schema([("part", pa.int32()), ("word", pa.string()), ("n", pa.int64())]))
+
+    held = settle(items.select(F.col("part").cast("int"), "text").mapInArrow(words, "part int, word string, n long").groupBy("part", "word").agg(F.count("*").alias("items"), F.sum("n").alias("n")))
+    total = held.filter("word = ''").agg(F.sum("items").alias("items"), F.sum("n").alias("n")).first()
+    n_items, length = total["items"] or 0, total["n"] or 0
+    counts = held.filter("word <> ''").groupBy("word").agg(F.sum("items").alias("df"))
     for p in range(parts):
         own = [(r["item"], r["text"]) for r in items.filter(F.col("part") == p).orderBy("item", "text").collect() if words_of(r["text"])]  # about index_bytes
+        df = {r["word"]: r["df"] for r in held.filter((F.col("part") == p) & (F.col("word") != "")).join(counts, "word").select("word", "df").collect()}  # words of about index_bytes
         # shelves of some items each, so that their tables of block maxima stay small
         shelves, room = [[]], shelf_bytes
         for item in sorted(own, key=lambda x: len(x[1])):

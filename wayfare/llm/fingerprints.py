@@ -157,8 +157,14 @@ def _range_of(edges: list[int]):
     return find(F.col("k"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, permutations: int = 128, bands: int = 16, threshold: float = 0.8) -> DataFrame:
-    """Per text: id, class_id (least id that verified links reach). Texts meet in buckets of equal bands; each is verified by Jaccard against the least id of its bucket."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, permutations: int = 126, bands: int = 21, threshold: float = 0.8) -> DataFrame:
+    """Per text: id, class_id (least id that verified links reach; the own id of a text that links with none).
+
+    Sets meet in buckets of equal bands: with 21 bands of 6, two sets of similarity 0.8 share one with probability 0.998.
+    Equal sets count once. First each set is verified by Jaccard against the least set of its bucket. Then, in buckets
+    that still hold several components, the sets outside the bucket's largest component are verified against all sets
+    of other components, so every link of a bucket counts, and copies of one another aren't paired.
+    """
     ship(docs.sparkSession)
     rows_in_band = permutations // bands
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -174,13 +180,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 for r in range(1, rows_in_band):
                     mixed = mix(mixed ^ mix(band[:, :, r]))
                 mixed = mix(mixed + np.arange(bands, dtype=U)).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "items": pa.array([s.tobytes() for s in sets], pa.binary()), "bands": pa.array([b.tolist() if len(s) else [] for b, s in zip(mixed, sets)], pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({
+                "id": batch.column(0),
+                "key": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                "items": pa.array([s.tobytes() for s in sets], pa.binary()),
+                "bands": pa.array([b.tolist() for b in mixed], pa.list_(pa.int64())),
+            })
 
-    sets = settle(rows.mapInArrow(keys, "id long, items binary, bands array<long>"))
-    each = sets.filter("id IS NOT NULL").select("id", F.explode("bands").alias("band"))
-    least = each.groupBy("band").agg(F.min("id").alias("hub"))
-    pairs = each.join(least, "band").filter("id <> hub").select("id", "hub").distinct()
-    one = sets.groupBy("id").agg(F.first("items").alias("items"))
+    found = settle(rows.mapInArrow(tidied(keys), "id long, key binary, items binary, bands array<long>"))
+    sets = settle(found.filter("key IS NOT NULL").groupBy("key").agg(F.first("items").alias("items"), F.first("bands").alias("bands")))
+    each = sets.select("key", F.explode("bands").alias("band"))
 
     @F.pandas_udf("double")
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -191,6 +200,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out.append(both / (len(x) + len(y) - both))
         return pd.Series(out, dtype="float64")
 
-    checked = pairs.join(one, "id").join(one.select(F.col("id").alias("hub"), F.col("items").alias("hub_items")), "hub").filter(jaccard("items", "hub_items") >= threshold)
-    comp = components(checked.select(F.col("id").alias("a"), F.col("hub").alias("b")))
-    return rows.select("id").join(comp.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("class_id"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        one, two = sets.select(F.col("key").alias("a"), F.col("items").alias("x")), sets.select(F.col("key").alias("b"), F.col("items").alias("y"))
+        near = F.least(F.length("x"), F.length("y")) >= F.greatest(F.length("x"), F.length("y")) * threshold
+        return pairs.distinct().join(one, "a").join(two, "b").filter(near).filter(jaccard("x", "y") >= threshold).select("a", "b")
+
+    least = each.groupBy("band").agg(F.min("key").alias("a"))
+    links = settle(verified(each.join(least, "band").filter("key <> a").select("a", F.col("key").alias("b"))))
+    comp = components(links)
+    label = settle(each.join(comp.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("component", "key").alias("comp")))
+    sizes = label.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("band").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp"))["comp"].alias("main")).filter("comps > 1").select("band", "main")
+    several = label.join(split, "band")
+    few = several.filter("comp <> main").select("band", F.col("key").alias("p"), F.col("comp").alias("pc"), "main")
+    pairs = few.join(several.select("band", "key", "comp"), "band").filter("comp <> pc AND (comp = main OR p < key)")
+    links = links.unionByName(settle(verified(pairs.select(F.least("p", "key").alias("a"), F.greatest("p", "key").alias("b")))))
+    comp = components(links)
+    named = found.select("id", "key").join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key"))
+    low = named.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("id").alias("class_id"))
+    return named.join(low, "comp", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
