@@ -43,6 +43,8 @@ U = np.uint64
 BASE, MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 #: A key that more texts hold than this is common.
 COMMON = 256
+#: Parts of a shard that the kernel works on one after the other. Contexts of one key lie in one part.
+PARTS = 8
 NOTE = "block long, shard int, payload binary"
 
 
@@ -338,7 +340,7 @@ class Search:
         noted = join_notes(blocks, n1=common)
         exact = settle(count_keys(noted.mapInArrow(tidied(self._whole()), KEYS)))
         noted = join_notes(blocks, n1=common, n2=exact)
-        answers = settle(self._answer(noted.mapInArrow(tidied(self._contexts()), "shard int, block long, sizes binary, smallest binary, data binary")))
+        answers = settle(self._answer(noted.mapInArrow(tidied(self._contexts()), "shard int, block long, parts binary, sizes binary, smallest binary, data binary")))
         return join_notes(blocks, n1=common, n2=exact, n3=answers)
 
     def _keys(self):
@@ -370,7 +372,7 @@ class Search:
         return run
 
     def _runs(self, row: dict, w: Windows) -> tuple[list, list, np.ndarray, np.ndarray]:
-        """Contexts of a block: (shard, contents in order) and, of each run, its first window, its windows and its context."""
+        """Contexts of a block: (part, contents in order) and, of each run, its first window, its windows and its context. PARTS parts make a shard."""
         kind, asked = self._asked(row, w)
         chosen = kind >= 1
         route = w.key.copy()
@@ -386,10 +388,10 @@ class Search:
         start, owner, route = w.start[at], w.owner[at], route[at]
         head = np.flatnonzero(np.r_[True, (route[1:] != route[:-1]) | (start[1:] != start[:-1] + 1) | (owner[1:] != owner[:-1])])
         size = np.diff(np.r_[head, len(at)])
-        shard = (mix(route[head] ^ MIX2) % U(self.s2)).astype(np.int64)
+        part = (mix(route[head] ^ MIX2) % U(self.s2 * PARTS)).astype(np.int64)
         known: dict[tuple[int, bytes], int] = {}
         content, more = w.units.content, self.length - 1
-        which = np.fromiter((known.setdefault((s, content(a, a + n + more)), len(known)) for s, a, n in zip(shard.tolist(), start[head].tolist(), size.tolist())), np.int64, len(head))
+        which = np.fromiter((known.setdefault((s, content(a, a + n + more)), len(known)) for s, a, n in zip(part.tolist(), start[head].tolist(), size.tolist())), np.int64, len(head))
         return list(known), owner[head], np.stack([start[head], size]), which
 
     def _contexts(self):
@@ -401,12 +403,10 @@ class Search:
                     continue
                 smallest = np.full(len(known), np.iinfo(np.int64).max)
                 np.minimum.at(smallest, which, w.units.block.ids[owner])
-                shards = np.array([s for s, _ in known])
-                for s in np.unique(shards).tolist():
-                    own = np.flatnonzero(shards == s)
+                for s, own, parts in _in_shards(known):
                     texts = [known[i][1] for i in own.tolist()]
                     yield pa.RecordBatch.from_pydict(
-                        {"shard": pa.array([s], pa.int32()), "block": pa.array([row["block"]], pa.int64()), "sizes": pa.array([np.array([len(x) for x in texts], np.int32).tobytes()], pa.binary()), "smallest": pa.array([squeeze(smallest[own].tobytes())], pa.binary()), "data": pa.array([squeeze(b"".join(texts))], pa.binary())}
+                        {"shard": pa.array([s], pa.int32()), "block": pa.array([row["block"]], pa.int64()), "parts": pa.array([np.bincount(parts, minlength=PARTS).astype(np.int32).tobytes()], pa.binary()), "sizes": pa.array([np.array([len(x) for x in texts], np.int32).tobytes()], pa.binary()), "smallest": pa.array([squeeze(smallest[own].tobytes())], pa.binary()), "data": pa.array([squeeze(b"".join(texts))], pa.binary())}
                     )
 
         return run
@@ -418,28 +418,40 @@ class Search:
             return (text.count(b" ") + 1 if kind == "words" else len(text)) - length + 1
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            known: dict[bytes, int] = {}
-            smallest: list[int] = []
-            each = []
-            for sizes, small, data in zip(pdf["sizes"], pdf["smallest"], pdf["data"]):
-                ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
-                data, a, own = expand(data), 0, []
-                for b, least in zip(ends, np.frombuffer(expand(small), np.int64).tolist()):
-                    i = known.setdefault(data[a:b], len(known))
-                    if i == len(smallest):
-                        smallest.append(least)
-                    elif least < smallest[i]:
-                        smallest[i] = least
-                    own.append(i)
-                    a = b
-                each.append(np.array(own))
-            texts = list(known)
-            known.clear()
-            first = kernel(texts, smallest, length)
-            size = np.array([windows(x) for x in texts])
-            base = np.cumsum(size) - size
-            payload = [squeeze(first[np.repeat(base[own], size[own]) + _ranges(size[own])].tobytes()) for own in each]
-            del texts, first
+            least = [np.frombuffer(expand(x), np.int64) for x in pdf["smallest"]]
+            data = [expand(x) for x in pdf["data"]]
+            ends = [np.cumsum(np.frombuffer(x, np.int32)) for x in pdf["sizes"]]
+            cuts = [np.r_[0, np.cumsum(np.frombuffer(x, np.int32))].tolist() for x in pdf["parts"]]
+            answers: list[list[np.ndarray]] = [[] for _ in data]
+            for part in range(PARTS):
+                known: dict[bytes, int] = {}
+                smallest: list[int] = []
+                each = []
+                for r, text in enumerate(data):
+                    lo, hi = cuts[r][part : part + 2]
+                    a, own = int(ends[r][lo - 1]) if lo else 0, []
+                    for b, low in zip(ends[r][lo:hi].tolist(), least[r][lo:hi].tolist()):
+                        i = known.setdefault(text[a:b], len(known))
+                        if i == len(smallest):
+                            smallest.append(low)
+                        elif low < smallest[i]:
+                            smallest[i] = low
+                        own.append(i)
+                        a = b
+                    each.append(np.array(own, np.int64))
+                texts = list(known)
+                known.clear()
+                if not texts:
+                    continue
+                first = kernel(texts, smallest, length)
+                size = np.array([windows(x) for x in texts])
+                base = np.cumsum(size) - size
+                for out, own in zip(answers, each):
+                    if len(own):
+                        out.append(first[np.repeat(base[own], size[own]) + _ranges(size[own])])
+                del texts, first
+            payload = [squeeze(np.concatenate([np.empty(0, np.int64), *x]).tobytes()) for x in answers]
+            del answers, data
             tidy()
             return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "payload": payload})
 
@@ -456,10 +468,8 @@ class Search:
             got = {x["shard"]: np.frombuffer(expand(x["payload"]), np.int64) for x in row["n3"]}
             size_of = np.zeros(len(known), np.int64)
             size_of[which] = runs[1]
-            shards = np.array([s for s, _ in known])
             first, base, at = [], np.zeros(len(known), np.int64), 0
-            for s in np.unique(shards).tolist():
-                own = np.flatnonzero(shards == s)
+            for s, own, _ in _in_shards(known):
                 base[own] = at + np.cumsum(size_of[own]) - size_of[own]
                 first.append(got[s])
                 at += len(got[s])
@@ -476,6 +486,16 @@ class Search:
         return units, gone
 
 
+def _in_shards(known: list[tuple[int, bytes]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, its contexts in order of part, the part of each) for contexts (part over all shards, content)."""
+    parts = np.array([p for p, _ in known])
+    order = np.argsort(parts, kind="stable")
+    parts = parts[order]
+    shard = parts // PARTS
+    head = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+    return [(int(shard[a]), order[a:b], parts[a:b] % PARTS) for a, b in zip(head, np.r_[head[1:], len(order)])]
+
+
 def _ranges(sizes: np.ndarray) -> np.ndarray:
     """0..n-1 for each n, one after the other."""
     total = int(sizes.sum())

@@ -18,9 +18,12 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from wayfare.llm.blocks import NULL_ID, tidied
 from wayfare.llm.repeats import Search, rows_of
+from wayfare.operators.ranking import global_rank
+from wayfare.session import settle
 
 U = np.uint64
 
@@ -98,6 +101,65 @@ def difference_cover_sort(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def suffix_ranks(symbols: DataFrame, max_levels: int = 40) -> DataFrame:
+    """(pos, rank) of the suffixes of one string, rank from 1, by difference cover over DataFrames alone.
+
+    symbols: (pos long, gapless from 0, v long, from 1). Sampled triples are named by a range sort over their distinct
+    values; where names repeat, the string of names is ranked by recursion; the suffixes at 0 mod 3 find their place
+    among each class of the sample by a range sort of keys that both can form. Every sort is a range exchange, so no
+    task holds the string.
+    """
+    spark = symbols.sparkSession
+    symbols = settle(symbols.select("pos", "v"))
+    n = symbols.count()
+    if max_levels == 0:
+        raise RuntimeError("difference cover did not end")
+    if not n:
+        return symbols.select("pos", F.lit(0).cast("bigint").alias("rank"))
+
+    def following(rows: DataFrame, names: list[str], value: str) -> DataFrame:
+        """pos with value at pos, pos + 1, ... as the names; 0 behind the end."""
+        shifted = rows.select(F.explode(F.array(*[F.struct((F.col("pos") - d).alias("pos"), F.lit(d).alias("d"), F.col(value).alias("x")) for d in range(len(names))])).alias("s")).select("s.*")
+        return shifted.filter(f"pos >= 0 AND pos < {n}").groupBy("pos").agg(*[F.coalesce(F.max(F.when(F.col("d") == d, F.col("x"))), F.lit(0)).alias(c) for d, c in enumerate(names)])
+
+    ahead = settle(following(symbols, ["a", "b", "c"], "v"))
+    # a string whose length is 1 mod 3 lends the sample one empty suffix, so that the two classes of names stay apart
+    sample = ahead.filter("pos % 3 <> 0")
+    if n % 3 == 1:
+        sample = sample.unionByName(spark.createDataFrame([(n, 0, 0, 0)], "pos long, a long, b long, c long"))
+    sample = settle(sample)
+    named = global_rank(sample.select("a", "b", "c").distinct(), ["a", "b", "c"], "name")
+    names = settle(sample.join(named, ["a", "b", "c"]).select("pos", "name"))
+    count, distinct = names.count(), named.count()
+    ones = (n + 1) // 3 + (n % 3 == 1) if n % 3 else n // 3
+    place = F.when(F.col("pos") % 3 == 1, F.expr("pos div 3")).otherwise(F.expr("pos div 3") + ones)
+    if distinct == count:
+        ranked = names.select("pos", F.col("name").alias("rank"))
+    else:
+        inner = suffix_ranks(names.select(place.alias("pos"), F.col("name").alias("v")), max_levels - 1)
+        back = F.when(F.col("pos") < ones, F.col("pos") * 3 + 1).otherwise((F.col("pos") - ones) * 3 + 2)
+        ranked = inner.select(back.alias("pos"), "rank")
+    ranked = settle(ranked)
+    # the ranks that follow a position, 0 behind the end
+    after = ahead.join(ranked.select((F.col("pos") - 1).alias("pos"), F.col("rank").alias("r1")), "pos", "left").join(ranked.select((F.col("pos") - 2).alias("pos"), F.col("rank").alias("r2")), "pos", "left")
+    after = settle(after.select("pos", "a", "b", F.coalesce("r1", F.lit(0)).alias("r1"), F.coalesce("r2", F.lit(0)).alias("r2")))
+
+    def placed(rows: DataFrame, key: list[str]) -> DataFrame:
+        """pos, before: of the rest and one class of the sample in the order of key, how many of the other kind stand before."""
+        at = global_rank(rows, key, "all")
+        # all in front, less those of the own class
+        own = global_rank(rows.filter(F.col("pos") % 3 == 0), key, "own").select("pos", "own").unionByName(global_rank(rows.filter(F.col("pos") % 3 != 0), key, "own").select("pos", "own"))
+        return at.join(own, "pos").select("pos", (F.col("all") - F.col("own")).alias("before"))
+
+    one = placed(after.filter("pos % 3 <> 2"), ["a", "r1"])
+    two = placed(after.filter("pos % 3 <> 1"), ["a", "b", "r2"])
+    rest = global_rank(after.filter("pos % 3 = 0"), ["a", "r1"], "own").select("pos", "own")
+    sampled = global_rank(ranked.filter(f"pos < {n}"), ["rank"], "own").select("pos", "own")
+    own = rest.unionByName(sampled)
+    moved = one.unionByName(two).groupBy("pos").agg(F.sum("before").alias("before"))
+    return settle(own.join(moved, "pos").select("pos", (F.col("own") + F.col("before")).alias("rank")))
+
+
 def suffix_kernel(contexts: list[bytes], smallest: list[int], length: int) -> np.ndarray:
     """For each window of each context, the smallest id of a context that holds it."""
     joined = np.frombuffer(b"\0".join(contexts) + b"\0" * (length + 8), np.uint8)
