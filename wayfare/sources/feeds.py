@@ -82,3 +82,11 @@ def newest(spark: SparkSession, path: str, versions: list[int]) -> DataFrame:
         if mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
             return spark.read.parquet(f"{path}/{v}")
     raise FileNotFoundError(path)
+
+
+def latest_version(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version among the numbered folders at path."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    names = [x.getPath().getName() for x in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)]
+    return newest(spark, path, [int(x) for x in names if x.isdigit()])
