@@ -27,6 +27,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 4
     """(node, component): component is the least node that the undirected edges reach. Nodes without an edge to another node don't appear."""
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     pairs = settle(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    # one small star first: where many nodes hang on the same few, that leaves one link a node and one a pair of those few
+    pairs = settle(_star(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), False).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(max_rounds):
         state = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
