@@ -11,7 +11,7 @@ from wayfare.functions import display as d
 from wayfare.functions import geo
 from wayfare.functions.feeds import feed_time
 from wayfare.functions.text import ride_minutes, vias
-from wayfare.operators.limits import budget_stream, lockout_stream
+from wayfare.streaming.limits import budget_stream, lockout_stream
 from wayfare.plans import cost, requests as rq
 
 NOW = "timestamp '2024-03-31 00:45:00'"

@@ -12,6 +12,7 @@ from wayfare.functions import tags as t
 from wayfare.operators import spatial as op
 from wayfare.plans.rules import within_window
 from wayfare.session import shared_folder
+from wayfare.streaming.polls import last_good_poll
 from wayfare.workloads import build, spatial as sp
 
 #: Budgets as (name, seconds, most).
@@ -30,18 +31,8 @@ def polled(spark: SparkSession, sf: str) -> DataFrame:
         rows = e.filter(F.col("event_id") % 3 >= k)
         text = F.lit("<html>busy</html>") if k == 2 else F.to_json(F.struct("event_id", "street"))
         rows.select(text.alias("value")).coalesce(1).write.mode("append").text(f"{where}/in")
-    feed = spark.readStream.option("maxFilesPerTrigger", 1).option("pathGlobFilter", "part-*").text(f"{where}/in")  # oldest file first
-
-    def keep(batch: DataFrame, number: int) -> None:
-        got = batch.select(F.from_json("value", "event_id long, street long").alias("r")).filter("r.event_id IS NOT NULL").select("r.*")
-        if not got.isEmpty():  # a failed poll leaves the last state
-            got.write.mode("overwrite").parquet(f"{where}/state/{number}")
-
-    q = feed.writeStream.foreachBatch(keep).option("checkpointLocation", f"{where}/log").trigger(availableNow=True).start()
-    q.awaitTermination()
-    from wayfare.sources.feeds import latest_version
-
-    return latest_version(spark, f"{where}/state").groupBy("street").agg(F.count("*").alias("n"), F.max("event_id").alias("event_id"))
+    now = last_good_poll(spark, f"{where}/in", where, "event_id long, street long", "event_id")
+    return now.groupBy("street").agg(F.count("*").alias("n"), F.max("event_id").alias("event_id"))
 
 
 def budgets(spark: SparkSession, sf: str) -> DataFrame:
