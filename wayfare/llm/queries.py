@@ -9,6 +9,8 @@ from wayfare.llm.decontaminate import contamination
 from wayfare.llm.fingerprints import neighbours
 from wayfare.llm.html_extract import html_extract
 from wayfare.llm.jaccard_join import jaccard_components
+from wayfare.llm.line_dedup import ORACLE as LINE_DEDUP
+from wayfare.llm.line_dedup import line_dedup_digest
 from wayfare.llm.packing import best_fit_packing
 from wayfare.llm.sharding import balanced_shards
 from wayfare.llm.substring_dedup import substring_dedup
@@ -67,6 +69,10 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract(table(spark, sf_dir, "pages"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup_digest(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_jaccard_join": op2_jaccard_join,
@@ -78,7 +84,8 @@ QUERIES = {
     "op8_suffix_array": op8_suffix_array,
     "op9_url_filter": op9_url_filter,
     "op10_html_extract": op10_html_extract,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 #: Queries whose result SQL can express at the size of the SQL check.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_line_dedup": LINE_DEDUP}
