@@ -108,3 +108,120 @@ def test_null_and_repeated_ids(spark):
     linked = [(d, t) for d, t in docs if t and len(t.split()) == 40]
     assert Counter(x for x in kept if x not in linked) == Counter(x for x in docs if x not in linked)
     assert Counter(d for d, t in kept if (d, t) in linked) == Counter([None] * 6 + [100 + g for g in range(1, 12, 2)])
+
+
+def listed_pairs(monkeypatch):
+    """What each call of the segment search lists."""
+    from wayfare.llm import jaccard_join
+
+    counts, search = [], jaccard_join._segment_pairs
+
+    def counted(*a):
+        out = search(*a).cache()
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_segment_pairs", counted)
+    return counts
+
+
+def changed(r, words, share, names):
+    return [f"{names}{r.randrange(10**6)}" if r.random() < share else w for w in words]
+
+
+def test_two_large_groups_of_long_texts(spark, monkeypatch):
+    """About 0.7 alike between the groups and over 0.9 inside: no pair between the groups needs a check on whole sets, or few do."""
+    counts = listed_pairs(monkeypatch)
+    totals = []
+    for n in (15, 45):
+        r = random.Random(n)
+        one = [f"w{r.randrange(10**6)}" for _ in range(2600)]
+        two = changed(r, one, 0.035, "y")
+        docs = [(2 * i + g, " ".join(changed(r, base, 0.004, "z"))) for g, base in enumerate((one, two)) for i in range(n)]
+        del counts[:]
+        got = sorted(tuple(x) for x in jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect())
+        assert [x[2] for x in got] == [x[0] % 2 for x in got]
+        totals.append(sum(counts))
+    assert totals[1] <= 3 * totals[0] + 2 * 90
+
+
+def test_star_of_copies(spark, monkeypatch):
+    """Copies link with their origin only; with no hub links at all, the search by segments lists them in proportion to the documents."""
+    from wayfare.llm import jaccard_join
+
+    counts = listed_pairs(monkeypatch)
+    monkeypatch.setattr(jaccard_join, "_bands", lambda items: [int(items[0]) >> 1])
+    for n in (40, 160):
+        r = random.Random(n)
+        base = [f"w{r.randrange(10**6)}" for _ in range(300)]
+        docs = [(5000, " ".join(base))] + [(i, " ".join(changed(r, base, 0.022, "z"))) for i in range(n)]
+        del counts[:]
+        assert sorted(tuple(x) for x in jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()) == brute(docs)
+        assert sum(counts) < 60 * n
+
+
+def test_bitmaps_never_rule_out_a_link():
+    """Of two linked sets some segment passes by itself and with its chain; bits that differ never outnumber items."""
+    import numpy as np
+
+    from wayfare.llm.jaccard_join import chain_sizes, divisions, linked, parities
+    from wayfare.llm.repeats import U, mix
+
+    r = np.random.default_rng(5)
+    for n in (20, 300, 700, 3000):
+        for _ in range(20):
+            x = np.unique(r.integers(0, 2**63, n).astype(U))
+            keep = r.random(len(x)) >= 0.1
+            y = np.unique(np.concatenate([x[keep], r.integers(0, 2**63, int(len(x) * r.uniform(0, 0.1))).astype(U)]))
+            shared = len(np.intersect1d(x, y))
+            if not linked(len(x), len(y), shared, 80, 100):
+                continue
+            passed = 0
+            for count in divisions(len(x), 80, 100) & divisions(len(y), 80, 100):
+                at = [(mix(s) % U(count)).astype(np.int64) for s in (x, y)]
+                bits = [parities(s, a, count) for s, a in zip((x, y), at)]
+                own = [np.bincount(a, minlength=count) for a in at]
+                both = sum(chain_sizes(s) for s in own)
+                apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1)
+                for k in range(count):
+                    m = len(np.intersect1d(x[at[0] == k], y[at[1] == k]))
+                    passed += linked(own[0][k], own[1][k], m, 80, 100) and apart[k] * 180 <= both[k] * 20
+            assert passed
+
+
+def test_forests_keep_components():
+    import numpy as np
+
+    from wayfare.llm.jaccard_join import Forests
+
+    r = random.Random(6)
+    for k in (1, 3):
+        comps = np.array([r.randrange(30) for _ in range(80)])
+        edges = [(i, j) for i in range(80) for j in range(i) if comps[i] != comps[j] and r.random() < 0.1]
+        found = Forests(comps, k, batch=50)
+        for i, j in edges:
+            x = np.array([j])
+            w = np.array([r.random()])
+            new = found.open(i, x, w)
+            found.add(x[new], x[new] * 0 + i, found.of[x[new]], x[new] * 0 + found.of[i], w[new])
+        found.settle()
+
+        def groups(pairs):
+            up = list(range(30))
+            for a, b in pairs:
+                x, y = (next(iter([c])) for c in (a, b))
+                while up[x] != x:
+                    x = up[x]
+                while up[y] != y:
+                    y = up[y]
+                up[max(x, y)] = min(x, y)
+            out = []
+            for x in range(30):
+                while up[x] != x:
+                    x = up[x]
+                out.append(x)
+            return out
+
+        kept = [(int(comps[a]), int(comps[b])) for a, b in found.edges[:2].T]
+        assert groups(kept) == groups([(int(comps[i]), int(comps[j])) for i, j in edges])
+        assert len(kept) <= k * 29 and (found.suppressed or len(kept) == len(edges))

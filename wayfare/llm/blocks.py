@@ -32,6 +32,8 @@ SCHEMA = "block long, raw long, ids binary, sizes binary, marks binary, data bin
 #: Stands for a null id inside blocks; it sorts after every other id.
 NULL_ID = np.iinfo(np.int64).max
 MARK = 16
+#: A block's number is its partition's, with so many bits for its place there; with 20 bits for a row of the block that leaves 27 for partitions.
+BLOCK_BITS = 16
 _tables: dict[str, list[str]] = {}
 #: What this worker keeps from task to task, for one operator at a time.
 _kept: dict[str, dict] = {}
@@ -104,7 +106,7 @@ def _stream(columns: list[pa.Array], names: list[str]) -> bytes | None:
 
 def _packer(block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 24
+        number = first = TaskContext.get().partitionId() << BLOCK_BITS
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -127,6 +129,8 @@ def _packer(block_bytes: int):
                     pa.schema([("block", pa.int64()), ("raw", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("marks", pa.binary()), ("data", pa.binary()), ("rest", pa.binary())]),
                 )
                 number += 1
+                if number - first == 1 << BLOCK_BITS:
+                    raise ValueError(f"{number - first} blocks in one partition")
 
     return run
 

@@ -18,10 +18,16 @@ its set size and the least id that links reach.
    segments a pair has, so a set near a power of two takes two divisions. Of two
    linked sets, at least one segment reaches the required share too, so the
    search runs on segments: each goes to the shards of its rarest shared shingles
-   (one of which any partner has) and queries the inverted index there. Sizes and
-   parity bitmaps of the whole sets, whose differing bits never outnumber the
-   differing shingles, rule most pairs out there; the rest are verified on the
-   whole sets.
+   (one of which any partner has) and queries the inverted index there. Take the
+   segments as a ring: of two linked sets, some segment reaches the share together
+   with any number of those that follow it. So a row carries a parity bitmap of
+   its segment and the next fifteen; bits that differ never outnumber shingles that
+   differ, which rules out most pairs, whatever the size of the sets. Of the rest a
+   shard lists a spanning forest over the components, closest pairs first; those
+   are verified on the whole sets, and components that link are merged. Where a
+   listed pair did not link, its shard goes again with four times as many forests,
+   until every pair is verified or inside one component. So large groups that link
+   cost their number of components, not the product of their sizes.
 5. Components of all links; the least id of a component's rows is its name.
 
 Steps 3 and 4 use the same search: of a query's inverted lists, DivideSkip puts
@@ -155,8 +161,8 @@ def _bands(items: np.ndarray) -> list[int]:
         return mix(key + np.arange(BANDS, dtype=U)).view(np.int64).tolist()
 
 
-#: Shingles in a segment, at least; bits of a set's parity bitmap.
-SEGMENT, BITS = 16, 1024
+#: Shingles in a segment, at least; bits of a parity bitmap; segments in it.
+SEGMENT, BITS, CHAIN = 16, 1024, 16
 #: Rows of a block, at most, so that block and place make one number.
 PLACES = 1 << 20
 
@@ -166,8 +172,91 @@ def divisions(n: int, num: int, den: int) -> set[int]:
     return {1 << max(0, (m // SEGMENT).bit_length() - 1) for m in (n, n * den // num)}
 
 
-def parity(items: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((mix(items + U(7)) % U(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
+def parities(items: np.ndarray, segment: np.ndarray, count: int) -> np.ndarray:
+    """For each of count segments, the parity bitmap (words of 64 bits) of its items and those of the segments behind it on the ring, CHAIN in all."""
+    at = segment * BITS + (mix(items + U(7)) % U(BITS)).astype(np.int64)
+    own = np.packbits(np.bincount(at, minlength=count * BITS).reshape(count, BITS) & 1, axis=1).view(U)
+    return np.broadcast_to(np.bitwise_xor.reduce(own, axis=0), own.shape) if count <= CHAIN else _chained(own, np.bitwise_xor)
+
+
+def _chained(own: np.ndarray, op: np.ufunc) -> np.ndarray:
+    """op over each entry and the CHAIN - 1 behind it on a ring that is longer; doubles the reach, as CHAIN is a power of two."""
+    reach = 1
+    while reach < CHAIN:
+        own = op(own, np.roll(own, -reach, axis=0))
+        reach *= 2
+    return own
+
+
+def chain_sizes(sizes: np.ndarray) -> np.ndarray:
+    return np.full(len(sizes), sizes.sum()) if len(sizes) <= CHAIN else _chained(sizes, np.add)
+
+
+class Forests:
+    """Of edges between components, at most k spanning forests, edges of low weight first."""
+
+    def __init__(self, comps: np.ndarray, k: int, batch: int = 200_000):
+        self.names, self.of = np.unique(comps, return_inverse=True)
+        self.k, self.batch = k, batch
+        self.edges = np.empty((4, 0), np.int64)  # a, b, and the components' places
+        self.weights = np.empty(0)
+        self.label = np.arange(len(self.names))
+        self.most = np.full(len(self.names), np.inf)
+        self.waiting: list[tuple] = []
+        self.held = 0
+        self.suppressed = False
+
+    def open(self, i: int, others: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Which edges may still enter; the others lie inside one group of the last forest and weigh as much as its heaviest edge."""
+        mine = self.label[self.of[i]]
+        new = (self.label[self.of[others]] != mine) | (weight < self.most[mine])
+        self.suppressed |= not new.all()
+        return new
+
+    def add(self, a: np.ndarray, b: np.ndarray, one: np.ndarray, two: np.ndarray, weight: np.ndarray) -> None:
+        self.waiting.append((np.stack([a, b, one, two]), weight))
+        self.held += len(a)
+        if self.held >= self.batch:
+            self.settle()
+
+    def settle(self) -> None:
+        edges = np.concatenate([self.edges, *(e for e, _ in self.waiting)], axis=1)
+        weights = np.concatenate([self.weights, *(w for _, w in self.waiting)])
+        self.waiting, self.held = [], 0
+        order = np.lexsort((edges[1], edges[0], weights))
+        edges, weights = edges[:, order], weights[order]
+        _, first = np.unique(edges[:2], axis=1, return_index=True)
+        first.sort()
+        edges, weights = edges[:, first], weights[first]
+        up: list[list[int]] = []
+
+        def find(tree: list[int], x: int) -> int:
+            while tree[x] != x:
+                tree[x] = tree[tree[x]]
+                x = tree[x]
+            return x
+
+        keep = []
+        for j, (x, y) in enumerate(zip(edges[2].tolist(), edges[3].tolist())):
+            lo, hi = 0, len(up)  # whoever is joined in a forest is so in all before it
+            while lo < hi:
+                mid = (lo + hi) // 2
+                if find(up[mid], x) == find(up[mid], y):
+                    lo = mid + 1
+                else:
+                    hi = mid
+            if lo == self.k:
+                self.suppressed = True
+                continue
+            if lo == len(up):
+                up.append(list(range(len(self.names))))
+            up[lo][find(up[lo], x)] = find(up[lo], y)
+            keep.append(j)
+        self.edges, self.weights = edges[:, keep], weights[keep]
+        if len(up) == self.k:
+            self.label = np.array([find(up[-1], x) for x in range(len(self.names))])
+            self.most = np.full(len(self.names), -np.inf)
+            np.maximum.at(self.most, self.label[self.edges[2]], self.weights)
 
 
 def _hub_links(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -186,16 +275,18 @@ def _hub_links(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.groupBy("shard").applyInPandas(run, "a long, b long")
 
 
-def _segment_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """rows (shard, id, comp, n, parity, size, items), one for a segment, to pairs (a, b) of different components that may link.
+def _segment_pairs(rows: DataFrame, num: int, den: int, forests: int) -> DataFrame:
+    """rows (shard, id, comp, n, parity, chain, size, items), one for a segment, to pairs (shard, a, b, more) of different components that may link.
 
     Segments with the same items count as one in the search. A pair that links
-    has a segment that links by itself, so sizes are compared there as well.
+    has a segment that links by itself and with the chain behind it, so sizes and
+    bitmaps are compared there. A shard lists at most so many spanning forests over
+    its components; more tells whether it has held pairs back.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n", kind="stable")
-        ids, comps, n, size = (pdf[c].to_numpy(np.int64) for c in ("id", "comp", "n", "size"))
+        pdf = pdf.sort_values(["n", "id"], kind="stable")
+        ids, comps, n, size, chain = (pdf[c].to_numpy(np.int64) for c in ("id", "comp", "n", "size", "chain"))
         bits = np.frombuffer(b"".join(pdf["parity"]), U).reshape(len(pdf), -1)
         same: dict[bytes, list[int]] = {}
         for i, x in enumerate(pdf["items"]):
@@ -204,7 +295,7 @@ def _segment_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
         members = [np.array(x) for x in same.values()]
         lone = [comps[x[0]] if (comps[x] == comps[x[0]]).all() else None for x in members]
         need = [least_overlap(int(size[x].min()), num, den) for x in members]
-        found: list[np.ndarray] = []
+        found = Forests(comps, forests)
 
         def check(own: np.ndarray, others: np.ndarray, shared: int) -> None:
             for i in own.tolist():
@@ -213,8 +304,13 @@ def _segment_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
                 x = x[(comps[x] != comps[i]) & (den * shared >= num * (size[x] + size[i] - shared))]
                 if len(x):
                     apart = np.bitwise_count(bits[x] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                    x = x[apart * (num + den) <= (n[x] + n[i]) * (den - num)]
-                    found.append(np.stack([np.minimum(ids[x], ids[i]), np.maximum(ids[x], ids[i])]))
+                    both = chain[x] + chain[i]
+                    near = apart * (num + den) <= both * (den - num)
+                    x, weight = x[near], (apart / both)[near]
+                    new = found.open(i, x, weight)
+                    x, weight = x[new], weight[new]
+                if len(x):
+                    found.add(np.minimum(ids[x], ids[i]), np.maximum(ids[x], ids[i]), found.of[x], np.full(len(x), found.of[i]), weight)
 
         for own, items, comp in zip(members, sets, lone):
             if comp is None:
@@ -222,12 +318,13 @@ def _segment_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
         for q, o, shared in search_lists(sets, range(len(sets)), need, later=True):
             if lone[q] is None or lone[q] != lone[o]:
                 check(*sorted((members[q], members[o]), key=len), shared)
-        pairs = np.unique(np.concatenate([np.empty((2, 0), np.int64), *found], axis=1), axis=1)
-        del sets, members, bits
+        found.settle()
+        out = pd.DataFrame({"shard": pdf["shard"].iloc[0], "a": found.edges[0], "b": found.edges[1], "more": found.suppressed})
+        del sets, members, bits, found
         tidy()
-        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+        return out
 
-    return rows.groupBy("shard").applyInPandas(run, "a long, b long")
+    return rows.groupBy("shard").applyInPandas(run, "shard int, a long, b long, more boolean")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -400,7 +497,10 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
                 whole = np.frombuffer(row["items"], U)
                 out = []
                 for count in divisions(len(whole), num, den):
-                    sizes = np.bincount((mix(whole) % U(count)).astype(np.int64), minlength=count).tolist()
+                    place = (mix(whole) % U(count)).astype(np.int64)
+                    sizes = np.bincount(place, minlength=count)
+                    bits, chains = parities(whole, place, count), chain_sizes(sizes).tolist()
+                    sizes = sizes.tolist()
                     segment = (mix(keys) % U(count)).astype(np.int64)
                     order = np.argsort(segment, kind="stable")
                     edge = np.searchsorted(segment[order], np.arange(count + 1)).tolist()
@@ -410,12 +510,11 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
                         if sizes[s] and len(own) >= need:
                             own = mix(own + U(count))
                             for to in np.unique(own[: len(own) - need + 1] % U(few)).tolist():
-                                out.append((to, sizes[s], own.tobytes()))
+                                out.append((to, sizes[s], own.tobytes(), chains[s], bits[s].tobytes()))
                 if out:
                     m = len(out)
-                    yield pa.RecordBatch.from_pydict({"shard": pa.array([x[0] for x in out], pa.int32()), "id": pa.array([row["id"]] * m, pa.int64()), "comp": pa.array([row["comp"]] * m, pa.int64()), "n": pa.array([len(whole)] * m, pa.int64()), "parity": pa.array([parity(whole)] * m, pa.binary()), "size": pa.array([x[1] for x in out], pa.int32()), "items": pa.array([x[2] for x in out], pa.binary())})
-
-        pairs = _segment_pairs(rest.mapInArrow(tidied(route), "shard int, id long, comp long, n long, parity binary, size int, items binary"), num, den).distinct()
+                    shard, size, items, chain, bits = zip(*out)
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array(shard, pa.int32()), "id": pa.array([row["id"]] * m, pa.int64()), "comp": pa.array([row["comp"]] * m, pa.int64()), "n": pa.array([len(whole)] * m, pa.int64()), "parity": pa.array(bits, pa.binary()), "chain": pa.array(chain, pa.int64()), "size": pa.array(size, pa.int32()), "items": pa.array(items, pa.binary())})
 
         @F.pandas_udf("boolean")
         def verified(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -428,9 +527,27 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
         one = rest.select(F.col("id").alias("a"), F.col("items").alias("x"))
         two = rest.select(F.col("id").alias("b"), F.col("items").alias("y"))
         near = F.least(F.length("x"), F.length("y")) * den >= F.greatest(F.length("x"), F.length("y")) * num
-        more = settle(pairs.join(one, "a").join(two, "b").filter(near).filter(verified("x", "y")).select("a", "b"))
-        links = links.unionByName(more)
-        comp = settle(components(links))
+        forests, again = 1, None
+        while True:
+            if again is None:
+                rows = rest
+            else:
+                rows = rest.drop("comp").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).select(*rest.columns)
+            routed = rows.mapInArrow(tidied(route), "shard int, id long, comp long, n long, parity binary, chain long, size int, items binary")
+            if again is not None:
+                routed = routed.join(again, "shard", "left_semi")
+            listed = settle(_segment_pairs(routed, num, den, forests))
+            pairs = listed.select("a", "b").distinct()
+            more = settle(pairs.join(one, "a").join(two, "b").filter(near).filter(verified("x", "y")).select("a", "b"))
+            links = links.unionByName(more)
+            comp = settle(components(links))
+            # a pair that was held back lies between components that listed pairs of its shard join; it is done with where those now are one
+            a, b = (comp.select(F.col("node").alias(x), F.col("component").alias(f"comp_{x}")) for x in "ab")
+            open_pairs = listed.filter("more").join(a, "a", "left").join(b, "b", "left").filter("comp_a IS NULL OR comp_b IS NULL OR comp_a <> comp_b")
+            again = settle(open_pairs.select("shard").distinct())
+            if again.isEmpty():
+                break
+            forests *= 4
     label = classes.join(comp.withColumnRenamed("node", "key"), "key", "left").select("class", "id", F.coalesce("component", "key").alias("comp"))
     least = label.groupBy("comp").agg(F.min("id").alias("component_id"))
     label = label.join(least, "comp").select("class", "comp", "component_id")
