@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wayfare.llm.blocks import finished
 from wayfare.llm.decontaminate import contamination
 from wayfare.llm.fingerprints import neighbours
+from wayfare.llm.hard_negatives import ORACLE as HARD_NEGATIVES
+from wayfare.llm.hard_negatives import hard_negatives
 from wayfare.llm.html_extract import html_extract
 from wayfare.llm.jaccard_join import jaccard_components
 from wayfare.llm.line_dedup import ORACLE as LINE_DEDUP
@@ -73,6 +76,11 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.when(F.expr("vec_id % 7 = 0"), F.expr("(label + 1) % 10")).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", own), every=50, positives=5, negatives=3, low=50, high=95, scale=256)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_jaccard_join": op2_jaccard_join,
@@ -85,7 +93,8 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_html_extract": op10_html_extract,
     "op11_line_dedup": op11_line_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 #: Queries whose result SQL can express at the size of the SQL check.
-ORACLE_SQL: dict[str, str] = {"op11_line_dedup": LINE_DEDUP}
+ORACLE_SQL: dict[str, str] = {"op11_line_dedup": LINE_DEDUP, "op12_hard_negatives": HARD_NEGATIVES}
