@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.llm.blocks import finished
+from wayfare.llm.conversation_repair import conversation_repair
 from wayfare.llm.decontaminate import contamination
 from wayfare.llm.fingerprints import neighbours
 from wayfare.llm.hard_negatives import ORACLE as HARD_NEGATIVES
@@ -81,6 +82,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", own), every=50, positives=5, negatives=3, low=50, high=95, scale=256)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_jaccard_join": op2_jaccard_join,
@@ -94,6 +99,7 @@ QUERIES = {
     "op10_html_extract": op10_html_extract,
     "op11_line_dedup": op11_line_dedup,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: Queries whose result SQL can express at the size of the SQL check.
