@@ -25,7 +25,7 @@ its set size and the least id that links reach.
    differ, which rules out most pairs, whatever the size of the sets. Of the rest a
    shard lists a spanning forest over the components, closest pairs first; those
    are verified on the whole sets, and components that link are merged. Where a
-   listed pair did not link, its shard goes again with four times as many forests,
+   listed pair did not link, its shard goes again with 64 times as many forests,
    until every pair is verified or inside one component. So large groups that link
    cost their number of components, not the product of their sizes.
 5. Components of all links; the least id of a component's rows is its name.
@@ -293,9 +293,17 @@ def _segment_pairs(rows: DataFrame, num: int, den: int, forests: int) -> DataFra
             same.setdefault(x, []).append(i)
         sets = [np.frombuffer(x, U).tolist() for x in same]
         members = [np.array(x) for x in same.values()]
-        lone = [comps[x[0]] if (comps[x] == comps[x[0]]).all() else None for x in members]
+        lone = [int(comps[x[0]]) if (comps[x] == comps[x[0]]).all() else None for x in members]
         need = [least_overlap(int(size[x].min()), num, den) for x in members]
         found = Forests(comps, forests)
+        # what one component alone holds here can't be shared by two
+        holder: dict[int, int | None] = {}
+        for items, comp in zip(sets, lone):
+            for x in items:
+                if holder.setdefault(x, comp) != comp:
+                    holder[x] = None
+        shared_sets = [[x for x in items if holder[x] is None] for items in sets]
+        asking = [i for i, x in enumerate(shared_sets) if len(x) >= need[i]]
 
         def check(own: np.ndarray, others: np.ndarray, shared: int) -> None:
             for i in own.tolist():
@@ -315,12 +323,12 @@ def _segment_pairs(rows: DataFrame, num: int, den: int, forests: int) -> DataFra
         for own, items, comp in zip(members, sets, lone):
             if comp is None:
                 check(own, own, len(items))
-        for q, o, shared in search_lists(sets, range(len(sets)), need, later=True):
+        for q, o, shared in search_lists(shared_sets, asking, need, later=True):
             if lone[q] is None or lone[q] != lone[o]:
                 check(*sorted((members[q], members[o]), key=len), shared)
         found.settle()
         out = pd.DataFrame({"shard": pdf["shard"].iloc[0], "a": found.edges[0], "b": found.edges[1], "more": found.suppressed})
-        del sets, members, bits, found
+        del sets, shared_sets, holder, members, bits, found
         tidy()
         return out
 
@@ -547,7 +555,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
             again = settle(open_pairs.select("shard").distinct())
             if again.isEmpty():
                 break
-            forests *= 4
+            forests *= 64
     label = classes.join(comp.withColumnRenamed("node", "key"), "key", "left").select("class", "id", F.coalesce("component", "key").alias("comp"))
     least = label.groupBy("comp").agg(F.min("id").alias("component_id"))
     label = label.join(least, "comp").select("class", "comp", "component_id")
