@@ -14,7 +14,8 @@ from wayfare.functions.geo import along, cell, point_segment
 from wayfare.session import settle
 
 
-def _cells(lo_x: Column, hi_x: Column, lo_y: Column, hi_y: Column, size: int) -> Column:
+def box_cells(lo_x: Column, hi_x: Column, lo_y: Column, hi_y: Column, size: int) -> Column:
+    """Rows for all cells that a box meets."""
     xs = F.sequence(cell(lo_x, size), cell(hi_x, size))
     ys = F.sequence(cell(lo_y, size), cell(hi_y, size))
     return F.explode(F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cx"), y.alias("cy"))))))
@@ -23,7 +24,7 @@ def _cells(lo_x: Column, hi_x: Column, lo_y: Column, hi_y: Column, size: int) ->
 def points_near_points(left: DataFrame, right: DataFrame, reach: int, lx: str = "px", ly: str = "py", rx: str = "qx", ry: str = "qy") -> DataFrame:
     """Pairs at distance up to reach, with d2 (squared distance)."""
     a = left.withColumns({"cx": cell(F.col(lx), reach), "cy": cell(F.col(ly), reach)})
-    b = right.withColumn("_c", _cells(F.col(rx) - reach, F.col(rx) + reach, F.col(ry) - reach, F.col(ry) + reach, reach)).select("*", "_c.cx", "_c.cy").drop("_c")
+    b = right.withColumn("_c", box_cells(F.col(rx) - reach, F.col(rx) + reach, F.col(ry) - reach, F.col(ry) + reach, reach)).select("*", "_c.cx", "_c.cy").drop("_c")
     d2 = (F.col(lx) - F.col(rx)) * (F.col(lx) - F.col(rx)) + (F.col(ly) - F.col(ry)) * (F.col(ly) - F.col(ry))
     return a.join(b, ["cx", "cy"]).withColumn("d2", d2).filter(F.col("d2") <= reach * reach).drop("cx", "cy")
 
@@ -31,7 +32,7 @@ def points_near_points(left: DataFrame, right: DataFrame, reach: int, lx: str =
 def points_near_segments(points: DataFrame, segments: DataFrame, reach: int, px: str = "px", py: str = "py") -> DataFrame:
     """Pairs of a point and a segment (ux, uy, vx, vy) at distance up to reach, with d and frac."""
     a = points.withColumns({"cx": cell(F.col(px), 4 * reach), "cy": cell(F.col(py), 4 * reach)})
-    box = _cells(F.least("ux", "vx") - reach, F.greatest("ux", "vx") + reach, F.least("uy", "vy") - reach, F.greatest("uy", "vy") + reach, 4 * reach)
+    box = box_cells(F.least("ux", "vx") - reach, F.greatest("ux", "vx") + reach, F.least("uy", "vy") - reach, F.greatest("uy", "vy") + reach, 4 * reach)
     b = segments.withColumn("_c", box).select("*", "_c.cx", "_c.cy").drop("_c")
     at = [F.col(c).cast("double") for c in (px, py, "ux", "uy", "vx", "vy")]
     return a.join(b, ["cx", "cy"]).withColumns({"d": point_segment(*at), "frac": along(*at)}).filter(F.col("d") <= reach).drop("cx", "cy")
@@ -59,8 +60,8 @@ def segment_in_box_share(ux: Column, uy: Column, vx: Column, vy: Column, x0: Col
 
 def segments_near_segments(a: DataFrame, b: DataFrame, reach: int, size: int = 1000) -> DataFrame:
     """Pairs of segments (a: ax, ay, bx, by; b: ux, uy, vx, vy) at distance up to reach; each pair once."""
-    box_a = _cells(F.least("ax", "bx") - reach, F.greatest("ax", "bx") + reach, F.least("ay", "by") - reach, F.greatest("ay", "by") + reach, size)
-    box_b = _cells(F.least("ux", "vx"), F.greatest("ux", "vx"), F.least("uy", "vy"), F.greatest("uy", "vy"), size)
+    box_a = box_cells(F.least("ax", "bx") - reach, F.greatest("ax", "bx") + reach, F.least("ay", "by") - reach, F.greatest("ay", "by") + reach, size)
+    box_b = box_cells(F.least("ux", "vx"), F.greatest("ux", "vx"), F.least("uy", "vy"), F.greatest("uy", "vy"), size)
     pairs = a.withColumn("_c", box_a).select("*", "_c.cx", "_c.cy").drop("_c").join(b.withColumn("_c", box_b).select("*", "_c.cx", "_c.cy").drop("_c"), ["cx", "cy"]).drop("cx", "cy").distinct()
     ax, ay, bx, by, ux, uy, vx, vy = [F.col(c).cast("double") for c in ("ax", "ay", "bx", "by", "ux", "uy", "vx", "vy")]
     side = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (qy - py) * (rx - px)

@@ -149,8 +149,8 @@ def shape_edges(spark: SparkSession, sf: str) -> DataFrame:
     point = spatial.points_near_segments(d.filter("kind = 'point'").select("id", F.col("ax").alias("px"), F.col("ay").alias("py")), s, POINT_REACH).select("id", "way_id")
     line = spatial.segments_near_segments(d.filter("kind = 'line'").drop("kind"), s, LINE_REACH).filter(spatial.corridor_share(LINE_REACH) >= ALIGNED).select("id", "way_id")
     size = 4000
-    box = d.filter("kind = 'box'").withColumn("_c", spatial._cells(F.col("ax"), F.col("bx"), F.col("ay"), F.col("by"), size)).select("*", "_c.cx", "_c.cy")
-    cells = s.withColumn("_c", spatial._cells(F.least("ux", "vx"), F.greatest("ux", "vx"), F.least("uy", "vy"), F.greatest("uy", "vy"), size)).select("*", "_c.cx", "_c.cy")
+    box = d.filter("kind = 'box'").withColumn("_c", spatial.box_cells(F.col("ax"), F.col("bx"), F.col("ay"), F.col("by"), size)).select("*", "_c.cx", "_c.cy")
+    cells = s.withColumn("_c", spatial.box_cells(F.least("ux", "vx"), F.greatest("ux", "vx"), F.least("uy", "vy"), F.greatest("uy", "vy"), size)).select("*", "_c.cx", "_c.cy")
     share = spatial.segment_in_box_share(*[F.col(c) for c in ("ux", "uy", "vx", "vy", "ax", "bx", "ay", "by")])
     wide = F.col("bx") - F.col("ax") >= F.col("by") - F.col("ay")
     angle = angle_deg((F.col("vx") - F.col("ux")).cast("double"), (F.col("vy") - F.col("uy")).cast("double"), F.when(wide, 1.0).otherwise(0.0), F.when(wide, 0.0).otherwise(1.0))
