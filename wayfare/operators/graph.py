@@ -1,16 +1,10 @@
-"""Street graph: directions, duplicates, reverse edges, degrees, search."""
+"""Street graph: directions, duplicates, reverse edges, degrees."""
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.session import settle, ship
-
 POSITIVE = ("yes", "designated", "permissive")
 
 
@@ -58,91 +52,3 @@ def in_ellipse(x: Column, y: Column, sx: Column, sy: Column, tx: Column, ty: Col
     """Whether the way from s over (x, y) to t is at most factor times the straight line."""
     d = lambda a, b, c, e: F.sqrt(F.pow((a - c).cast("double"), F.lit(2)) + F.pow((b - e).cast("double"), F.lit(2)))
     return d(sx, sy, x, y) + d(x, y, tx, ty) <= d(sx, sy, tx, ty) * factor
-
-
-def near_requests(requests: DataFrame, edges: DataFrame, factor: float = 1.5, size: int = 10_000) -> DataFrame:
-    """Edges (u, v, cost and end points ux, uy, vx, vy) that lie in a request's ellipse, with the request.
-
-    requests has request_id, source, target and their places sx, sy, tx, ty. Both sides meet in grid cells of `size`
-    by equality: an edge in the cell of its start, a request in all cells of its ellipse's box.
-    """
-    reach = F.sqrt(F.pow((F.col("tx") - F.col("sx")).cast("double"), F.lit(2)) + F.pow((F.col("ty") - F.col("sy")).cast("double"), F.lit(2))) * (factor / 2)
-    span = lambda a, b: F.sequence(F.floor(((F.col(a) + F.col(b)) / 2 - reach) / size), F.floor(((F.col(a) + F.col(b)) / 2 + reach) / size))
-    r = requests.withColumn("cx", F.explode(span("sx", "tx"))).withColumn("cy", F.explode(span("sy", "ty")))
-    e = edges.withColumns({"cx": F.floor(F.col("ux") / size), "cy": F.floor(F.col("uy") / size)})
-    foci = [F.col(c) for c in ("sx", "sy", "tx", "ty")]
-    return r.join(e, ["cx", "cy"]).filter(in_ellipse(F.col("ux"), F.col("uy"), *foci, factor) & in_ellipse(F.col("vx"), F.col("vy"), *foci, factor)).drop("cx", "cy")
-
-
-def _cheapest(pdf: pd.DataFrame, stretch: float) -> pd.DataFrame:
-    """One request's path over its own edges, by A*: the straight distance times `stretch` (cost of a unit of distance, at least) leads the way."""
-    s, t = int(pdf["source"].iloc[0]), int(pdf["target"].iloc[0])
-    tx, ty = float(pdf["tx"].iloc[0]), float(pdf["ty"].iloc[0])
-    node, flat = np.unique(np.concatenate([pdf["u"], pdf["v"], [s, t]]), return_inverse=True)
-    m = len(pdf)
-    u, v, cost = flat[:m], flat[m : 2 * m], pdf["cost"].to_numpy(np.int64)
-    left = np.zeros(len(node))
-    for at, x, y in ((u, "ux", "uy"), (v, "vx", "vy")):
-        left[at] = np.hypot(pdf[x] - tx, pdf[y] - ty) * stretch
-    order = np.lexsort((v, u))
-    start = np.searchsorted(u[order], np.arange(len(node) + 1))
-    vs, cs, left = v[order].tolist(), cost[order].tolist(), left.tolist()
-    s, t = int(flat[-2]), int(flat[-1])
-    best, prev, queue, done = {s: 0}, {}, [(left[s], s)], set()
-    while queue:
-        _, x = heapq.heappop(queue)
-        if x in done:
-            continue
-        done.add(x)
-        if x == t:
-            break
-        for e in range(start[x], start[x + 1]):
-            y, n = vs[e], best[x] + cs[e]
-            if y not in done and n < best.get(y, 1 << 62):
-                best[y], prev[y] = n, x
-                heapq.heappush(queue, (n + left[y], y))
-    path = []
-    if t in best:
-        x = t
-        while x != s:
-            path.append((prev[x], x))
-            x = prev[x]
-        path.reverse()
-    key = [pdf["request_id"].iloc[0]] * len(path)
-    return pd.DataFrame({"request_id": key, "seq": range(len(path)), "u": node[[a for a, _ in path]] if path else [], "v": node[[b for _, b in path]] if path else [], "total": [best.get(t, -1)] * len(path), "expanded": [len(done)] * len(path)})
-
-
-def grouped_paths(requests: DataFrame, edges: DataFrame, factor: float = 1.5, stretch: float = 0.0, max_edges: int = 5_000_000) -> DataFrame:
-    """request_id, seq, u, v, total, expanded: a cheapest path for each request inside its ellipse, one group for each request.
-
-    stretch is the heuristic's cost of a unit of distance. At most the true least cost of a unit, paths are cheapest;
-    (1 + e) times that, they cost at most (1 + e) times as much. A request without a path gets one row with nulls;
-    one from a node to itself gets total 0. A group above max_edges fails rather than being cut.
-    """
-    ship(requests.sparkSession)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_edges:
-            raise ValueError(f"{len(pdf)} edges for one request; use sssp()")
-        return _cheapest(pdf, stretch)
-
-    near = near_requests(requests, edges, factor).filter("source <> target").select("request_id", "source", "target", "tx", "ty", "u", "v", "cost", "ux", "uy", "vx", "vy")
-    found = near.groupBy("request_id").applyInPandas(run, "request_id long, seq int, u long, v long, total long, expanded long")
-    out = requests.select("request_id", (F.col("source") == F.col("target")).alias("_same")).join(found, "request_id", "left")
-    return out.withColumn("total", F.when(F.col("_same"), 0).otherwise(F.col("total"))).drop("_same")
-
-
-def sssp(edges: DataFrame, source: int, max_rounds: int = 10_000) -> DataFrame:
-    """node_id, total: least cost from source to every node it reaches, by rounds of relaxation."""
-    edges = settle(edges.select("u", "v", "cost").repartition("u"))
-    spark = edges.sparkSession
-    known = settle(spark.createDataFrame([(source, 0)], "node_id long, total long"))
-    front = known
-    for _ in range(max_rounds):
-        step = front.join(edges, front.node_id == edges.u).groupBy(F.col("v").alias("node_id")).agg(F.min(F.col("total") + F.col("cost")).alias("new"))
-        step = step.join(known.withColumnRenamed("total", "old"), "node_id", "left").filter("old IS NULL OR new < old").select("node_id", F.col("new").alias("total"))
-        front = settle(step)
-        if front.isEmpty():
-            return known
-        known = settle(known.unionByName(front).groupBy("node_id").agg(F.min("total").alias("total")))
-    raise RuntimeError("did not settle")

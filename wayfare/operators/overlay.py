@@ -62,22 +62,41 @@ def cut_into_cells(edges: DataFrame, max_edges: int) -> DataFrame:
     return coded.join(of.toDF("_u", "ucell"), "_u").join(of.toDF("_v", "vcell"), "_v").drop("_u", "_v")
 
 
-def _spread(out: dict[int, list[tuple[int, int]]], start: int, goals: set[int]) -> tuple[dict[int, int], dict[int, int]]:
-    """Least costs from start until all goals are reached, and the node before each."""
-    best, prev, done, left = {start: 0}, {}, set(), len(goals)
+#: No way; two of it still fit into 64 bits.
+FAR = 1 << 61
+
+
+def _costs(starts: np.ndarray, nodes: np.ndarray, u: np.ndarray, v: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Least costs from each start (rows) to each of the sorted nodes, by rounds over all edges at once."""
+    out = np.full((len(starts), len(nodes)), FAR, np.int64)
+    out[np.arange(len(starts)), np.searchsorted(nodes, starts)] = 0
+    if not len(u):
+        return out
+    order = np.argsort(v, kind="stable")
+    heads, first = np.unique(v[order], return_index=True)
+    tail, head, cost = np.searchsorted(nodes, u[order]), np.searchsorted(nodes, heads), cost[order]
+    while True:
+        best = np.minimum.reduceat(out[:, tail] + cost, first, axis=1)
+        if (best >= out[:, head]).all():
+            return out
+        out[:, head] = np.minimum(out[:, head], best)
+
+
+def _spread(out: dict[int, list[tuple[int, int]]], start: int, goal: int) -> dict[int, int]:
+    """The node before each on cheapest paths from start, until the goal is reached."""
+    best, prev, done = {start: 0}, {}, set()
     queue = [(0, start)]
-    while queue and left:
+    while queue and goal not in done:
         cost, x = heapq.heappop(queue)
         if x in done:
             continue
         done.add(x)
-        left -= x in goals
         for y, c in out.get(x, ()):
             n = cost + c
-            if n < best.get(y, 1 << 62):
+            if n < best.get(y, FAR):
                 best[y], prev[y] = n, x
                 heapq.heappush(queue, (n, y))
-    return {x: best[x] for x in done}, prev
+    return prev
 
 
 def _inside(pdf: pd.DataFrame) -> dict[int, list[tuple[int, int]]]:
@@ -90,19 +109,18 @@ def _inside(pdf: pd.DataFrame) -> dict[int, list[tuple[int, int]]]:
 
 def _cell_arcs(pdf: pd.DataFrame) -> pd.DataFrame:
     """A cell's rows to arcs: from each entry (or source) over each edge that leaves the cell, and to each target."""
-    out = _inside(pdf)
-    starts = np.unique(pdf.loc[pdf["kind"] == "entry", "u"]).tolist()
-    leave = pdf[pdf["kind"] == "exit"]
-    exits = list(zip(*(leave[c].tolist() for c in ("u", "v", "cost", "vcell", "vx", "vy"))))
-    targets = pdf.loc[pdf["kind"] == "target", "u"].tolist()
-    goals = {x[0] for x in exits} | set(targets)
-    rows = []
-    for a in starts:
-        cost, _ = _spread(out, a, goals)
-        rows += [(a, b, v, cell, x, y, cost[b] + c) for b, v, c, cell, x, y in exits if b in cost]
-        rows += [(a, t, t, -1, 0, 0, cost[t]) for t in targets if t in cost]
-    cols = ["a", "b", "next", "next_cell", "nx", "ny", "cost"]
-    return pd.DataFrame({"cell": [pdf["cell"].iloc[0]] * len(rows), **{c: [r[i] for r in rows] for i, c in enumerate(cols)}}).astype("int64")
+    kind = pdf["kind"].to_numpy()
+    col = {c: pdf[c].to_numpy(np.int64) for c in ("u", "v", "cost", "vcell", "vx", "vy")}
+    edge, leave, target = kind == "edge", kind == "exit", kind == "target"
+    starts = np.unique(col["u"][kind == "entry"])
+    nodes = np.unique(np.concatenate([col["u"], col["v"][edge]]))
+    cost = _costs(starts, nodes, *(col[c][edge] for c in ("u", "v", "cost")))
+    none, t = np.zeros(int(target.sum()), np.int64), col["u"][target]
+    ways = {"b": (col["u"][leave], t), "next": (col["v"][leave], t), "next_cell": (col["vcell"][leave], none - 1), "nx": (col["vx"][leave], none), "ny": (col["vy"][leave], none), "cost": (col["cost"][leave], none)}
+    ways = {c: np.concatenate(x) for c, x in ways.items()}
+    total = cost[:, np.searchsorted(nodes, ways["b"])] + ways.pop("cost")
+    i, j = np.nonzero(total < FAR)
+    return pd.DataFrame({"cell": np.full(len(i), int(pdf["cell"].iloc[0])), "a": starts[i], **{c: x[j] for c, x in ways.items()}, "cost": total[i, j]})
 
 
 def _own_arcs(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -114,7 +132,7 @@ def _own_edges(pdf: pd.DataFrame) -> pd.DataFrame:
     out, rows = _inside(pdf), []
     parts = pdf[pdf["kind"] == "part"]
     for hop, a, b in zip(parts["cost"].tolist(), parts["u"].tolist(), parts["v"].tolist()):
-        _, prev = _spread(out, a, {b})
+        prev = _spread(out, a, b)
         path = []
         while b != a:
             path.append((prev[b], b))
@@ -152,7 +170,7 @@ def _places(requests: DataFrame, rows: DataFrame, factor: float, size: int) -> D
 
 def overlay_paths(
     requests: DataFrame, edges: DataFrame, factor: float = 1.5, least: float = 0.0, slack: float = 0.0, expand: bool = True,
-    max_edges: int = 6_000, grid: int = 10_000, max_rounds: int = 10_000,
+    max_edges: int = 3_000, grid: int = 10_000, max_rounds: int = 10_000,
 ) -> DataFrame:
     """request_id, seq, u, v, total: the edges of a cheapest path for each request inside its ellipse; without expand, only request_id and total.
 

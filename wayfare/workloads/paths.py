@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from wayfare import fixtures as net
 from wayfare.functions import tags as t
 from wayfare.functions.text import ride_minutes
-from wayfare.operators import graph, runs
+from wayfare.operators import runs
+from wayfare.operators.overlay import overlay_paths
 from wayfare.plans.cost import per_metre_bound as cost_bound
 from wayfare.workloads import network as n
 
@@ -41,31 +42,65 @@ def costs(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     return n.edge_costs(spark, sf).select("u", "v", F.col(kind).alias("cost"), "ux", "uy", "vx", "vy", "length_mm")
 
 
-def _totals(paths: DataFrame) -> DataFrame:
-    return paths.groupBy("request_id").agg(F.max("total").alias("total"))
+def totals(requests: DataFrame, spark: SparkSession, sf: str, kind: str, slack: float = 0.0) -> DataFrame:
+    """request_id, total: what the cheapest path of each request costs."""
+    return overlay_paths(requests, costs(spark, sf, kind), least=LEAST[kind], slack=slack, expand=False)
 
 
 def fastest_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return _totals(graph.grouped_paths(requests(spark, sf), costs(spark, sf, "fastest_mm")))
+    return totals(requests(spark, sf), spark, sf, "fastest_mm")
 
 
 def optimised_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return _totals(graph.grouped_paths(requests(spark, sf), costs(spark, sf, "optimised_mm")))
+    return totals(requests(spark, sf), spark, sf, "optimised_mm")
 
 
 #: Millimetres that a microdegree measures at least, on this grid; with the least cost of a metre it bounds any path's cost from below.
 MM_A_MICRODEGREE = 69
+LEAST = {"fastest_mm": MM_A_MICRODEGREE, "optimised_mm": cost_bound(n.WEIGHTS) * MM_A_MICRODEGREE}
 
 
 def bounded_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """The search with a heuristic stretched by 0.75: its cost against the exact one, and whether the bound holds."""
-    r, c = requests(spark, sf), costs(spark, sf, "optimised_mm")
-    least = cost_bound(n.WEIGHTS) * MM_A_MICRODEGREE
-    exact = _totals(graph.grouped_paths(r, c, stretch=least)).withColumnRenamed("total", "exact")
-    loose = _totals(graph.grouped_paths(r, c, stretch=least * 1.75))
+    """The search with a slack of 0.75: its cost against the exact one, and whether the bound holds."""
+    r = requests(spark, sf)
+    exact = totals(r, spark, sf, "optimised_mm").withColumnRenamed("total", "exact")
+    loose = totals(r, spark, sf, "optimised_mm", slack=0.75)
     return exact.join(loose, "request_id").select("request_id", "exact", F.coalesce((F.col("total") >= F.col("exact")) & (F.col("total") * 100 <= F.col("exact") * 175), F.lit(True)).alias("within"))
 
 
+#: Breaks ties between paths of one cost: the cost times this, and a number of the street below it.
+TIES = 1 << 18
+#: What a street costs here that is closed to riders: more than any other, and few enough digits for the ties.
+BLOCKED = 10**9
+
+
+def routes(spark: SparkSession, sf: str) -> DataFrame:
+    """request_id, seq, u, v, way_id, length_mm: the edges of each request's optimised path, the one of least street numbers among those as cheap."""
+    e = n.edge_costs(spark, sf).select("u", "v", "way_id", "length_mm", F.expr(f"least(optimised_mm, {BLOCKED}) * {TIES} + way_id * 7919 % 509").alias("cost"), "ux", "uy", "vx", "vy")
+    found = overlay_paths(requests(spark, sf), e, least=LEAST["optimised_mm"] * TIES).filter("seq IS NOT NULL")
+    return found.join(e.groupBy("u", "v").agg(F.min_by(F.struct("way_id", "length_mm"), "cost").alias("e")), ["u", "v"]).select("request_id", "seq", "u", "v", "e.*")
+
+
+def route_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """What a ride along each found route is like."""
+    r, ways = routes(spark, sf), net.ways(spark, sf).drop("u", "v", "length_mm")
+    at = net.nodes(spark, sf).select(F.col("node_id").alias("u"), "elev_cm")
+    rows = r.join(ways, "way_id").join(at, "u").withColumnRenamed("request_id", "path_id")
+    return _stats(rows, spark, sf).withColumnRenamed("path_id", "request_id")
+
+
+def disruption_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of each found route under live records: neighbours of one kind are one run, with its length and worst severity."""
+    from wayfare.workloads.live import merged
+
+    live = merged(spark, sf).select(F.col("street").alias("way_id"), "severity", F.when(F.col("closed"), "closure").when(F.col("diversion"), "diversion").otherwise("notice").alias("kind"))
+    rows = routes(spark, sf).join(live, "way_id").withColumnRenamed("request_id", "path_id")
+    out = runs.collapse_runs(rows, "path_id", "seq", "kind", ["length_mm"])
+    worst = rows.select("path_id", "seq", "severity")
+    spans = out.select("path_id", "run", F.explode(F.sequence("first_seq", "last_seq")).alias("seq")).join(worst, ["path_id", "seq"]).groupBy("path_id", "run").agg(F.max("severity").alias("severity"))
+    return out.join(spans, ["path_id", "run"]).select(F.col("path_id").alias("request_id"), "run", "first_seq", "last_seq", "kind", "length_mm", "severity")
+
+
 def legs(spark: SparkSession, sf: str) -> DataFrame:
     """Five requests with up to three points on the way, as legs."""
     last = net.nodes(spark, sf).agg(F.max("node_id").alias("m"))
@@ -80,14 +115,19 @@ def compared(spark: SparkSession, sf: str) -> DataFrame:
     """Each trip's fastest and optimised route over its legs: cost, number of legs and whether all have a path."""
     r, out = legs(spark, sf), None
     for kind in ("fastest_mm", "optimised_mm"):
-        each = _totals(graph.grouped_paths(r, costs(spark, sf, kind)))
+        each = totals(r, spark, sf, kind)
         one = each.groupBy((F.col("request_id") / 10).cast("bigint").alias("trip")).agg(F.lit(kind[:-3]).alias("mode"), F.when(F.count("total") == F.count("*"), F.sum("total")).alias("cost_mm"), F.count("*").alias("legs"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def path_stats(spark: SparkSession, sf: str) -> DataFrame:
-    """What a ride along each track is like: lengths by kind in millimetres, counts, minutes and rounded shares."""
+    """What a ride along each track is like."""
+    return _stats(tracks(spark, sf), spark, sf)
+
+
+def _stats(tracks: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
+    """Of rows (path_id, and a street from u to v with its tags): lengths by kind in millimetres, counts, minutes and rounded shares."""
     from wayfare.workloads.live import merged
 
     free, steps, mm = t.vehicular_free(), t.masks_surface_and_hill(), F.col("length_mm")
@@ -98,7 +138,7 @@ def path_stats(spark: SparkSession, sf: str) -> DataFrame:
     ends = net.nodes(spark, sf).select(F.col("node_id").alias("v"), F.col("elev_cm").alias("v_elev"), (t.node_signal_m() > 0).alias("v_signal"), ((t.node_crossing_m() > 0) | (t.node_mini_m() > 0)).alias("v_stop"))
     danger = n.car_roads(spark, sf).select(F.col("node_id").alias("v"), (F.col("danger_m") > 0).alias("v_danger"))
     live = merged(spark, sf).select(F.col("street").alias("way_id"), F.lit(True).alias("live"))
-    rows = tracks(spark, sf).join(ends, "v").join(danger, "v").join(live, "way_id", "left")
+    rows = tracks.join(ends, "v").join(danger, "v").join(live, "way_id", "left")
     rise = F.col("v_elev") - F.col("elev_cm")
     grade = rise * 10e0 / mm
     out = rows.groupBy("path_id").agg(
@@ -176,6 +216,8 @@ QUERIES = {
     "g08_bounded_paths": bounded_paths,
     "g09_compared_routes": compared,
     "a09_path_stats": path_stats,
+    "a09_route_stats": route_stats,
+    "w05_disruption_runs": disruption_runs,
     "a10_leg_totals": leg_totals,
     "a11_mode_shares": mode_shares,
     "w04_surface_runs": surface_runs,
@@ -203,13 +245,30 @@ def _paths_sql(kind: str, requests: str = _REQUESTS) -> str:
     return base + f", top AS (SELECT max(node_id) AS m FROM nodes), req AS (SELECT q.*, a.x_u AS sx, a.y_u AS sy, b.x_u AS tx, b.y_u AS ty FROM ({requests}) q JOIN nodes a ON a.node_id = q.source JOIN nodes b ON b.node_id = q.target), near AS (SELECT request_id, e.u, e.v, e.{kind} AS c FROM req JOIN costs e ON {place('ux', 'uy')} AND {place('vx', 'vy')}), dist(request_id, node, c) USING KEY (request_id, node) AS (SELECT request_id::BIGINT, source::BIGINT, 0::BIGINT FROM req UNION SELECT d.request_id, e.v, min(d.c + e.c) FROM dist d JOIN near e ON e.u = d.node AND e.request_id = d.request_id LEFT JOIN recurring.dist r ON r.request_id = d.request_id AND r.node = e.v WHERE d.c + e.c < coalesce(r.c, 9000000000000000000) GROUP BY 1, 2), total AS (SELECT req.request_id, d.c AS total FROM req LEFT JOIN dist d ON d.request_id = req.request_id AND d.node = req.target) "
 
 
-def _stats_sql() -> str:
-    """CTE stats: the columns of path_stats."""
+def _routes_sql() -> str:
+    """CTEs up to route (request_id, seq, u, v, way_id, length_mm): back from the target over edges that are part of a cheapest path."""
+    own = f"least(e.optimised_mm, {BLOCKED}) * {TIES} + e.way_id * 7919 % 509 AS c, e.way_id, e.length_mm"
+    return _paths_sql("optimised_mm").replace("e.optimised_mm AS c", own, 1) + """, tight AS MATERIALIZED (SELECT near.request_id, near.u, near.v, way_id, length_mm FROM near JOIN dist x ON x.request_id = near.request_id AND x.node = near.u JOIN dist y ON y.request_id = near.request_id AND y.node = near.v WHERE x.c + near.c = y.c),
+back(request_id, u, v, way_id, length_mm, n) AS (SELECT t.*, 0 FROM tight t JOIN req ON req.request_id = t.request_id AND t.v = req.target WHERE req.source <> req.target
+  UNION ALL SELECT t.*, back.n + 1 FROM back JOIN tight t ON t.request_id = back.request_id AND t.v = back.u),
+route AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY n DESC) - 1 AS seq, u, v, way_id, length_mm FROM back) """
+
+
+_ROUTE_TRACKS = ", tracks AS (SELECT r.request_id AS path_id, r.seq, r.u, r.v, w.* EXCLUDE (u, v), elev_cm FROM route r JOIN ways w USING (way_id) JOIN nodes ON node_id = r.u) "
+
+
+def _feed_sql() -> str:
+    """CTE mg: the merged records of both feeds."""
     from wayfare.workloads.live import ORACLE_SQL as live
 
-    sum_of = lambda c: f"coalesce(sum(length_mm) FILTER (WHERE {c}), 0)::BIGINT"
     feed = live["l04_merged_feeds"].replace("WITH e AS", ", e AS", 1)
     at = feed.index(" SELECT coalesce(p.street")
+    return f"{feed[:at]}, mg AS ({feed[at:]})"
+
+
+def _stats_sql(tracks: str = _TRACKS + f", {n._ROADS}") -> str:
+    """CTE stats: the columns of path_stats."""
+    sum_of = lambda c: f"coalesce(sum(length_mm) FILTER (WHERE {c}), 0)::BIGINT"
     has = lambda x: f"list_contains(string_split(programme, ';'), '{x}')"
     cols = {
         "length_mm": "sum(length_mm)::BIGINT", "risk_milli": f"sum(CASE WHEN {n._FREE} THEN 0 ELSE risk_milli END)::BIGINT", "lit_mm": sum_of(f"lower(lit) IN {n._in(t.LIT)}"), "rough_mm": sum_of(f"NOT {n._MASKED} AND {_ROUGH}"),
@@ -222,7 +281,7 @@ def _stats_sql() -> str:
     shares = ", ".join(f"cast(round_even({c} * 100 / length_mm::DOUBLE, 0) AS BIGINT) AS {c.replace('_mm', '_pct')}" for c in ("lit_mm", "rough_mm", "free_mm", "green_mm", "stress_mm", "quiet_mm", "cycleway_mm"))
     # the feed's columns must not hide those of the streets
     rows = "SELECT t.*, x.elev_cm - t.elev_cm AS rise, x.signals AS sig, x.crossing, x.mini, coalesce(roads, 0) AS roads FROM tracks t JOIN tagged_nodes x ON x.node_id = t.v LEFT JOIN roads ON roads.node_id = t.v"
-    return _TRACKS + f", {n._ROADS}{feed[:at]}, mg AS ({feed[at:]}), wide AS ({rows}), sums AS (SELECT path_id, " + ", ".join(f"{v} AS {k}" for k, v in cols.items()) + f" FROM wide GROUP BY path_id), stats AS (SELECT *, {shares} FROM sums) "
+    return tracks + f"{_feed_sql()}, wide AS ({rows}), sums AS (SELECT path_id, " + ", ".join(f"{v} AS {k}" for k, v in cols.items()) + f" FROM wide GROUP BY path_id), stats AS (SELECT *, {shares} FROM sums) "
 
 
 def _compared_sql() -> str:
@@ -236,6 +295,10 @@ ORACLE_SQL = {
     "g08_bounded_paths": _paths_sql("optimised_mm") + "SELECT request_id, total AS exact, true AS within FROM total",
     "g09_compared_routes": _compared_sql(),
     "a09_path_stats": _stats_sql() + "SELECT * FROM stats",
+    "a09_route_stats": _stats_sql(_routes_sql() + _ROUTE_TRACKS) + "SELECT * RENAME (path_id AS request_id) FROM stats",
+    "w05_disruption_runs": _routes_sql() + _feed_sql() + """, live AS (SELECT request_id, seq, length_mm, severity, CASE WHEN closed THEN 'closure' WHEN diversion THEN 'diversion' ELSE 'notice' END AS kind FROM route JOIN mg ON mg.street = route.way_id),
+fresh AS (SELECT *, CASE WHEN lag(seq) OVER w = seq - 1 AND lag(kind) OVER w = kind THEN 0 ELSE 1 END AS new FROM live WINDOW w AS (PARTITION BY request_id ORDER BY seq)), numbered AS (SELECT *, sum(new) OVER (PARTITION BY request_id ORDER BY seq) - 1 AS run FROM fresh)
+SELECT request_id, run, min(seq) AS first_seq, max(seq) AS last_seq, any_value(kind) AS kind, sum(length_mm)::BIGINT AS length_mm, max(severity) AS severity FROM numbered GROUP BY request_id, run""",
     "a10_leg_totals": _stats_sql() + "SELECT path_id // 10 AS trip, " + ", ".join(f"sum({c})::BIGINT AS {c}" for c in ("length_mm", "climb_cm", "steep", "calming", "barriers", "signals", "junctions", "disruptions")) + ", " + ", ".join(f"sum(length_mm * {c})::BIGINT // sum(length_mm)::BIGINT AS {c}" for c in ("lit_pct", "rough_pct", "free_pct", "green_pct")) + " FROM stats GROUP BY 1",
     "a11_mode_shares": _TRACKS + f"SELECT path_id, kind, mm, mm * 100 // sum(mm) OVER (PARTITION BY path_id)::BIGINT AS pct FROM (SELECT path_id, CASE WHEN {n._SEGREGATED} THEN 'segregated' WHEN {n._FREE} THEN 'shared' ELSE 'traffic' END AS kind, sum(length_mm)::BIGINT AS mm FROM tracks GROUP BY 1, 2)",
     "w04_surface_runs": _TRACKS + f", kinds AS (SELECT *, CASE WHEN {_ROUGH} THEN 'rough' ELSE 'smooth' END AS kind FROM tracks) " + _RUNS.format(mm="mm", more=", coalesce(arg_min(name, seq) FILTER (WHERE name <> ''), '') AS name"),
