@@ -30,22 +30,70 @@ def ride_minutes(length_m: Column, kmh: Column, multiplier: float = 1.0) -> Colu
     return F.when((length_m <= 0) | (kmh <= 0), 0.0).otherwise(length_m / (kmh * max(multiplier, 0.01) / 3.6 * 60))
 
 
-def open_at(expression: Column, minute: Column, weekday: Column, dark: Column) -> Column:
-    """Opening hours at a local minute of a weekday (0: Monday): 24/7, dawn-dusk, day ranges with time ranges.
+#: Names of the opening-hours grammar.
+DAYS = ("Mo", "Tu", "We", "Th", "Fr", "Sa", "Su")
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
-    Parts between ';' are or-ed. Without hours, or with a part of another form, a place is open in daylight.
+
+def _list_of(item: str) -> str:
+    return rf"{item}(?:-{item})?(?:, ?{item}(?:-{item})?)*"
+
+
+_MONTH, _DAY = f"(?:{'|'.join(MONTHS)})", f"(?:{'|'.join(DAYS)}|PH)"
+_EVENT = "(?:sunrise|sunset|dawn|dusk)"
+_TIME = rf"(?:\d\d:\d\d|{_EVENT}|\({_EVENT}[+-]\d\d:\d\d\))"
+#: A part: months, days, times or off, of which some may be missing.
+_PART = rf"^(?:({_list_of(_MONTH)}):? ?)?(?:({_list_of(_DAY)}) ?)?({_TIME}-{_TIME}(?:, ?{_TIME}-{_TIME})*|off|closed)?$"
+
+
+def _any(listed: Column, test) -> Column:
+    """Whether a span of a list (a-b or a) passes; test gets both ends."""
+    ends = lambda x: F.split(x, r"-(?![^(]*\))")  # noqa: E731; not within brackets
+    return F.exists(F.split(listed, ", ?"), lambda x: F.coalesce(test(F.get(ends(x), 0), F.coalesce(F.get(ends(x), 1), F.get(ends(x), 0))), F.lit(False)))
+
+
+def _between(x: Column, first: Column, last: Column) -> Column:
+    """Within a span of a cycle."""
+    return F.when(first <= last, x.between(first, last)).otherwise((x >= first) | (x <= last))
+
+
+def open_at(expression: Column, minute: Column, weekday: Column, dark: Column, month: Column | None = None, holiday: Column | None = None, sunrise: Column | None = None, sunset: Column | None = None) -> Column:
+    """Opening hours at a local minute of a weekday (0: Monday) and month (1 to 12).
+
+    A part has months, days (PH: public holidays) and times, each a list of spans, some of which may be missing; 24/7; off.
+    A span of times that ends at or before its start, or after 24:00, reaches into the next day. Parts between ';' are
+    or-ed. Without hours, or with a part of another form or one that needs what isn't given (month, sunrise, sunset), a
+    place is open in daylight.
     """
-    days = F.array(*map(F.lit, ("Mo", "Tu", "We", "Th", "Fr", "Sa", "Su")))
-    form = r"^(?:([A-Z][a-z])(?:-([A-Z][a-z]))? )?(\d\d):(\d\d)-(\d\d):(\d\d)$"
-    day = lambda p, i: F.array_position(days, F.regexp_extract(p, form, i)) - 1
-    clock = lambda p, i: F.regexp_extract(p, form, i).try_cast("int") * 60 + F.regexp_extract(p, form, i + 1).try_cast("int")
+    names = F.array(*map(F.lit, DAYS))
+    month = F.lit(None).cast("int") if month is None else month
+    rise, fall = (F.lit(None).cast("int") if x is None else x for x in (sunrise, sunset))
+    is_holiday = F.lit(False) if holiday is None else holiday
+
+    def clock(t: Column) -> Column:
+        digits = lambda i: F.regexp_extract(t, r"(\d\d):(\d\d)", i).try_cast("int")
+        span = digits(1) * 60 + digits(2)
+        event = F.when(t.rlike("sunrise|dawn"), rise).when(t.rlike("sunset|dusk"), fall)
+        return F.when(~t.rlike("[a-z]"), span).when(t.contains("+"), event + span).when(t.startswith("("), event - span).otherwise(event)
+
+    def on(days: Column, day: Column, feast: Column) -> Column:
+        at = lambda n: F.array_position(names, n) - 1
+        return (days == "") | _any(days, lambda a, b: F.when(a == "PH", feast).otherwise(_between(day, at(a), at(b))))
 
     def one(p: Column) -> Column:
-        first, last = day(p, 1), F.when(F.regexp_extract(p, form, 2) == "", day(p, 1)).otherwise(day(p, 2))
-        on_day = (first < 0) | F.when(first <= last, weekday.between(first, last)).otherwise((weekday >= first) | (weekday <= last))
-        start, end = clock(p, 3), clock(p, 5)
-        on_time = F.when(start < end, (minute >= start) & (minute < end)).otherwise((minute >= start) | (minute < end))
-        return F.when(p == "24/7", True).when(p == "dawn-dusk", ~dark).when(p.rlike(form), on_day & on_time)
+        months, days, times = (F.regexp_extract(p, _PART, i) for i in (1, 2, 3))
+        place = lambda n: F.array_position(F.array(*map(F.lit, MONTHS)), n)
+        in_month = (months == "") | _any(months, lambda a, b: _between(month, place(a), place(b)))
+        today, yesterday = on(days, weekday, is_holiday), on(days, (weekday + 6) % 7, F.lit(False))
+
+        def span(a: Column, b: Column) -> Column:
+            start, end = clock(a), clock(b)
+            over = F.when(end > 1440, end - 1440).when(end <= start, end).otherwise(0)
+            return (today & (minute >= start) & ((minute < end) | (over > 0) | (end <= start))) | (yesterday & (minute < over))
+
+        known = ((months == "") | month.isNotNull()) & (~times.rlike("[a-z]") | times.isin("off", "closed") | (rise.isNotNull() & fall.isNotNull()))
+        said = F.when(times.isin("off", "closed"), False).when(times == "", in_month & today).otherwise(in_month & _any(times, span))
+        return F.when(p == "24/7", True).when(p == "dawn-dusk", ~dark).when(p.rlike(_PART) & known, said)
 
     parts = F.filter(F.transform(F.split(F.coalesce(expression, F.lit("")), ";"), lambda x: F.trim(x)), lambda p: p != "")
     said = F.transform(parts, one)

@@ -201,7 +201,44 @@ def hours_cases(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/region.parquet").select("r_regionkey").crossJoin(F.broadcast(rows)).select("r_regionkey", "id", open_at(F.col("hours"), F.col("minute"), F.lit(2), F.col("dark")).alias("open"))
 
 
-QUERIES = {"x30_live_costs": live_costs, "l06_later_costs": later_costs, "r07_park_hours": park_hours, "x32_hours_cases": hours_cases, "x41_feed_a": feed_a, "x42_feed_b": feed_b, "w11_most_severe": street_a, "l04_merged_feeds": merged, "r08_rate_limit": rate_limit, "r09_monthly_quota": monthly_quota, "j22_nearest_hour": nearest_hour, "r01_preset_clamps": clamps, "a19_coupling_degree": coupling_degree, "x32_open_streets": open_streets, "x38_slugs": slugs, "x40_tag_union": tag_union, "l03_stream_latest": stream_latest}
+def hours_grammar(spark: SparkSession, sf: str) -> DataFrame:
+    """Hours put together from lists of months, days and times for each customer, read at a moment of the customer's own."""
+    from wayfare.functions.text import DAYS, MONTHS
+
+    k = F.col("k")
+    name = lambda names, i: F.element_at(F.array(*map(F.lit, names)), F.expr(f"cast({i} as int)") + 1)
+    time = lambda n: F.format_string("%02d:%02d", F.expr(f"cast(k * {n} % 1440 div 60 as int)"), F.expr(f"cast(k * {n} % 60 as int)"))
+    months = F.when(k % 4 == 0, F.concat(name(MONTHS, "k % 12"), F.lit("-"), name(MONTHS, "k div 12 % 12"), F.lit(" "))).otherwise("")
+    days = F.when(k % 3 == 0, F.concat(name(DAYS, "k % 7"), F.lit("-"), name(DAYS, "k div 7 % 7"), F.lit(","), name(DAYS, "k div 49 % 7"), F.lit(" "))).when(k % 3 == 1, F.concat(name(DAYS, "k % 7"), F.lit(",PH "))).otherwise("")
+    one = F.concat(time(37), F.lit("-"), time(53))
+    times = F.when(k % 7 == 0, "sunrise-sunset").when(k % 11 == 0, F.concat(F.lit("(sunrise+01:00)-"), time(53))).when(k % 5 == 0, F.concat(one, F.lit(","), time(71), F.lit("-"), time(89))).otherwise(one)
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").cast("long").alias("k")).withColumns({"hours": F.concat(months, days, times), "minute": k * 97 % 1440, "day": F.expr("k * 5 div 3 % 7"), "month": F.expr("k * 3 div 5 % 12") + 1})
+    dark = (F.col("minute") < 360) | (F.col("minute") >= 1080)
+    return rows.select("k", "hours", open_at(F.col("hours"), F.col("minute"), F.col("day"), dark, F.col("month"), k % 13 == 0, F.lit(360), F.lit(1080)).alias("open"))
+
+
+_SPAN = "(today AND minute >= {a} AND (minute < {b} OR {b} <= {a}) OR before AND {b} <= {a} AND minute < {b})"
+_CYCLE = "(CASE WHEN {a} <= {b} THEN {x} BETWEEN {a} AND {b} ELSE {x} >= {a} OR {x} <= {b} END)"
+
+
+def _grammar_sql() -> str:
+    """Works the hours out from the numbers they are made of; the text is made for comparison only."""
+    from wayfare.functions.text import DAYS, MONTHS
+
+    names = lambda v, i: "([" + ", ".join(f"'{x}'" for x in v) + f"])[({i}) + 1]"
+    time = lambda n: f"lpad((k * {n} % 1440 // 60)::VARCHAR, 2, '0') || ':' || lpad((k * {n} % 60)::VARCHAR, 2, '0')"
+    one = f"{time(37)} || '-' || {time(53)}"
+    on = lambda d: f"(CASE k % 3 WHEN 0 THEN {_CYCLE.format(x=d, a='k % 7', b='k // 7 % 7')} OR {d} = k // 49 % 7 WHEN 1 THEN {d} = k % 7 ELSE true END)"
+    s1, s2 = _SPAN.format(a="k * 37 % 1440", b="k * 53 % 1440"), _SPAN.format(a="k * 71 % 1440", b="k * 89 % 1440")
+    return f"""WITH c AS (SELECT c_custkey AS k, c_custkey * 97 % 1440 AS minute, c_custkey * 5 // 3 % 7 AS day, c_custkey * 3 // 5 % 12 + 1 AS month FROM customer),
+d AS (SELECT *, {on('day')} OR k % 3 = 1 AND k % 13 = 0 AS today, {on('((day + 6) % 7)')} AS before, k % 4 <> 0 OR {_CYCLE.format(x='month', a='(k % 12 + 1)', b='(k // 12 % 12 + 1)')} AS in_month FROM c)
+SELECT k, CASE WHEN k % 4 = 0 THEN {names(MONTHS, 'k % 12')} || '-' || {names(MONTHS, 'k // 12 % 12')} || ' ' ELSE '' END
+  || CASE k % 3 WHEN 0 THEN {names(DAYS, 'k % 7')} || '-' || {names(DAYS, 'k // 7 % 7')} || ',' || {names(DAYS, 'k // 49 % 7')} || ' ' WHEN 1 THEN {names(DAYS, 'k % 7')} || ',PH ' ELSE '' END
+  || CASE WHEN k % 7 = 0 THEN 'sunrise-sunset' WHEN k % 11 = 0 THEN '(sunrise+01:00)-' || {time(53)} WHEN k % 5 = 0 THEN {one} || ',' || {time(71)} || '-' || {time(89)} ELSE {one} END AS hours,
+  in_month AND CASE WHEN k % 7 = 0 THEN today AND minute >= 360 AND minute < 1080 WHEN k % 11 = 0 THEN {_SPAN.format(a='420', b='k * 53 % 1440')} WHEN k % 5 = 0 THEN {s1} OR {s2} ELSE {s1} END AS open FROM d"""
+
+
+QUERIES = {"x32_hours_grammar": hours_grammar, "x30_live_costs": live_costs, "l06_later_costs": later_costs, "r07_park_hours": park_hours, "x32_hours_cases": hours_cases, "x41_feed_a": feed_a, "x42_feed_b": feed_b, "w11_most_severe": street_a, "l04_merged_feeds": merged, "r08_rate_limit": rate_limit, "r09_monthly_quota": monthly_quota, "j22_nearest_hour": nearest_hour, "r01_preset_clamps": clamps, "a19_coupling_degree": coupling_degree, "x32_open_streets": open_streets, "x38_slugs": slugs, "x40_tag_union": tag_union, "l03_stream_latest": stream_latest}
 
 
 def _list(values, i: str) -> str:
@@ -272,6 +309,7 @@ ORACLE_SQL = {
     "a19_coupling_degree": _degree_sql(),
     "l06_later_costs": _later_sql(),
     "r07_park_hours": net.SQL + "SELECT way_id, CASE name WHEN 'Mill Lane' THEN 'Mo-Fr 08:00-18:00' WHEN 'Park Road' THEN '' ELSE trim(opening_hours) END AS hours FROM ways",
+    "x32_hours_grammar": _grammar_sql(),
     "x32_hours_cases": "SELECT r_regionkey, id, open FROM region, (VALUES " + ", ".join(f"({i}, {str(c[3]).lower()})" for i, c in enumerate(HOURS_CASES)) + ") AS v(id, open)",
     "r01_preset_clamps": _clamp_sql(),
     "x32_open_streets": net.SQL + "SELECT way_id, minute, CASE WHEN opening_hours = '24/7' THEN true WHEN opening_hours LIKE 'Mo%' THEN minute = 720 ELSE minute = 720 END AS open FROM ways, unnest([300, 720, 1320]) AS q(minute)",
