@@ -25,7 +25,7 @@ its set size and the least id that links reach.
    differ, which rules out most pairs, whatever the size of the sets. Of the rest a
    shard lists a spanning forest over the components, closest pairs first; those
    are verified on the whole sets, and components that link are merged. Where a
-   listed pair did not link, its shard goes again with 64 times as many forests,
+   listed pair did not link, the components of its group there go again with 64 times as many forests,
    until every pair is verified or inside one component. So large groups that link
    cost their number of components, not the product of their sizes.
 5. Components of all links; the least id of a component's rows is its name.
@@ -174,8 +174,9 @@ def divisions(n: int, num: int, den: int) -> set[int]:
 
 def parities(items: np.ndarray, segment: np.ndarray, count: int) -> np.ndarray:
     """For each of count segments, the parity bitmap (words of 64 bits) of its items and those of the segments behind it on the ring, CHAIN in all."""
-    at = segment * BITS + (mix(items + U(7)) % U(BITS)).astype(np.int64)
-    own = np.packbits(np.bincount(at, minlength=count * BITS).reshape(count, BITS) & 1, axis=1).view(U)
+    bit = mix(items + U(7)) % U(BITS)
+    own = np.zeros((count, BITS // 64), U)
+    np.bitwise_xor.at(own, (segment, (bit >> U(6)).astype(np.int64)), U(1) << (bit & U(63)))
     return np.broadcast_to(np.bitwise_xor.reduce(own, axis=0), own.shape) if count <= CHAIN else _chained(own, np.bitwise_xor)
 
 
@@ -253,6 +254,8 @@ class Forests:
             up[lo][find(up[lo], x)] = find(up[lo], y)
             keep.append(j)
         self.edges, self.weights = edges[:, keep], weights[keep]
+        # what the first forest joins; all pairs between components, listed or held back, lie inside one group
+        self.group = np.array([find(up[0], x) for x in self.edges[2].tolist()], np.int64) if up else np.empty(0, np.int64)
         if len(up) == self.k:
             self.label = np.array([find(up[-1], x) for x in range(len(self.names))])
             self.most = np.full(len(self.names), -np.inf)
@@ -276,12 +279,12 @@ def _hub_links(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _segment_pairs(rows: DataFrame, num: int, den: int, forests: int) -> DataFrame:
-    """rows (shard, id, comp, n, parity, chain, size, items), one for a segment, to pairs (shard, a, b, more) of different components that may link.
+    """rows (shard, id, comp, n, parity, chain, size, items), one for a segment, to pairs (shard, a, b, group, more) of different components that may link.
 
     Segments with the same items count as one in the search. A pair that links
     has a segment that links by itself and with the chain behind it, so sizes and
     bitmaps are compared there. A shard lists at most so many spanning forests over
-    its components; more tells whether it has held pairs back.
+    its components, and which pairs are connected there (group); more tells whether it has held pairs back.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -327,12 +330,12 @@ def _segment_pairs(rows: DataFrame, num: int, den: int, forests: int) -> DataFra
             if lone[q] is None or lone[q] != lone[o]:
                 check(*sorted((members[q], members[o]), key=len), shared)
         found.settle()
-        out = pd.DataFrame({"shard": pdf["shard"].iloc[0], "a": found.edges[0], "b": found.edges[1], "more": found.suppressed})
+        out = pd.DataFrame({"shard": pdf["shard"].iloc[0], "a": found.edges[0], "b": found.edges[1], "group": found.group, "more": found.suppressed})
         del sets, shared_sets, holder, members, bits, found
         tidy()
         return out
 
-    return rows.groupBy("shard").applyInPandas(run, "shard int, a long, b long, more boolean")
+    return rows.groupBy("shard").applyInPandas(run, "shard int, a long, b long, group long, more boolean")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -537,22 +540,23 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
         near = F.least(F.length("x"), F.length("y")) * den >= F.greatest(F.length("x"), F.length("y")) * num
         forests, again = 1, None
         while True:
-            if again is None:
-                rows = rest
-            else:
+            rows = rest
+            if again is not None:
                 rows = rest.drop("comp").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).select(*rest.columns)
+                rows = rows.join(again.select("comp").distinct(), "comp", "left_semi").select(*rest.columns)
             routed = rows.mapInArrow(tidied(route), "shard int, id long, comp long, n long, parity binary, chain long, size int, items binary")
             if again is not None:
-                routed = routed.join(again, "shard", "left_semi")
+                routed = routed.join(again, ["shard", "comp"], "left_semi")
             listed = settle(_segment_pairs(routed, num, den, forests))
             pairs = listed.select("a", "b").distinct()
             more = settle(pairs.join(one, "a").join(two, "b").filter(near).filter(verified("x", "y")).select("a", "b"))
             links = links.unionByName(more)
             comp = settle(components(links))
-            # a pair that was held back lies between components that listed pairs of its shard join; it is done with where those now are one
-            a, b = (comp.select(F.col("node").alias(x), F.col("component").alias(f"comp_{x}")) for x in "ab")
-            open_pairs = listed.filter("more").join(a, "a", "left").join(b, "b", "left").filter("comp_a IS NULL OR comp_b IS NULL OR comp_a <> comp_b")
-            again = settle(open_pairs.select("shard").distinct())
+            # a pair that was held back lies inside a group of its shard; where all pairs listed there now are in one component, so is that one
+            now = lambda x: comp.select(F.col("node").alias(x), F.col("component").alias(f"comp_{x}"))
+            ends = listed.filter("more").join(now("a"), "a", "left").join(now("b"), "b", "left").select("shard", "group", F.coalesce("comp_a", "a").alias("comp_a"), F.coalesce("comp_b", "b").alias("comp_b"))
+            left = ends.filter("comp_a <> comp_b").select("shard", "group").distinct()
+            again = settle(ends.join(left, ["shard", "group"], "left_semi").select("shard", F.explode(F.array("comp_a", "comp_b")).alias("comp")).distinct())
             if again.isEmpty():
                 break
             forests *= 64
