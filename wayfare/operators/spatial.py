@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions.geo import along, cell, point_segment
-from wayfare.session import settle
 
 
 def box_cells(lo_x: Column, hi_x: Column, lo_y: Column, hi_y: Column, size: int) -> Column:
@@ -98,19 +97,3 @@ def corridor_share(reach: float, a: tuple[str, ...] = ("ax", "ay", "bx", "by"),
     first = F.least(*[F.when(s < t, s).otherwise(2.0) for s, t in cut])
     last = F.greatest(*[F.when(s < t, t).otherwise(-2.0) for s, t in cut])
     return F.greatest(F.lit(0.0), last - first)
-
-
-def nearest_at_any_distance(points: DataFrame, targets: DataFrame, target: str, first_reach: int, last_reach: int) -> DataFrame:
-    """id, target, d2: each point's nearest target, by rings of doubling reach; only points without a hit go on.
-
-    Points farther than last_reach from all targets get no row; choose it as the extent of the data.
-    """
-    left, out, reach = points, None, first_reach
-    while True:
-        near = points_near_points(left, targets, reach)
-        hit = settle(near.groupBy("id").agg(F.min(F.struct("d2", target)).alias("x")).select("id", f"x.{target}", "x.d2"))
-        out = hit if out is None else out.unionByName(hit)
-        left = settle(left.join(hit, "id", "left_anti"))
-        if reach >= last_reach or left.isEmpty():
-            return out
-        reach = min(2 * reach, last_reach)

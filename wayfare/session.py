@@ -57,3 +57,9 @@ def settle(df: DataFrame) -> DataFrame:
     """Write df to the cluster's checkpoint folder and cut its lineage there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store, once what was read from it is settled."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

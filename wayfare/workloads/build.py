@@ -9,6 +9,7 @@ from wayfare import fixtures as net
 from wayfare.functions import tags as t
 from wayfare.functions.geo import angle_deg, haversine_m
 from wayfare.operators import spatial
+from wayfare.operators.nearest import nearest_at_any_distance
 from wayfare.operators.ranking import global_rank
 from wayfare.workloads import spatial as sp
 
@@ -175,13 +176,13 @@ def _far_points(spark: SparkSession, sf: str) -> DataFrame:
 
 def nearest_far_node(spark: SparkSession, sf: str) -> DataFrame:
     at = net.nodes(spark, sf).select("node_id", F.col("x_u").alias("qx"), F.col("y_u").alias("qy"))
-    return spatial.nearest_at_any_distance(_far_points(spark, sf), at, "node_id", 2000, 300_000)
+    return nearest_at_any_distance(_far_points(spark, sf), at, "node_id")
 
 
 def nearest_named(spark: SparkSession, sf: str) -> DataFrame:
     """The nearest named street's middle to each click, at any distance."""
     mid = _streets(spark, sf, "name").filter(~F.col("name").isin("", "nan")).select("way_id", F.expr("(ux + vx) div 2").alias("qx"), F.expr("(uy + vy) div 2").alias("qy"))
-    return spatial.nearest_at_any_distance(_far_points(spark, sf), mid, "way_id", 2000, 300_000)
+    return nearest_at_any_distance(_far_points(spark, sf), mid, "way_id")
 
 
 def _connections(spark: SparkSession, sf: str) -> DataFrame:

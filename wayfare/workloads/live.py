@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wayfare import fixtures as net
 from wayfare.functions import feeds
 from wayfare.functions.text import merged_tags, open_at, slug
+from wayfare.operators.ranking import rank_within
 from wayfare.plans.rules import COUPLINGS, PRESETS, apply_clamps, within_window
 from wayfare.session import shared_folder
 
@@ -64,8 +65,8 @@ def rate_limit(spark: SparkSession, sf: str) -> DataFrame:
 def monthly_quota(spark: SparkSession, sf: str) -> DataFrame:
     e = _events(spark, sf).filter("event_type = 'view'")
     first = e.groupBy(F.date_format("ts", "yyyy-MM").alias("month"), "user_id").agg(F.min("event_id").alias("event_id"))
-    rank = F.row_number().over(Window.partitionBy("month").orderBy("event_id"))
-    return first.select("month", "user_id", rank.alias("rank"), (rank <= 40).alias("granted"))
+    first = rank_within(first, "month", ["event_id"], "rank")
+    return first.select("month", "user_id", F.col("rank").cast("int").alias("rank"), (F.col("rank") <= 40).alias("granted"))
 
 
 def nearest_hour(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,8 +123,8 @@ def open_streets(spark: SparkSession, sf: str) -> DataFrame:
 
 def slugs(spark: SparkSession, sf: str) -> DataFrame:
     p = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", slug(F.col("p_name")).alias("s"))
-    r = F.row_number().over(Window.partitionBy("s").orderBy("p_partkey"))
-    return p.select("p_partkey", F.when(r == 1, F.col("s")).otherwise(F.concat_ws("-", "s", r)).alias("slug"))
+    r = F.col("r")
+    return rank_within(p, "s", ["p_partkey"], "r").select("p_partkey", F.when(r == 1, F.col("s")).otherwise(F.concat_ws("-", "s", r)).alias("slug"))
 
 
 def tag_union(spark: SparkSession, sf: str) -> DataFrame:

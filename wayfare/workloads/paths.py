@@ -187,8 +187,8 @@ def profile(spark: SparkSession, sf: str) -> DataFrame:
     return runs.running(tracks(spark, sf), "path_id", "seq", "length_mm", "at_mm").select("path_id", "seq", "at_mm", "elev_cm")
 
 
-def sampled_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.sample_evenly(profile(spark, sf), "path_id", "seq", 12).select("path_id", "sample", "seq", "at_mm")
+def sampled_profile(spark: SparkSession, sf: str, most: int = 120) -> DataFrame:
+    return runs.sample_evenly(profile(spark, sf), "path_id", "seq", most).select("path_id", "sample", "seq", "at_mm")
 
 
 def stitched(spark: SparkSession, sf: str) -> DataFrame:
@@ -304,7 +304,7 @@ SELECT request_id, run, min(seq) AS first_seq, max(seq) AS last_seq, any_value(k
     "w04_surface_runs": _TRACKS + f", kinds AS (SELECT *, CASE WHEN {_ROUGH} THEN 'rough' ELSE 'smooth' END AS kind FROM tracks) " + _RUNS.format(mm="mm", more=", coalesce(arg_min(name, seq) FILTER (WHERE name <> ''), '') AS name"),
     "w05_green_runs": _TRACKS + ", kinds AS (SELECT *, CASE WHEN is_park = 'yes' THEN 'park' ELSE 'river' END AS kind FROM tracks WHERE is_park = 'yes' OR is_river = 'yes') " + _RUNS.format(mm="length_mm", more=""),
     "w06_profile": _TRACKS + "SELECT path_id, seq, sum(length_mm) OVER (PARTITION BY path_id ORDER BY seq)::BIGINT AS at_mm, elev_cm FROM tracks",
-    "w07_sampled_profile": _TRACKS + ", ends AS (SELECT path_id, max(seq) AS m FROM tracks GROUP BY 1), picks AS (SELECT path_id, i AS sample, CASE WHEN m < 12 THEN i ELSE cast(round_even(i * (m / 11::DOUBLE), 0) AS BIGINT) END AS seq FROM ends, unnest(range(12)) AS q(i) WHERE i <= m) SELECT path_id, sample, seq, at_mm FROM picks JOIN (SELECT path_id, seq, sum(length_mm) OVER (PARTITION BY path_id ORDER BY seq)::BIGINT AS at_mm FROM tracks) USING (path_id, seq)",
+    "w07_sampled_profile": _TRACKS + ", ends AS (SELECT path_id, max(seq) AS m FROM tracks GROUP BY 1), picks AS (SELECT path_id, i AS sample, CASE WHEN m < 120 THEN i ELSE cast(round_even(i * (m / 119::DOUBLE), 0) AS BIGINT) END AS seq FROM ends, unnest(range(120)) AS q(i) WHERE i <= m) SELECT path_id, sample, seq, at_mm FROM picks JOIN (SELECT path_id, seq, sum(length_mm) OVER (PARTITION BY path_id ORDER BY seq)::BIGINT AS at_mm FROM tracks) USING (path_id, seq)",
     "w08_stitched_profile": _TRACKS + "SELECT path_id // 10 AS trip, path_id % 10 * 1000000 + seq AS place, sum(length_mm) OVER (PARTITION BY path_id // 10 ORDER BY path_id, seq)::BIGINT AS trip_mm FROM tracks",
     "w09_joints": _TRACKS + f"SELECT path_id, seq, lit_now FROM (SELECT path_id, seq, lit_now, lag(lit_now) OVER (PARTITION BY path_id ORDER BY seq) AS p FROM (SELECT *, CASE WHEN lower(lit) IN {n._in(t.LIT)} THEN 1 ELSE 0 END AS lit_now FROM tracks)) WHERE p IS NULL OR p <> lit_now",
 }

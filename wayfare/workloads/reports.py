@@ -58,11 +58,11 @@ def undirected(spark: SparkSession, sf: str) -> DataFrame:
     return net.edges(spark, sf).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
-def tiered(spark: SparkSession, sf: str) -> DataFrame:
-    """200 streets: those with a known surface first, then the rest by distance from the centre."""
+def tiered(spark: SparkSession, sf: str, most: int = 20_000) -> DataFrame:
+    """As many streets as are asked for: those with a known surface first, then the rest by distance from the centre."""
     s = spatial._streets(spark, sf).select("way_id", (F.col("ux") + F.col("vx") + 160_000).alias("dx"), (F.col("uy") + F.col("vy") - 103_040_000).alias("dy"))
     known = net.ways(spark, sf).select("way_id", F.when(F.col("surface") == "cobblestone", 0).otherwise(1).alias("tier"))
-    return s.join(known, "way_id").select("way_id", "tier", F.expr("if(tier = 0, 0, dx * dx + dy * dy)").alias("d2")).orderBy("tier", "d2", "way_id").limit(200)
+    return s.join(known, "way_id").select("way_id", "tier", F.expr("if(tier = 0, 0, dx * dx + dy * dy)").alias("d2")).orderBy("tier", "d2", "way_id").limit(most)
 
 
 def hire_stations(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,6 +172,6 @@ ORACLE_SQL = {
     "a07_elevation_metrics": net.SQL + "SELECT sum(greatest(rise_cm, 0))::BIGINT AS ascent_cm, count(*) FILTER (WHERE grade > 0.033::DOUBLE) AS steep, sum(length_mm)::BIGINT AS length_mm, count(*) FILTER (WHERE grade > 0.001::DOUBLE) AS up, count(*) FILTER (WHERE grade < -0.001::DOUBLE) AS down, count(*) FILTER (WHERE abs(grade) <= 0.001::DOUBLE) AS flat FROM edges",
     "a14_hours_catalog": net.SQL + "SELECT DISTINCT trim(h) AS hours FROM ways, unnest(string_split(opening_hours, ';')) AS q(h) WHERE trim(h) <> ''",
     "u04_undirected_pairs": net.SQL + "SELECT DISTINCT least(u, v) AS a, greatest(u, v) AS b FROM edges",
-    "t02_tiered_fill": net.SQL + spatial._STREETS + ", r AS (SELECT s.way_id, CASE WHEN surface = 'cobblestone' THEN 0 ELSE 1 END AS tier, (ux + vx + 160000) ** 2 + (uy + vy - 103040000) ** 2 AS d FROM streets s JOIN ways USING (way_id)) SELECT way_id, tier, CASE WHEN tier = 0 THEN 0 ELSE d END AS d2 FROM r ORDER BY tier, d2, way_id LIMIT 200",
+    "t02_tiered_fill": net.SQL + spatial._STREETS + ", r AS (SELECT s.way_id, CASE WHEN surface = 'cobblestone' THEN 0 ELSE 1 END AS tier, (ux + vx + 160000) ** 2 + (uy + vy - 103040000) ** 2 AS d FROM streets s JOIN ways USING (way_id)) SELECT way_id, tier, CASE WHEN tier = 0 THEN 0 ELSE d END AS d2 FROM r ORDER BY tier, d2, way_id LIMIT 20000",
     "w16_hire_stations": net.SQL + spatial._pts("pts", "customer", "c_custkey", 500) + spatial._pts("st", "supplier", "s_suppkey", 500) + ", near AS (SELECT p.id, s.id AS station, s.id % 3 AS bikes, (p.px - s.px) * (p.px - s.px) + (p.py - s.py) * (p.py - s.py) AS d2 FROM pts p JOIN st s ON abs(p.px - s.px) <= 3000 AND abs(p.py - s.py) <= 3000), run AS (SELECT *, coalesce(sum(CASE WHEN bikes > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY d2, station ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM near WHERE d2 <= 9000000) SELECT id, station, d2, bikes FROM run WHERE c < 3",
 }

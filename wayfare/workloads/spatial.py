@@ -5,14 +5,17 @@ Points derive from the driver's tables; all places are whole microdegrees.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare import fixtures as net
 from wayfare.functions.geo import haversine_m
 from wayfare.operators import spatial
 from wayfare.operators.components import components
-from wayfare.session import settle
+from wayfare.session import remove_folder, settle, shared_folder
+from wayfare.sources import clustered
 
 REACH, SNAP, CLUSTER = 150, 200, 1000
 VIEW = (-90_000, 51_505_000, -70_000, 51_530_000)
@@ -89,8 +92,8 @@ def junction_clusters(spark: SparkSession, sf: str) -> DataFrame:
     pairs = spatial.points_near_points(j, other, CLUSTER, "x_u", "y_u").filter("node_id < o").select("node_id", "o")
     label = components(pairs, "node_id", "o").withColumnRenamed("node", "node_id")
     rows = j.join(label, "node_id", "left").withColumn("component", F.coalesce("component", "node_id"))
-    top = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("elev_cm"), "node_id"))
-    return rows.select("node_id", "component", (top > 1).alias("suppressed"))
+    top = rows.groupBy("component").agg(F.max_by("node_id", F.struct("elev_cm", -F.col("node_id"))).alias("top"))  # combines before the shuffle
+    return rows.join(top, "component").select("node_id", "component", (F.col("node_id") != F.col("top")).alias("suppressed"))
 
 
 def _zones(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,22 +111,32 @@ def zone_owner(spark: SparkSession, sf: str) -> DataFrame:
     return over.groupBy("way_id").agg(F.max(F.struct("milli", "zone")).alias("x")).select("way_id", "x.zone", "x.milli")
 
 
-def viewport(spark: SparkSession, sf: str) -> DataFrame:
-    """The 300 streets nearest to the centre among those that overlap the view, with the number of all."""
+def viewport(spark: SparkSession, sf: str, most: int = 20_000) -> DataFrame:
+    """The streets nearest to the centre among those that overlap the view, with the number of all."""
     x0, y0, x1, y1 = VIEW
     s = _streets(spark, sf).filter((F.greatest("ux", "vx") > x0) & (F.least("ux", "vx") < x1) & (F.greatest("uy", "vy") > y0) & (F.least("uy", "vy") < y1))
     mid = lambda a, b, c: (F.col(a) + F.col(b) - c) * (F.col(a) + F.col(b) - c)
     total = s.agg(F.count("*").alias("found"))
-    top = s.withColumn("d2", mid("ux", "vx", x0 + x1) + mid("uy", "vy", y0 + y1)).orderBy("d2", "way_id").limit(300)
+    top = s.withColumn("d2", mid("ux", "vx", x0 + x1) + mid("uy", "vy", y0 + y1)).orderBy("d2", "way_id").limit(most)
     return top.crossJoin(F.broadcast(total)).select("way_id", "d2", "found")
 
 
+def clustered_view(spark: SparkSession, sf: str, most: int = 500) -> DataFrame:
+    """The viewport's nearest streets from streets stored along a Hilbert curve: only files near enough are read."""
+    where = f"{shared_folder(spark)}/clustered-{uuid.uuid4().hex}"
+    boxes = _streets(spark, sf).select("way_id", *[f(f"u{q}", f"v{q}").alias(f"{q}{i}") for q in "xy" for i, f in enumerate((F.least, F.greatest))])
+    clustered.write(boxes, where, files=64)
+    out = settle(clustered.nearest_in_view(spark, where, VIEW, most, ["way_id"]).select("way_id", "d2"))
+    remove_folder(spark, where)
+    return out
+
+
 def points_in_view(spark: SparkSession, sf: str) -> DataFrame:
     x0, y0, x1, y1 = VIEW
     return _points(spark, sf, "customer", "c_custkey", 500).filter(F.col("px").between(x0, x1) & F.col("py").between(y0, y1))
 
 
-QUERIES = {"f02_bike_collisions": collisions, "j05_road_risk": road_risk, "j07_nearest_node": nearest_node, "j08_nearest_street": nearest_street, "j10_preferred_street": preferred_street, "j16_widening_snap": widening_snap, "g04_junction_clusters": junction_clusters, "j14_zone_owner": zone_owner, "t01_viewport": viewport, "f11_points_in_view": points_in_view}
+QUERIES = {"f02_bike_collisions": collisions, "j05_road_risk": road_risk, "j07_nearest_node": nearest_node, "j08_nearest_street": nearest_street, "j10_preferred_street": preferred_street, "j16_widening_snap": widening_snap, "g04_junction_clusters": junction_clusters, "j14_zone_owner": zone_owner, "t01_viewport": viewport, "t01_clustered_view": clustered_view, "f11_points_in_view": points_in_view}
 
 
 def _pts(name: str, table: str, key: str, stretch: int, where: str = "") -> str:
@@ -151,6 +164,7 @@ ORACLE_SQL = {
     "j16_widening_snap": net.SQL + _pts("pts", "customer", "c_custkey", 9000) + _STREETS + f", best AS (SELECT id, way_id, d, frac FROM ({_near(10300)}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, way_id) = 1), foot AS (SELECT id, way_id, d, frac, px, py, greatest(ux, least(vx, px)) AS fx, greatest(uy, least(vy, py)) AS fy FROM best JOIN pts USING (id) JOIN streets USING (way_id)) SELECT id, way_id, CASE WHEN frac <= 0.5 THEN u ELSE v END AS anchor, CASE WHEN d <= 450 THEN 450 WHEN d <= 1000 THEN 1000 ELSE 10300 END AS radius FROM foot JOIN ways USING (way_id) WHERE 2 * 6371000::DOUBLE * asin(sqrt(sin(radians((fy - py) / 1e6::DOUBLE) / 2) ** 2 + cos(radians(py / 1e6::DOUBLE)) * cos(radians(fy / 1e6::DOUBLE)) * sin(radians((fx - px) / 1e6::DOUBLE) / 2) ** 2)) <= 1000",
     "g04_junction_clusters": net.SQL.replace("WITH grid", "WITH RECURSIVE grid", 1) + f", j AS (SELECT t.node_id, t.elev_cm, n.x_u, n.y_u FROM tagged_nodes t JOIN nodes n USING (node_id) WHERE signals = 'yes'), pairs AS (SELECT a.node_id AS a, b.node_id AS b FROM j a, j b WHERE abs(a.x_u - b.x_u) + abs(a.y_u - b.y_u) <= {CLUSTER}), reach AS (SELECT a, a AS b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b), label AS (SELECT b AS node_id, min(a) AS component FROM reach GROUP BY 1) SELECT node_id, component, row_number() OVER (PARTITION BY component ORDER BY elev_cm DESC, node_id) > 1 AS suppressed FROM j JOIN label USING (node_id)",
     "j14_zone_owner": net.SQL + _STREETS + ", zones AS (SELECT n_nationkey::BIGINT AS zone, -100000 + n_nationkey % 5 * 8000 AS x0, 51500000 + n_nationkey // 5 * 8000 AS y0 FROM nation), over AS (SELECT way_id, zone, cast(floor(greatest(0, CASE WHEN ux = vx THEN (least(vy, y0 + 9500) - greatest(uy, y0)) / (vy - uy)::DOUBLE ELSE (least(vx, x0 + 9500) - greatest(ux, x0)) / (vx - ux)::DOUBLE END) * 1000 + 0.5) AS BIGINT) AS milli FROM streets, zones WHERE vx >= x0 AND ux <= x0 + 9500 AND vy >= y0 AND uy <= y0 + 9500) SELECT * FROM over WHERE milli >= 500 QUALIFY row_number() OVER (PARTITION BY way_id ORDER BY milli DESC, zone DESC) = 1",
-    "t01_viewport": net.SQL + _STREETS + f", seen AS (SELECT * FROM streets WHERE vx > {VIEW[0]} AND ux < {VIEW[2]} AND vy > {VIEW[1]} AND uy < {VIEW[3]}) SELECT way_id, (ux + vx - {VIEW[0] + VIEW[2]}) ** 2 + (uy + vy - {VIEW[1] + VIEW[3]}) ** 2 AS d2, (SELECT count(*) FROM seen) AS found FROM seen ORDER BY d2, way_id LIMIT 300",
+    "t01_viewport": net.SQL + _STREETS + f", seen AS (SELECT * FROM streets WHERE vx > {VIEW[0]} AND ux < {VIEW[2]} AND vy > {VIEW[1]} AND uy < {VIEW[3]}) SELECT way_id, (ux + vx - {VIEW[0] + VIEW[2]}) ** 2 + (uy + vy - {VIEW[1] + VIEW[3]}) ** 2 AS d2, (SELECT count(*) FROM seen) AS found FROM seen ORDER BY d2, way_id LIMIT 20000",
+    "t01_clustered_view": net.SQL + _STREETS + f" SELECT way_id, (ux + vx - {VIEW[0] + VIEW[2]}) * (ux + vx - {VIEW[0] + VIEW[2]}) + (uy + vy - {VIEW[1] + VIEW[3]}) * (uy + vy - {VIEW[1] + VIEW[3]}) AS d2 FROM streets WHERE vx > {VIEW[0]} AND ux < {VIEW[2]} AND vy > {VIEW[1]} AND uy < {VIEW[3]} ORDER BY d2, way_id LIMIT 500",
     "f11_points_in_view": net.SQL + _pts("pts", "customer", "c_custkey", 500) + f" SELECT * FROM pts WHERE px BETWEEN {VIEW[0]} AND {VIEW[2]} AND py BETWEEN {VIEW[1]} AND {VIEW[3]}",
 }

@@ -10,8 +10,10 @@ from wayfare.functions import geo
 from wayfare.functions import tags as t
 from wayfare.operators import runs
 from wayfare.operators.components import components
+from wayfare.operators.expansion import expand
 from wayfare.session import settle
 from wayfare.workloads import paths
+from wayfare.workloads import shapes as shapes_of
 from wayfare.workloads import spatial as sp
 
 #: A raster cell in microdegrees; cells are the grid's nodes. Values at or under the limit mean that there are none.
@@ -19,7 +21,8 @@ CELL, NO_DATA = 1000, -1000
 #: Metres under which a steep edge on its own is noise, and what stays of it.
 DAMPING = ((12, 0.0), (20, 0.3), (35, 0.5))
 GRADE_CAP, STEEP = 0.2, 0.04
-SUMMIT_M = 150_000
+#: Millimetres: the summit window, and the window of the road mean, which is also how far off a bridge its anchors lie.
+SUMMIT_M, WINDOW_MM = 150_000, 30_000
 
 
 def milli(c, scale: float = 1000.0):
@@ -101,20 +104,65 @@ def rivers(spark: SparkSession, sf: str, passes: int = 5) -> DataFrame:
     return h
 
 
+def _around(spark: SparkSession, sf: str, links: DataFrame, limit: int) -> DataFrame:
+    """Each node's mean height with the nodes that links reach within limit."""
+    own = net.nodes(spark, sf).select("node_id", "elev_cm")
+    reach = expand(links, own.select(F.col("node_id").alias("source"), F.col("node_id").alias("node")), limit)
+    return reach.join(own, F.col("node") == F.col("node_id")).groupBy(F.col("source").alias("node_id")).agg(F.count("*").alias("n"), F.expr("sum(elev_cm) * 10 div count(*)").alias("mm"))
+
+
 def smoothed(spark: SparkSession, sf: str) -> DataFrame:
     """Each node's mean height with the nodes that its streets reach within 150 m."""
-    e = net.edges(spark, sf)
-    links = e.select("u", "v", "length_mm").groupBy("u", "v").agg(F.min("length_mm").alias("mm")).filter(F.col("mm") <= SUMMIT_M)
-    two = links.alias("a").join(links.alias("b"), F.col("a.v") == F.col("b.u")).select(F.col("a.u").alias("u"), F.col("b.v").alias("v"), (F.col("a.mm") + F.col("b.mm")).alias("mm")).filter(F.col("mm") <= SUMMIT_M)
-    own = net.nodes(spark, sf).select("node_id", "elev_cm")
-    reach = links.unionByName(two).select("u", "v").unionByName(own.select(F.col("node_id").alias("u"), F.col("node_id").alias("v"))).distinct()
-    return reach.join(own.withColumnRenamed("node_id", "v"), "v").groupBy(F.col("u").alias("node_id")).agg(F.count("*").alias("n"), F.expr("sum(elev_cm) * 10 div count(*)").alias("mm"))
+    return _around(spark, sf, net.edges(spark, sf).select("u", "v", F.col("length_mm").alias("cost")), SUMMIT_M)
 
 
-def bridged(spark: SparkSession, sf: str) -> DataFrame:
-    """Nodes of bridges (runs of one kind of street along a row): heights between those of the two ends, by distance."""
+#: Length in millimetres of streets of 1 to 60 metres, every third of at most 6, so that a window holds many of them in a row.
+SHORT_MM = "if(way_id % 3 = 0, 1000 + k * 977 % 5000, 5000 + k * 3571 % 55000)"
+
+
+def road_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean heights over a window of 30 m: all nodes within 15 m along short streets, over any number of them."""
+    return _around(spark, sf, net.edges(spark, sf).select("u", "v", F.expr(SHORT_MM).alias("cost")), WINDOW_MM // 2)
+
+
+def _runs_of_bridges(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Streets on bridges (runs of one kind of street along a row), and their nodes with the run's least node."""
     w = net.ways(spark, sf).filter("way_id % 2 = 0 AND k % 5 < 2").select("u", "v")
-    label = components(w, "u", "v").withColumnRenamed("node", "node_id")
+    return w, components(w, "u", "v").withColumnRenamed("node", "node_id")
+
+
+def anchored(spark: SparkSession, sf: str) -> DataFrame:
+    """Heights on bridges between anchors: from each of a run's two ends the nearest node 30 m or more away along short streets off the run.
+
+    A node's height is by its share of the way between the anchors on the sphere, 0 to 1; without an anchor the end
+    itself is one. Runs with other than two ends, or with both anchors at one place, keep their heights.
+    """
+    bridges, label = _runs_of_bridges(spark, sf)
+    label = settle(label)
+    degree = bridges.select(F.explode(F.array("u", "v")).alias("node_id")).groupBy("node_id").agg(F.count("*").alias("n"))
+    ends = label.join(degree.filter("n = 1"), "node_id").groupBy("component").agg(F.min("node_id").alias("a"), F.max("node_id").alias("b"), F.count("*").alias("n")).filter("n = 2")
+    ends = ends.select("component", F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("node")) for i, c in enumerate("ab")])).alias("e")).select("component", "e.*")
+    w = net.ways(spark, sf).select("u", "v", F.expr(SHORT_MM).alias("cost"))
+    links = w.unionByName(w.select(F.col("v").alias("u"), F.col("u").alias("v"), "cost"))
+    # a node is one run's at most, so it names its source
+    sources = ends.select(F.col("node").alias("source"), "node")
+    barred = ends.select("component", F.col("node").alias("source")).join(label, "component").select("source", F.col("node_id").alias("node"))
+    far = expand(links, sources, WINDOW_MM, past=True, barred=barred).filter(F.col("dist") >= WINDOW_MM)
+    found = far.groupBy(F.col("source").alias("node")).agg(F.min(F.struct("dist", F.col("node").alias("to"))).alias("hit"))
+    at = net.nodes(spark, sf).select("node_id", "x_u", "y_u", "elev_cm")
+    anchor = ends.join(found, "node", "left").withColumn("anchor", F.coalesce("hit.to", "node")).join(at.toDF("anchor", "x", "y", "h"), "anchor")
+    pair = anchor.groupBy("component").agg(*[F.max(F.when(F.col("side") == i, F.struct("anchor", "x", "y", "h"))).alias(c) for i, c in enumerate("ab")])
+    span = lambda p, q: geo.haversine_m(*[c / 1e6 for c in (*p, *q)])
+    a, b, own = (F.col("a.x"), F.col("a.y")), (F.col("b.x"), F.col("b.y")), (F.col("x_u"), F.col("y_u"))
+    out = label.join(at, "node_id").join(pair, "component").withColumn("total", span(a, b))
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), span(a, own) / F.col("total")))
+    height = F.when(F.col("total") == 0, F.col("elev_cm").cast("double")).otherwise(F.col("a.h") + (F.col("b.h") - F.col("a.h")) * share)
+    return out.select("node_id", "component", F.col("a.anchor").alias("anchor_a"), F.col("b.anchor").alias("anchor_b"), milli(height, 10.0).alias("mm"))
+
+
+def bridged(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of bridges: heights between those of the two ends, by distance."""
+    _, label = _runs_of_bridges(spark, sf)
     at = label.join(net.nodes(spark, sf).select("node_id", "x_u", "elev_cm"), "node_id")
     ends = at.groupBy("component").agg(F.min(F.struct("x_u", "elev_cm")).alias("a"), F.max(F.struct("x_u", "elev_cm")).alias("b"))
     out = at.join(ends, "component").withColumn("f", (F.col("x_u") - F.col("a.x_u")) / (F.col("b.x_u") - F.col("a.x_u")))
@@ -137,6 +185,20 @@ def projected(spark: SparkSession, sf: str) -> DataFrame:
     return net.nodes(spark, sf).select("node_id", milli(x, 10.0).alias("x_dm"), milli(y, 10.0).alias("y_dm"), milli(lon, 1e6).alias("lon_u"), milli(lat, 1e6).alias("lat_u"))
 
 
+def british_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Places in decimetres of the British national grid, over the datum shift, and back in microdegrees."""
+    p = net.nodes(spark, sf).select("node_id", geo.shift_datum(F.col("x_u") / 1e6, F.col("y_u") / 1e6).alias("b"))
+    p = p.select("node_id", geo.to_grid(F.col("b.lon"), F.col("b.lat")).alias("g"))
+    p = p.withColumn("b", geo.from_grid(F.col("g.east"), F.col("g.north"))).withColumn("w", geo.shift_datum(F.col("b.lon"), F.col("b.lat"), False))
+    return p.select("node_id", milli(F.col("g.east"), 10.0).alias("east_dm"), milli(F.col("g.north"), 10.0).alias("north_dm"), milli(F.col("w.lon"), 1e6).alias("lon_u"), milli(F.col("w.lat"), 1e6).alias("lat_u"))
+
+
+def ellipsoid_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """Lengths of the bent streets on the ellipsoid and on the sphere, in millimetres."""
+    ends = [F.col(c) / 1e6 for c in ("ux", "uy", "vx", "vy")]
+    return shapes_of.bent_streets(spark, sf).select("way_id", milli(geo.geodesic_m(*ends)).alias("geodesic_mm"), milli(geo.haversine_m(*ends)).alias("sphere_mm"))
+
+
 def _polylines(spark: SparkSession, sf: str) -> DataFrame:
     """A polyline for each row of the grid, every second one from its far end."""
     n = net.nodes(spark, sf).filter("gx < 12").select("gy", F.struct(F.when(F.col("gy") % 2 == 0, F.col("gx")).otherwise(-F.col("gx")).alias("o"), F.col("y_u").alias("lat"), F.col("x_u").alias("lon")).alias("p"))
@@ -197,7 +259,7 @@ def typed_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "s16_samples": samples, "x08_weighted_heights": weighted_heights, "x09_median_heights": median_heights, "x10_grades": graded, "x11_damped_grades": damped, "g14_rivers": rivers,
-    "g15_smoothed": smoothed, "g13_bridges": bridged, "x01_measures": measures, "x05_projected": projected, "x45_shapes": shapes, "w12_positions": positions, "w13_slices": slices, "w05_typed_runs": typed_runs,
+    "g15_smoothed": smoothed, "g15_road_window": road_window, "g13_anchored_bridges": anchored, "x05_british_grid": british_grid, "x07_ellipsoid_lengths": ellipsoid_lengths, "g13_bridges": bridged, "x01_measures": measures, "x05_projected": projected, "x45_shapes": shapes, "w12_positions": positions, "w13_slices": slices, "w05_typed_runs": typed_runs,
 }
 
 _m = lambda x, s=1000: f"cast(floor(({x}) * {s} + 0.5) AS BIGINT)"
@@ -220,7 +282,77 @@ def _typed_sql() -> str:
     return paths._TRACKS + f", {rows}, {pool} SELECT family, path_id, run, min(seq) AS first_seq, max(seq) AS last_seq, any_value(kind) AS kind, sum(length_mm)::BIGINT AS length_mm FROM (SELECT *, sum(fresh) OVER (PARTITION BY family, path_id ORDER BY seq)::BIGINT - 1 AS run FROM (SELECT *, CASE WHEN lag(seq) OVER w = seq - 1 AND lag(kind) OVER w = kind THEN 0 ELSE 1 END AS fresh FROM pool WINDOW w AS (PARTITION BY family, path_id ORDER BY seq))) GROUP BY 1, 2, 3"
 
 
+_MM = "CASE WHEN way_id % 3 = 0 THEN 1000 + k * 977 % 5000 ELSE 5000 + k * 3571 % 55000 END"
+_RECURSIVE = net.SQL.replace("WITH grid", "WITH RECURSIVE grid", 1)
+_SPHERE = lambda ax, ay, bx, by: f"2 * 6371000::DOUBLE * asin(least(1, sqrt(sin(radians({by} / 1e6::DOUBLE - {ay} / 1e6::DOUBLE) / 2) ** 2 + cos(radians({ay} / 1e6::DOUBLE)) * cos(radians({by} / 1e6::DOUBLE)) * sin(radians({bx} / 1e6::DOUBLE - {ax} / 1e6::DOUBLE) / 2) ** 2)))"
+
+
+def _window_sql() -> str:
+    """Every walk of at most 15 m."""
+    return _RECURSIVE + f", l AS (SELECT u, v, min({_MM}) AS mm FROM edges GROUP BY 1, 2), r AS (SELECT node_id AS s, node_id AS n, 0::BIGINT AS d FROM nodes UNION SELECT s, l.v, d + mm FROM r JOIN l ON l.u = n WHERE d + mm <= 15000) SELECT s AS node_id, count(*) AS n, sum(elev_cm)::BIGINT * 10 // count(*) AS mm FROM (SELECT DISTINCT s, n AS m FROM r) JOIN nodes ON node_id = m GROUP BY 1"
+
+
+def _anchored_sql() -> str:
+    """Every walk from a run's end that first gets to 30 m off the run; runs are found as neighbours in a row."""
+    return _RECURSIVE + f""", b AS (SELECT u, v FROM ways WHERE way_id % 2 = 0 AND k % 5 < 2), m AS (SELECT u AS node_id FROM b UNION SELECT v FROM b),
+s AS (SELECT node_id, sum(CASE WHEN node_id - 1 IN (SELECT u FROM b) THEN 0 ELSE 1 END) OVER (ORDER BY node_id) AS grp FROM m), a AS (SELECT node_id, min(node_id) OVER (PARTITION BY grp) AS component, max(node_id) OVER (PARTITION BY grp) AS other FROM s),
+l AS (SELECT u, v, min(mm) AS mm FROM (SELECT u, v, {_MM} AS mm FROM ways UNION ALL SELECT v, u, {_MM} FROM ways) GROUP BY 1, 2),
+onto AS MATERIALIZED (SELECT l.u, l.v, l.mm, a.component FROM l LEFT JOIN a ON a.node_id = l.v),
+walk AS (SELECT DISTINCT component, e AS src, e AS n, 0::BIGINT AS d FROM (SELECT component, unnest([component, other]) AS e FROM a) UNION SELECT w.component, src, v, d + mm FROM walk w JOIN onto ON u = n WHERE d < 30000 AND onto.component IS DISTINCT FROM w.component),
+least AS (SELECT component, src, n, min(d) AS d FROM walk GROUP BY 1, 2, 3), found AS (SELECT component, src, min((d, n))[2] AS anchor FROM least WHERE d >= 30000 GROUP BY 1, 2),
+pair AS (SELECT c.component, coalesce(p.anchor, c.component) AS anchor_a, coalesce(q.anchor, c.other) AS anchor_b FROM (SELECT DISTINCT component, other FROM a) c LEFT JOIN found p ON p.component = c.component AND p.src = c.component LEFT JOIN found q ON q.component = c.component AND q.src = c.other),
+x AS (SELECT a.node_id, component, anchor_a, anchor_b, o.elev_cm, f.elev_cm AS ha, g.elev_cm AS hb, {_SPHERE('f.x_u', 'f.y_u', 'g.x_u', 'g.y_u')} AS total, {_SPHERE('f.x_u', 'f.y_u', 'o.x_u', 'o.y_u')} AS part FROM a JOIN pair USING (component) JOIN nodes o ON o.node_id = a.node_id JOIN nodes f ON f.node_id = anchor_a JOIN nodes g ON g.node_id = anchor_b)
+SELECT node_id, component, anchor_a, anchor_b, {_m('CASE WHEN total = 0 THEN elev_cm ELSE ha + (hb - ha) * greatest(0, least(1, part / total)) END', 10)} AS mm FROM x"""
+
+
+def _ellipsoid_sql() -> str:
+    """The same rounds as a chain of tables."""
+    a, b = geo.WGS84
+    f, e = (a - b) / a, (a * a - b * b) / (b * b)
+    n = lambda x: f"{x!r}::DOUBLE"
+    out = shapes_of._BASE + f", l0 AS (SELECT way_id, radians(vx / 1e6::DOUBLE - ux / 1e6::DOUBLE) AS l, radians(vx / 1e6::DOUBLE - ux / 1e6::DOUBLE) AS lam, atan({n(1 - f)} * tan(radians(uy / 1e6::DOUBLE))) AS a1, atan({n(1 - f)} * tan(radians(vy / 1e6::DOUBLE))) AS a2, {_SPHERE('ux', 'uy', 'vx', 'vy')} AS sphere FROM streets)"
+    solved = "(SELECT *, atan2(sn, cs) AS arc, CASE WHEN sq = 0 THEN 0 ELSE cs - 2 * sin(a1) * sin(a2) / sq END AS mid FROM (SELECT *, 1 - alpha * alpha AS sq FROM (SELECT *, CASE WHEN sn = 0 THEN 0 ELSE cos(a1) * cos(a2) * sin(lam) / sn END AS alpha FROM (SELECT *, sqrt((cos(a2) * sin(lam)) ** 2 + (cos(a1) * sin(a2) - sin(a1) * cos(a2) * cos(lam)) ** 2) AS sn, sin(a1) * sin(a2) + cos(a1) * cos(a2) * cos(lam) AS cs FROM {}))))"
+    for i in range(8):
+        out += f", l{i + 1} AS (SELECT way_id, l, l + (1 - c) * {n(f)} * alpha * (arc + c * sn * (mid + c * cs * (2 * mid * mid - 1))) AS lam, a1, a2, sphere FROM (SELECT *, {n(f / 16)} * sq * (4 + {n(f)} * (4 - 3 * sq)) AS c FROM {solved.format(f'l{i}')}))"
+    out += f", k AS (SELECT *, 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))) AS big, u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))) AS small FROM (SELECT *, sq * {n(e)} AS u FROM {solved.format('l8')}))"
+    length = f"{n(b)} * big * (arc - small * sn * (mid + small / 4 * (cs * (2 * mid * mid - 1) - small / 6 * mid * (4 * sn * sn - 3) * (4 * mid * mid - 3))))"
+    return out + f" SELECT way_id, {_m(length)} AS geodesic_mm, {_m('sphere')} AS sphere_mm FROM k"
+
+
+def _grid_sql() -> str:
+    """The shift, the series and both back, as a chain of tables."""
+    n = lambda x: f"({x!r}::DOUBLE)"
+    radius, plane, back, lat, e = geo._series()
+    sinh, cosh = (lambda x: f"((exp({x}) - exp(-({x}))) / 2)"), (lambda x: f"((exp({x}) + exp(-({x}))) / 2)")
+    atanh = lambda x: f"(ln((1 + {x}) / (1 - {x})) / 2)"
+
+    def shift(src: str, sign: int, name: str) -> str:
+        (a, b), (ta, tb) = (geo.WGS84, geo.AIRY) if sign > 0 else (geo.AIRY, geo.WGS84)
+        e2, te2, k = 1 - (b / a) ** 2, 1 - (tb / ta) ** 2, 1 + sign * geo.SCALE_PPM * 1e-6
+        rx, ry, rz = (n(sign * geo.math.radians(r / 3600)) for r in geo.TURNS)
+        dx, dy, dz = (n(sign * d) for d in geo.SHIFT)
+        return f""", {name}0 AS (SELECT *, r * cos(radians(lat)) * cos(radians(lon)) AS x, r * cos(radians(lat)) * sin(radians(lon)) AS y, r * {n(1 - e2)} * sin(radians(lat)) AS z FROM (SELECT *, {n(a)} / sqrt(1 - {n(e2)} * sin(radians(lat)) ** 2) AS r FROM {src})),
+{name}1 AS (SELECT * REPLACE ({dx} + {n(k)} * x - {rz} * y + {ry} * z AS x, {dy} + {rz} * x + {n(k)} * y - {rx} * z AS y, {dz} - {ry} * x + {rx} * y + {n(k)} * z AS z) FROM {name}0),
+{name} AS (SELECT * EXCLUDE (lon, lat, x, y, z, r), degrees(atan2(y, x)) AS lon, degrees(atan2(z + {n(te2 * ta * ta / tb)} * sin(atan2(z * {n(ta)}, sqrt(x * x + y * y) * {n(tb)})) ** 3, sqrt(x * x + y * y) - {n(te2 * ta)} * cos(atan2(z * {n(ta)}, sqrt(x * x + y * y) * {n(tb)})) ** 3)) AS lat FROM {name}1)"""
+
+    term = lambda cs, x, y, f, g, sign: "".join(f" {sign} {n(c)} * {f}({2 * j + 2} * {x}) * {g(f'{2 * j + 2} * {y}')}" for j, c in enumerate(cs))
+    scale, origin = geo.GRID_SCALE * radius, geo._meridian()
+    out = net.SQL + ", p AS (SELECT node_id, x_u / 1e6::DOUBLE AS lon, y_u / 1e6::DOUBLE AS lat FROM nodes)" + shift("p", 1, "brit")
+    out += f", conf AS (SELECT *, {sinh(atanh('sin(radians(lat))') + f' - {n(e)} * ' + atanh(f'({n(e)} * sin(radians(lat)))'))} AS t, radians(lon - {n(geo.GRID_LON)}) AS l FROM brit)"
+    out += f", sph AS (SELECT node_id, atan2(t, cos(l)) AS xi, {atanh('(sin(l) / sqrt(1 + t * t))')} AS eta FROM conf)"
+    out += f", grd AS (SELECT node_id, {n(geo.GRID_EAST)} + {n(scale)} * (eta{term(plane, 'xi', 'eta', 'cos', sinh, '+')}) AS east, {n(geo.GRID_NORTH)} + {n(scale)} * (xi{term(plane, 'xi', 'eta', 'sin', cosh, '+')} - {n(origin)}) AS north FROM sph)"
+    out += f", flat AS (SELECT *, (north - {n(geo.GRID_NORTH)}) / {n(scale)} + {n(origin)} AS x, (east - {n(geo.GRID_EAST)}) / {n(scale)} AS y FROM grd)"
+    out += f", ball AS (SELECT node_id, east, north, x{term(back, 'x', 'y', 'sin', cosh, '-')} AS xi, y{term(back, 'x', 'y', 'cos', sinh, '-')} AS eta FROM flat)"
+    out += f", chi AS (SELECT node_id, east, north, asin(sin(xi) / {cosh('eta')}) AS chi, atan2({sinh('eta')}, cos(xi)) AS l FROM ball)"
+    out += f", again AS (SELECT node_id, east, north, degrees(l) + {n(geo.GRID_LON)} AS lon, degrees(chi" + "".join(f" + {n(c)} * sin({2 * j + 2} * chi)" for j, c in enumerate(lat)) + ") AS lat FROM chi)" + shift("again", -1, "world")
+    return out + f" SELECT node_id, {_m('east', 10)} AS east_dm, {_m('north', 10)} AS north_dm, {_m('lon', '1e6')} AS lon_u, {_m('lat', '1e6')} AS lat_u FROM world"
+
+
 ORACLE_SQL = {
+    "g15_road_window": _window_sql(),
+    "g13_anchored_bridges": _anchored_sql(),
+    "x07_ellipsoid_lengths": _ellipsoid_sql(),
+    "x05_british_grid": _grid_sql(),
     "s16_samples": _PLACES + " SELECT id, CASE WHEN val IS NULL OR node_id % 17 = 0 THEN 0 ELSE val END AS cm FROM spot LEFT JOIN cells USING (r, c)",
     "x08_weighted_heights": _PLACES + f", p AS (SELECT id, val, (px + 100000 - q.c * 1000 - 500) ** 2 + (py - 51500000 - q.r * 1000 - 500) ** 2 AS d2 FROM spot s JOIN cells q ON abs(q.r - s.r) <= 1 AND abs(q.c - s.c) <= 1 WHERE node_id % 17 <> 0), w AS (SELECT id, val, CASE WHEN d2 = 0 THEN 1e12 ELSE 1e6 / d2 END AS w FROM p) SELECT id, {_m('sum(w * val) / sum(w)', 10)} AS mm FROM w GROUP BY 1",
     "x09_median_heights": _PLACES + f" SELECT id, {_m('quantile_cont(val, 0.5)', 10)} AS mm, count(*) AS cells FROM spot s JOIN cells q ON abs(q.r - s.r) <= 2 AND abs(q.c - s.c) <= 2 WHERE node_id % 17 <> 0 GROUP BY 1",
