@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from wayfare import fixtures as net
 from wayfare.sources import feeds as fd
 from wayfare.sources import network as src
-from wayfare.session import settle, shared_folder
+from wayfare.session import remove_folder, settle, shared_folder
+from wayfare.sources import shapefile
+from wayfare.workloads import spatial as sp
 
 
 def _where(spark: SparkSession, name: str) -> str:
@@ -30,6 +32,20 @@ def _features(rows: DataFrame, feature, of: int) -> DataFrame:
     return rows.groupBy((F.col("id") % of).alias("_g")).agg(F.collect_list(feature).alias("features")).select(F.to_json(F.struct("features")).alias("value"))
 
 
+def shapefile_roads(spark: SparkSession, sf: str) -> DataFrame:
+    """Streets written as shapefiles and read again: attributes that are there, named streets that a view's box meets."""
+    where = _where(spark, "shapefile")
+    s = sp._streets(spark, sf).select(F.col("way_id").alias("osm_id"), F.col("type").alias("fclass"), F.array(F.array(*[F.struct((F.col(f"{e}x") / 1e6).alias("x"), (F.col(f"{e}y") / 1e6).alias("y")) for e in "uv"])).alias("parts"))
+    shapefile.write(s.join(net.ways(spark, sf).select(F.col("way_id").alias("osm_id"), "name"), "osm_id"), where)
+    x0, y0, x1, y1 = (c / 1e6 for c in sp.VIEW)
+    got = shapefile.read(spark, where, ["osm_id", "code", "fclass", "name", "ref"])
+    got = got.filter((F.col("xmax") > x0) & (F.col("xmin") < x1) & (F.col("ymax") > y0) & (F.col("ymin") < y1) & F.col("name").isNotNull())
+    micro = lambda c, n: F.floor(c * 1e6 + 0.5).cast("bigint").alias(n)
+    out = settle(got.select("osm_id", "fclass", "name", F.size(got["parts"][0]).cast("bigint").alias("points"), micro(F.col("xmin"), "west"), micro(got["parts"][0][1]["y"], "end_y")))
+    remove_folder(spark, where)
+    return out
+
+
 def programme_segments(spark: SparkSession, sf: str) -> DataFrame:
     where = _where(spark, "routes")
     pts = net.nodes(spark, sf).groupBy(F.col("gy").alias("id")).agg(F.sort_array(F.collect_list(F.struct("gx", "x_u", "y_u"))).alias("p"))
@@ -117,9 +133,10 @@ def stored_network(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "try string, used boolean").crossJoin(F.broadcast(kept))
 
 
-QUERIES = {"s02_csv_round_trip": csv_round_trip, "s10_programme_segments": programme_segments, "s11_polygon_rings": polygon_rings, "s12_disruption_scan": disruption_scan, "s13_incident_scan": incident_scan, "s14_station_scan": station_scan, "s19_exported_tags": exported_tags, "s07_replaced_table": replaced_table, "s21_monthly_counters": monthly_counters, "s18_stored_network": stored_network}
+QUERIES = {"s03_shapefile_roads": shapefile_roads, "s02_csv_round_trip": csv_round_trip, "s10_programme_segments": programme_segments, "s11_polygon_rings": polygon_rings, "s12_disruption_scan": disruption_scan, "s13_incident_scan": incident_scan, "s14_station_scan": station_scan, "s19_exported_tags": exported_tags, "s07_replaced_table": replaced_table, "s21_monthly_counters": monthly_counters, "s18_stored_network": stored_network}
 
 ORACLE_SQL = {
+    "s03_shapefile_roads": net.SQL + sp._STREETS + f" SELECT way_id AS osm_id, ways.type AS fclass, name, 2::BIGINT AS points, ux AS west, vy AS end_y FROM streets JOIN ways USING (way_id) WHERE name <> '' AND vx > {sp.VIEW[0]} AND ux < {sp.VIEW[2]} AND vy > {sp.VIEW[1]} AND uy < {sp.VIEW[3]}",
     "s02_csv_round_trip": "SELECT c_custkey AS id, c_mktsegment AS segment FROM customer",
     "s10_programme_segments": net.SQL + "SELECT (['cycleway', 'quietway', 'superhighway'])[a.gy % 4 + 1] AS tag, 'R' || a.gy AS label, a.gx AS seq, a.x_u AS ax, a.y_u AS ay, b.x_u AS bx, b.y_u AS by FROM nodes a JOIN nodes b ON b.gy = a.gy AND b.gx = a.gx + 1 WHERE a.gy % 4 < 3 AND a.gy % 9 <> 8",
     "s11_polygon_rings": "SELECT n_name AS name, 5 AS n, (n_nationkey // 5)::BIGINT AS lat2, (n_nationkey % 5 + 1)::BIGINT AS lon2, n_nationkey % 6 <> 0 AS closed FROM nation WHERE n_nationkey % 7 <> 6",
