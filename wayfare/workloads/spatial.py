@@ -107,7 +107,7 @@ def zone_owner(spark: SparkSession, sf: str) -> DataFrame:
     box = spatial.segment_in_box_share(*[F.col(c) for c in ("ux", "uy", "vx", "vy", "x0", "x1", "y0", "y1")])
     cells = s.withColumn("_c", spatial.box_cells(F.least("ux", "vx"), F.greatest("ux", "vx"), F.least("uy", "vy"), F.greatest("uy", "vy"), 8000)).select("*", "_c.cx", "_c.cy")
     zones = _zones(spark, sf).withColumn("_c", spatial.box_cells(F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"), 8000)).select("zone", "x0", "x1", "y0", "y1", "_c.cx", "_c.cy")
-    over = cells.join(zones, ["cx", "cy"]).withColumn("milli", F.floor(box * 1000 + 0.5).cast("bigint")).filter("milli >= 500")
+    over = spatial.meet_in_cells(cells, zones).withColumn("milli", F.floor(box * 1000 + 0.5).cast("bigint")).filter("milli >= 500")
     return over.groupBy("way_id").agg(F.max(F.struct("milli", "zone")).alias("x")).select("way_id", "x.zone", "x.milli")
 
 
