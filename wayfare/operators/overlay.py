@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.operators.graph import in_ellipse
-from wayfare.operators.spatial import box_cells
-from wayfare.session import settle, ship
+from wayfare.operators.spatial import box_cells, meet_in_cells
+from wayfare.session import settle, settle_round, ship
 
 #: Halvings of both axes, at most.
 DEPTH = 12
@@ -165,7 +165,7 @@ def _places(requests: DataFrame, rows: DataFrame, factor: float, size: int) -> D
     for x in ("x0", "x1"):
         for y in ("y0", "y1"):
             inside = inside & in_ellipse(F.col(x), F.col(y), *foci, factor)
-    return r.join(b, ["cx", "cy"]).drop("cx", "cy").distinct().withColumn("inside", inside).drop("x0", "x1", "y0", "y1")
+    return meet_in_cells(r, b).drop("cx", "cy").distinct().withColumn("inside", inside).drop("x0", "x1", "y0", "y1")
 
 
 def overlay_paths(
@@ -222,7 +222,7 @@ def overlay_paths(
         new = new.join(goal, "request_id").join(found, "request_id", "left").filter(F.col("so_far").isNull() | (F.col("to") < 0) | (bound * (1 + slack) < F.col("so_far")))
         both = known.select("request_id", "node", "cell", "total", F.lit(0).alias("age"), "parts").unionByName(new.select("request_id", "node", F.col("to").alias("cell"), "total", F.lit(1).alias("age"), "parts"))
         best = both.groupBy("request_id", "node", "cell").agg(F.min_by(F.struct("total", "age", "parts"), F.struct("total", "age", F.size("parts"))).alias("x"))
-        known = settle(best.select("request_id", "node", "cell", "x.total", "x.parts", (F.col("x.age") == 1).alias("fresh")))
+        known = settle_round(best.select("request_id", "node", "cell", "x.total", "x.parts", (F.col("x.age") == 1).alias("fresh")))
     else:
         raise RuntimeError(f"paths did not settle in {max_rounds} rounds")
 
