@@ -72,21 +72,24 @@ def monthly_quota(spark: SparkSession, sf: str) -> DataFrame:
 def nearest_hour(spark: SparkSession, sf: str) -> DataFrame:
     """Each purchase with the hourly reading nearest in time, however far; the earlier of two as near.
 
-    The last reading before and the first after come from one ordered pass over both in each day; days without a
-    reading take the one at their edge from a small table of days.
+    Readings are of whole hours, so the last one before and the first one after are the same for all purchases of an
+    hour: they come from one ordered pass over the hours of each day; days without a reading take the one at their
+    edge from a small table of days.
     """
     e = _events(spark, sf)
     hourly = e.filter("event_type = 'view' AND second div 3600 % 7 = 0").groupBy(F.expr("second div 3600 * 3600").alias("slot")).agg(F.max("k").alias("reading"))
-    at = e.filter("event_type = 'purchase'").select("event_id", "second")
-    both = at.select("second", "event_id", F.lit(None).cast("struct<slot:bigint,reading:int>").alias("r")).unionByName(hourly.select(F.col("slot").alias("second"), F.lit(None).cast("bigint").alias("event_id"), F.struct("slot", "reading").alias("r")))
-    both = both.withColumn("day", F.expr("second div 86400"))
-    w = Window.partitionBy("day").orderBy("second", F.col("event_id").isNotNull())
-    near = both.withColumns({"before": F.last("r", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "after": F.first("r", True).over(w.rowsBetween(0, Window.unboundedFollowing))}).filter("event_id IS NOT NULL")
+    at = e.filter("event_type = 'purchase'").select("event_id", "second", F.expr("second - pmod(second, 3600)").alias("hour"))
+    r = F.struct("slot", "reading")
+    both = at.select("hour").distinct().join(hourly, F.col("hour") == F.col("slot"), "full").select(F.coalesce("hour", "slot").alias("hour"), F.when(F.col("slot").isNotNull(), r).alias("r"))
+    both = both.withColumn("day", F.expr("hour div 86400"))
+    w = Window.partitionBy("day").orderBy("hour")
+    near = both.withColumns({"before": F.last("r", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "after": F.first("r", True).over(w.rowsBetween(1, Window.unboundedFollowing))})
     # one row for each day: its first and last reading, and those of the days around it
     days = both.groupBy("day").agg(F.max("r").alias("last_r"), F.min("r").alias("first_r"))
     d = Window.orderBy("day")
     days = days.select("day", F.last("last_r", True).over(d.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.first("first_r", True).over(d.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
-    out = near.join(F.broadcast(days), "day").withColumns({"before": F.coalesce("before", "earlier"), "after": F.coalesce("after", "later")})
+    hours = near.join(F.broadcast(days), "day").select("hour", F.coalesce("before", "earlier").alias("before"), F.coalesce("after", "later").alias("after"))
+    out = at.join(hours, "hour")
     take = F.when(F.col("after").isNull() | (F.col("second") - F.col("before.slot") <= F.col("after.slot") - F.col("second")), F.col("before")).otherwise(F.col("after"))
     return out.withColumn("x", take).select("event_id", "x.slot", "x.reading")
 
