@@ -39,8 +39,8 @@ def nearest_at_any_distance(points: DataFrame, targets: DataFrame, target: str,
         at = places.withColumns({"nx": F.shiftright("sx", level), "ny": F.shiftright("sy", level)})
         squares = at.groupBy("nx", "ny").agg(F.count("*").alias("n"), *[f(c).alias(a) for f, c, a in ((F.min, "qx", "bx0"), (F.max, "qx", "bx1"), (F.min, "qy", "by0"), (F.max, "qy", "by1"))])
         squares = squares.withColumns({"cx": F.shiftright("nx", down), "cy": F.shiftright("ny", down)})
-        if 4 ** (top - level) <= FEW:
-            squares = F.broadcast(squares)
+        # of what is met in squares Spark's estimate is too low to leave the choice to it
+        squares = F.broadcast(squares) if 4 ** (top - level) <= FEW else squares.hint("merge")
         ox, oy = _off(F.col("px"), F.col("bx0"), F.col("bx1")), _off(F.col("py"), F.col("by0"), F.col("by1"))
         fx, fy = (F.greatest(F.abs(F.col(p) - F.col(a)), F.abs(F.col(p) - F.col(b))) for p, a, b in (("px", "bx0", "bx1"), ("py", "by0", "by1")))
         met = left.join(squares, ["cx", "cy"]).withColumns({"begin": ox * ox + oy * oy, "end": fx * fx + fy * fy})
@@ -48,13 +48,13 @@ def nearest_at_any_distance(points: DataFrame, targets: DataFrame, target: str,
         met = met.withColumn("bound", F.least("bound", F.min("end").over(Window.partitionBy("id")))).filter("begin <= bound")
         met = settle(met.select("id", "px", "py", F.col("nx").alias("cx"), F.col("ny").alias("cy"), "bound", (F.col("n") <= cap).alias("small")))
         small = met if level == 0 else met.filter("small")
-        near = small.join(at.withColumnsRenamed({"nx": "cx", "ny": "cy"}), ["cx", "cy"])
+        near = small.join(at.withColumnsRenamed({"nx": "cx", "ny": "cy"}).hint("merge"), ["cx", "cy"])
         d2 = (F.col("px") - F.col("qx")) * (F.col("px") - F.col("qx")) + (F.col("py") - F.col("qy")) * (F.col("py") - F.col("qy"))
         hit = settle(near.groupBy("id").agg(F.min(F.struct(d2.alias("d2"), target)).alias("x")).select("id", f"x.{target}", "x.d2"))
         out = hit if out is None else out.unionByName(hit)
         if level == 0:
             break
-        left = met.filter("NOT small").drop("small").join(hit.select("id", F.col("d2").alias("found")), "id", "left").withColumn("bound", F.least("bound", "found")).drop("found")
+        left = met.filter("NOT small").drop("small").join(hit.select("id", F.col("d2").alias("found")).hint("merge"), "id", "left").withColumn("bound", F.least("bound", "found")).drop("found")
         if left.isEmpty():
             break
     return out.groupBy("id").agg(F.min(F.struct("d2", target)).alias("x")).select("id", f"x.{target}", "x.d2")
