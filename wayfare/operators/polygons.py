@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wayfare.functions.geo import _let
+
 
 def _sides(ring: Column) -> Column:
     """The ring's sides as (p, q)."""
@@ -112,16 +114,14 @@ def hull(points: Column) -> Column:
 
         return F.aggregate(sorted_points, empty, add)
 
-    ordered = F.array_sort(F.array_distinct(points))
-    lower, upper = chain(ordered), chain(F.reverse(ordered))
-    return F.when(F.size(ordered) < 3, ordered).otherwise(F.concat(F.slice(lower, F.lit(1), F.size(lower) - 1), F.slice(upper, F.lit(1), F.size(upper) - 1)))
+    joined = lambda s: F.concat(F.slice(s["lower"], F.lit(1), F.size(s["lower"]) - 1), F.slice(s["upper"], F.lit(1), F.size(s["upper"]) - 1))
+    both = lambda s: F.when(F.size(s["ordered"]) < 3, s["ordered"]).otherwise(_let(joined, lower=chain(s["ordered"]), upper=chain(F.reverse(s["ordered"]))))
+    return _let(both, ordered=F.array_sort(F.array_distinct(points)))
 
 
 def long_axis(points: Column) -> Column:
     """(dx, dy) along the longer side of the smallest rectangle around the points; the rectangle lies on a side of their hull."""
-    own = hull(points)
-
-    def rectangle(s: Column) -> Column:
+    def rectangle(own: Column, s: Column) -> Column:
         dx, dy = _d(s["q"]["x"] - s["p"]["x"]), _d(s["q"]["y"] - s["p"]["y"])
         along = F.transform(own, lambda p: _d(p["x"]) * dx + _d(p["y"]) * dy)
         off = F.transform(own, lambda p: _d(p["y"]) * dx - _d(p["x"]) * dy)
@@ -129,4 +129,5 @@ def long_axis(points: Column) -> Column:
         longer = width >= height
         return F.struct(F.try_divide(width * height, dx * dx + dy * dy).alias("area"), F.when(longer, dx).otherwise(-dy).alias("dx"), F.when(longer, dy).otherwise(dx).alias("dy"))
 
-    return F.array_min(F.filter(F.transform(_sides(own), rectangle), lambda r: r["area"].isNotNull()))
+    # a lambda works out again for each side what it doesn't get as a value
+    return _let(lambda h: F.array_min(F.filter(F.transform(_sides(h["own"]), lambda s: rectangle(h["own"], s)), lambda r: r["area"].isNotNull())), own=hull(points))
