@@ -225,3 +225,37 @@ def test_forests_keep_components():
         kept = [(int(comps[a]), int(comps[b])) for a, b in found.edges[:2].T]
         assert groups(kept) == groups([(int(comps[i]), int(comps[j])) for i, j in edges])
         assert len(kept) <= k * 29 and (found.suppressed or len(kept) == len(edges))
+
+
+def test_sets_are_moved_once(spark, monkeypatch):
+    """Joins by id read the sets where they lie; a routed segment carries 64 bytes of bitmap and 4 for an item."""
+    from pyspark.sql import functions as F
+
+    from wayfare.llm import jaccard_join
+
+    plans, sizes = [], []
+    hubs, search = jaccard_join._hub_links, jaccard_join._segment_pairs
+
+    def seen_hubs(rows, *rest):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return hubs(rows, *rest)
+
+    def seen_search(rows, *rest):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        sizes.append(rows.agg(F.max(F.length("parity")), F.max(F.length("items") / F.col("size"))).first())
+        return search(rows, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_hub_links", seen_hubs)
+    monkeypatch.setattr(jaccard_join, "_segment_pairs", seen_search)
+    r = random.Random(5)
+    base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+    docs = [(i, " ".join(changed(r, base, 0.03, "z"))) for i in range(60)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # the hubs' side is dealt, the sets aren't
+    assert plans[0].count("Exchange hashpartitioning(id") == 1 and "Exchange" not in plans[1]
+    assert sizes and sizes[0][0] == 64 and sizes[0][1] <= 4

@@ -48,6 +48,7 @@ import bisect
 import hashlib
 import heapq
 import math
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -56,7 +57,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.blocks import NULL_ID, Block, expand, pack, squeeze, tidied, tidy
+from wayfare.llm.blocks import NULL_ID, Block, by_key, expand, pack, release, squeeze, tidied, tidy
 from wayfare.llm.repeats import KEYS, U, count_keys, grams, join_notes, key_batch, mix, read_notes, rows_of, short, words_in
 from wayfare.operators.components import components
 from wayfare.session import settle
@@ -162,7 +163,7 @@ def _bands(items: np.ndarray) -> list[int]:
 
 
 #: Shingles in a segment, at least; bits of a parity bitmap; segments in it.
-SEGMENT, BITS, CHAIN = 16, 1024, 16
+SEGMENT, BITS, CHAIN = 16, 512, 16
 #: Rows of a block, at most, so that block and place make one number.
 PLACES = 1 << 20
 
@@ -283,7 +284,8 @@ def _segment_pairs(rows: DataFrame, num: int, den: int, forests: int) -> DataFra
 
     Segments with the same items count as one in the search. A pair that links
     has a segment that links by itself and with the chain behind it, so sizes and
-    bitmaps are compared there. A shard lists at most so many spanning forests over
+    bitmaps are compared there. Items are 32 bits of the shingles' hashes: where two meet in one, a pair shares
+    more than it does, never less. A shard lists at most so many spanning forests over
     its components, and which pairs are connected there (group); more tells whether it has held pairs back.
     """
 
@@ -294,7 +296,7 @@ def _segment_pairs(rows: DataFrame, num: int, den: int, forests: int) -> DataFra
         same: dict[bytes, list[int]] = {}
         for i, x in enumerate(pdf["items"]):
             same.setdefault(x, []).append(i)
-        sets = [np.frombuffer(x, U).tolist() for x in same]
+        sets = [np.frombuffer(x, np.uint32).tolist() for x in same]
         members = [np.array(x) for x in same.values()]
         lone = [int(comps[x[0]]) if (comps[x] == comps[x[0]]).all() else None for x in members]
         need = [least_overlap(int(size[x].min()), num, den) for x in members]
@@ -369,6 +371,8 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
     blocks = pack(docs, id_col, text_col, keep=keep)
     raw = blocks.agg(F.coalesce(F.sum("raw"), F.lit(0))).first()[0]
     shards = max(48, math.ceil(raw / 6 * 0.35 / 1_000_000))
+    # sets and those that search by segments are joined by id several times
+    stored = [f"{kind}_{uuid.uuid4().hex}" for kind in ("sets", "rest")]
 
     def block_sets(row: dict):
         block = Block(row)
@@ -431,7 +435,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
             })
 
     chosen = classes.groupBy("block").agg(F.collect_list("at").alias("chosen"))
-    sets = settle(blocks.join(chosen, "block").mapInArrow(tidied(third), "id long, n long, items binary, bands array<long>"))
+    sets = by_key(blocks.join(chosen, "block").mapInArrow(tidied(third), "id long, n long, items binary, bands array<long>"), "id", stored[0])
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     # hub search
@@ -482,30 +486,36 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
         at = np.flatnonzero(new)
         several = np.add.reduceat(pair.astype(np.int64), at) > 1
         df = np.diff(np.r_[at, len(k)])
-        mark = np.repeat(several, df)
-        picked = order[mark]
-        often = np.repeat(df, df)[mark]
-        by = np.argsort(who[picked], kind="stable")
-        picked, often = picked[by], often[by]
+        often = np.zeros(len(keys), np.uint32)
+        often[order] = np.repeat(np.where(several, df, 0), df)
+        # a set's keys lie together here, in order: their places say which they are
+        picked = np.flatnonzero(often)
+        place = (picked - (np.cumsum(counts) - counts)[who[picked]]).astype(np.uint32)
         owners, start = np.unique(who[picked], return_index=True)
-        ends = np.r_[start[1:], len(picked)]
-        return pd.DataFrame({"id": ids[owners], "keys": [keys[picked[x:y]].tobytes() for x, y in zip(start, ends)], "often": [often[x:y].astype(np.int64).tobytes() for x, y in zip(start, ends)]})
+        shard, often = np.array([pdf["shard"].iloc[0]], np.uint32), often[picked]
+        notes = [np.concatenate([shard, place[x:y], often[x:y]]).tobytes() for x, y in zip(start, np.r_[start[1:], len(picked)])]
+        return pd.DataFrame({"id": ids[owners], "note": notes})
 
     dealt = labelled.mapInArrow(tidied(deal), "shard int, ids binary, comps binary, counts binary, keys binary")
-    partial = dealt.groupBy("shard").applyInPandas(across, "id long, keys binary, often binary")
-    counted = partial.withColumn("m", (F.length("keys") / 8).cast("long"))
-    rest = counted.groupBy("id").agg(F.sum("m").alias("m"), F.collect_list("keys").alias("keys"), F.collect_list("often").alias("often"))
-    rest = settle(rest.join(labelled.select("id", "comp", "items"), "id").filter(F.col("m") >= F.ceil(F.length("items") / 8 * num / den - 1e-6)))
+    # a note: its shard, places of the set's keys among those there, and how many sets hold each
+    partial = dealt.groupBy("shard").applyInPandas(across, "id long, note binary")
+    counted = partial.withColumn("m", ((F.length("note") - 4) / 8).cast("long"))
+    rest = counted.groupBy("id").agg(F.sum("m").alias("m"), F.collect_list("note").alias("notes"))
+    rest = by_key(rest.join(labelled.select("id", "comp", "items"), "id").filter(F.col("m") >= F.ceil(F.length("items") / 8 * num / den - 1e-6)), "id", stored[1])
     size = rest.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     if size:
         few = max(48, math.ceil(3 * size / shard_items))
 
         def route(batches):
             for row in rows_of(batches):
-                keys = np.concatenate([np.frombuffer(x, U) for x in row["keys"]])
-                often = np.concatenate([np.frombuffer(x, np.int64) for x in row["often"]])
-                keys = keys[np.lexsort((keys, often))]
                 whole = np.frombuffer(row["items"], U)
+                home = (mix(whole) % U(parts)).astype(np.int64)
+                by = np.argsort(home, kind="stable")
+                notes = [np.frombuffer(x, np.uint32) for x in row["notes"]]
+                first_of = np.searchsorted(home[by], [x[0] for x in notes])
+                keys = whole[by[np.concatenate([x[1 : len(x) // 2 + 1] + at for x, at in zip(notes, first_of)])]]
+                often = np.concatenate([x[len(x) // 2 + 1 :] for x in notes])
+                keys = keys[np.lexsort((keys, often))]
                 out = []
                 for count in divisions(len(whole), num, den):
                     place = (mix(whole) % U(count)).astype(np.int64)
@@ -520,8 +530,9 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
                         need = least_overlap(sizes[s], num, den)
                         if sizes[s] and len(own) >= need:
                             own = mix(own + U(count))
+                            sent = (own >> U(32)).astype(np.uint32).tobytes()
                             for to in np.unique(own[: len(own) - need + 1] % U(few)).tolist():
-                                out.append((to, sizes[s], own.tobytes(), chains[s], bits[s].tobytes()))
+                                out.append((to, sizes[s], sent, chains[s], bits[s].tobytes()))
                 if out:
                     m = len(out)
                     shard, size, items, chain, bits = zip(*out)
@@ -560,6 +571,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
             if again.isEmpty():
                 break
             forests *= 64
+    release(blocks.sparkSession, stored)
     label = classes.join(comp.withColumnRenamed("node", "key"), "key", "left").select("class", "id", F.coalesce("component", "key").alias("comp"))
     least = label.groupBy("comp").agg(F.min("id").alias("component_id"))
     label = label.join(least, "comp").select("class", "comp", "component_id")
