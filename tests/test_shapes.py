@@ -4,6 +4,9 @@ import heapq
 import math
 import random
 
+import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 
 from wayfare.operators.noding import node_lines
@@ -77,6 +80,54 @@ def test_noding(spark):
     assert got[5] == [(100, 100), (200, 150)] and got[6] == [(900, 900), (901, 901)]
 
 
+@pytest.mark.parametrize("leaf, entries", [(192, 2_000_000), (3, 50)])
+def test_noding_of_a_heap(spark, monkeypatch, leaf, entries):
+    """Many lines in a small place, against all pairs: no join lists them, and a line's rows in the search are its places; a repeated id, lines without an end."""
+    from wayfare.operators import noding
+
+    # tasks import the module anew, so the halving is held to small leaves here in the driver
+    monkeypatch.setattr(noding, "LEAF", leaf)
+    monkeypatch.setattr(noding, "ENTRIES", entries)
+    r = random.Random(leaf)
+    lines = [(i, *(r.randrange(-40, 40) for _ in range(4))) for i in range(140)] + [(5, -40, 3, 39, 4)]
+    lines = [x for x in lines if x[1:3] != x[3:]]
+    least = {}
+
+    def cut(i, t, x, y):
+        least[i, x, y] = min(t, least.get((i, x, y), 2.0))
+
+    side = lambda p, q, z: (q[0] - p[0]) * (z[1] - p[1]) - (q[1] - p[1]) * (z[0] - p[0])
+    for i, *p in lines:
+        a, b = p[:2], p[2:]
+        cut(i, 0.0, *a)
+        cut(i, 1.0, *b)
+        far = (b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2
+        for j, *q in lines:
+            c, d = q[:2], q[2:]
+            c1, d1, a2, b2 = side(a, b, c), side(a, b, d), side(c, d, a), side(c, d, b)
+            if i < j and c1 * d1 < 0 and a2 * b2 < 0:
+                x, y = (a[k] + math.floor((b[k] - a[k]) * a2 / (a2 - b2) + 0.5) for k in (0, 1))
+                cut(i, a2 / (a2 - b2), x, y)
+                cut(j, c1 / (c1 - d1), x, y)
+            for z, off in ((c, c1), (d, d1)) if i != j else ():
+                along = (z[0] - a[0]) * (b[0] - a[0]) + (z[1] - a[1]) * (b[1] - a[1])
+                if off * off <= far and 0 < along < far:
+                    cut(i, along / far, *z)
+    want, inside = set(), set()
+    for i in {x[0] for x in lines}:
+        at = [(x, y) for t, x, y in sorted((t, x, y) for (k, x, y), t in least.items() if k == i)]
+        want |= {(i, n + 1, *a, *b) for n, (a, b) in enumerate(zip(at, at[1:]))}
+    out = node_lines(spark.createDataFrame([*lines, (900, 1, None, 2, 3), (None, 1, 1, 30, 30)], "id long, ax long, ay long, bx long, by long"), size=32)
+    got = [tuple(x) for x in out.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(lines, key=lambda x: x[0])
+    for box in ((x, x + 20, y, y + 20) for x in range(-40, 40, 20) for y in range(-40, 40, 20)):
+        found = noding._meet(*(np.array(c) for c in zip(*rows)), box, 1)
+        inside |= set(zip(*(c.tolist() for c in found)))
+    assert inside == {(i, t, x, y) for (i, x, y), t in least.items()}
+
+
 def test_polygons(spark):
     """Shares by sampling, hulls by their definition, points by crossing numbers."""
     r = random.Random(7)
