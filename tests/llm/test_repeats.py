@@ -6,7 +6,7 @@ import random
 import numpy as np
 
 from wayfare.llm.substring_dedup import automaton_kernel, substring_dedup
-from wayfare.llm.suffix_array import difference_cover_sort, suffix_array_dedup, suffix_kernel
+from wayfare.llm.suffix_array import difference_cover_sort, search, suffix_array_dedup, suffix_kernel
 
 
 def brute(docs, length, split):
@@ -57,6 +57,14 @@ def test_difference_cover_sort():
         assert got.tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
 
 
+def test_difference_cover_sort_of_wide_values():
+    """Triples that don't fit into 64 bits are named in two steps, also on the second level."""
+    r = np.random.default_rng(4)
+    for n in (30, 31, 32):
+        s = np.tile(r.integers(1, 2**31, 5), 8)[:n]
+        assert difference_cover_sort(s).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
+
+
 def test_kernels_agree():
     r = random.Random(1)
     ctx = [" ".join(r.choice("ab") for _ in range(r.randint(6, 40))).encode() for _ in range(60)]
@@ -91,6 +99,20 @@ def test_suffix_array_dedup(spark):
     assert got == sorted(want)
 
 
+def test_last_stage_gets_places_only(spark):
+    """Shards answer with the places that earlier texts cover; keys and whole windows aren't worked out again for that."""
+    shared = "".join(f"{i:03d}" for i in range(40))
+    found = search(50)
+    noted = found.start(spark.createDataFrame([(1, "x" + shared), (2, shared + "y"), (3, None)], "doc_id long, text string").repartition(1), "doc_id", "text")
+    assert not {"n1", "n2"} & set(noted.columns)
+    gone = {}
+    for row in noted.collect():
+        row = row.asDict(recursive=True)
+        units, own = found.covered(row)
+        gone |= {int(i): own[x:y].sum() for i, x, y in zip(units.block.ids, units.bounds[:-1], units.bounds[1:])}
+    assert gone == {1: 0, 2: 120, 3: 0}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert substring_dedup(df).count() == 0 and suffix_array_dedup(df).count() == 0

@@ -49,52 +49,51 @@ def _names(keys: np.ndarray, bound: int) -> tuple[np.ndarray, int]:
 
 
 def difference_cover_sort(s: np.ndarray) -> np.ndarray:
-    """The suffix array of s (int64, values from 1)."""
+    """The suffix array of s (whole numbers from 1)."""
     n = len(s)
     if n < 4:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
-    t = np.concatenate([s, np.zeros(3, np.int64)])
+    t = np.zeros(n + 3, U)
+    t[:n] = s
     top = U(int(s.max()) + 1)
-    sample = np.concatenate([np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)])
-    n1 = len(np.arange(1, n + (n % 3 == 1), 3))
+    # positions of a class lie three apart, so what stands at or behind them is a slice, not a lookup
+    n0, n1, n2 = (n + 2) // 3, (n + 1) // 3 + (n % 3 == 1), n // 3
+    ones, twos = (lambda x, d=0: x[1 + d :: 3][:n1]), (lambda x, d=0: x[2 + d :: 3][:n2])
     if int(top) ** 3 < 2**64:
         bound = int(top) ** 3
-        triple = (t[sample].astype(U) * top + t[sample + 1].astype(U)) * top + t[sample + 2].astype(U)
+        triple = np.concatenate([(f(t) * top + f(t, 1)) * top + f(t, 2) for f in (ones, twos)])
     else:
-        pair, most = _names(t[sample].astype(U) * top + t[sample + 1].astype(U), int(top) ** 2)
+        pair, most = _names(np.concatenate([f(t) * top + f(t, 1) for f in (ones, twos)]), int(top) ** 2)
         bound = (most + 1) * int(top)
-        triple = pair.astype(U) * top + t[sample + 2].astype(U)
+        triple = pair.astype(U) * top + np.concatenate([ones(t, 2), twos(t, 2)])
     name, most = _names(triple, bound)
-    if most < len(sample):
+    if most < len(name):
         order = difference_cover_sort(name)
-        rank_in = np.empty(len(sample), np.int64)
-        rank_in[order] = np.arange(1, len(sample) + 1)
+        rank_in = np.empty(len(name), np.int64)
+        rank_in[order] = np.arange(1, len(name) + 1)
     else:
         rank_in = name
-        order = np.empty(len(sample), np.int64)
-        order[name - 1] = np.arange(len(sample))
-    rank = np.zeros(n + 4, np.int64)
-    rank[sample] = rank_in
-    sorted_sample = sample[order]
-    sorted_sample = sorted_sample[sorted_sample < n]
+        order = np.empty(len(name), np.int64)
+        order[name - 1] = np.arange(len(name))
+    rank = np.zeros(n + 4, U)
+    ones(rank)[:], twos(rank)[:] = rank_in[:n1], rank_in[n1:]
+    first = order < n1
+    sorted_sample = np.where(first, order * 3 + 1, (order - n1) * 3 + 2)
+    if n % 3 == 1:  # the empty suffix that was lent
+        first, order, sorted_sample = (x[sorted_sample < n] for x in (first, order, sorted_sample))
     # the rest: suffixes at 0 mod 3, by their first entry and the rank that follows
-    rest = np.arange(0, n, 3)
     wide = U(n + 4)
-    key0 = t[rest].astype(U) * wide + rank[rest + 1].astype(U)
+    key0 = t[:n:3] * wide + rank[1::3][:n0]
     o = _order(key0, int(top) * int(wide))
-    rest, key0 = rest[o], key0[o]
     # merge: each class of the sample against the rest on keys both can form
-    ones, twos = sorted_sample[sorted_sample % 3 == 1], sorted_sample[sorted_sample % 3 == 2]
-    key1 = t[ones].astype(U) * wide + rank[ones + 1].astype(U)
-    place1 = np.searchsorted(key1, key0)
-    pairs = t[:-1].astype(U) * top + t[1:].astype(U)
+    place1 = np.searchsorted((ones(t) * wide + ones(rank, 1))[order[first]], key0[o])
+    pairs = np.concatenate([t[:n:3] * top + t[1::3][:n0], twos(t) * top + twos(t, 1)])
     if int(top) ** 2 * (n + 4) >= 2**64:
-        _, renamed = np.unique(pairs, return_inverse=True)
-        pairs = renamed.astype(U)
-    place2 = np.searchsorted(pairs[twos] * wide + rank[twos + 2].astype(U), pairs[rest] * wide + rank[rest + 2].astype(U))
+        pairs = _names(pairs, int(top) ** 2)[0].astype(U)
+    place2 = np.searchsorted((pairs[n0:] * wide + twos(rank, 2))[order[~first] - n1], (pairs[:n0] * wide + rank[2::3][:n0])[o])
     out = np.empty(n, np.int64)
-    at = np.arange(len(rest)) + place1 + place2
-    out[at] = rest
+    at = np.arange(n0) + place1 + place2
+    out[at] = o * 3
     free = np.ones(n, bool)
     free[at] = False
     out[free] = sorted_sample
