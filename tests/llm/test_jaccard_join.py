@@ -259,3 +259,38 @@ def test_sets_are_moved_once(spark, monkeypatch):
     # the hubs' side is dealt, the sets aren't
     assert plans[0].count("Exchange hashpartitioning(id") == 1 and "Exchange" not in plans[1]
     assert sizes and sizes[0][0] == 64 and sizes[0][1] <= 4
+
+
+def test_later_rounds_leave_sets_in_place(spark, monkeypatch):
+    """Rows that go again are joined by id to the shards they go to: no exchange holds their sets."""
+    from wayfare.llm import blocks, jaccard_join
+
+    rows = [(i, i, b"s" * 400, i) for i in (1, 2, 3, 4, 5, 9)]
+    rest = blocks.by_key(spark.createDataFrame(rows, "id long, comp long, items binary, m long"), "id", "rest_of_later_rounds")
+    try:
+        # 2 and 3 are of component 1, 5 of 4, 9 is alone
+        comp = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)], "node long, component long")
+        again = spark.createDataFrame([(7, 1), (8, 1), (8, 9)], "shard int, comp long")
+        monkeypatch.setattr(jaccard_join, "NAMED", 1)
+        assert sorted((r["id"], r["comp"], r["to"]) for r in jaccard_join._rows_again(rest, comp, again).collect()) == [(1, 1, None), (2, 1, None), (3, 1, None), (9, 9, [8])]
+        monkeypatch.undo()
+        out = jaccard_join._rows_again(rest, comp, again)
+        assert sorted((r["id"], sorted(r["to"])) for r in out.collect()) == [(1, [7, 8]), (2, [7, 8]), (3, [7, 8]), (9, [8])]
+        kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            found = jaccard_join._rows_again(rest, comp, again)._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        lines = found.splitlines()
+        # below the scan of the sets no exchange stands between it and its join
+        at = next(i for i, x in enumerate(lines) if "FileScan" in x)
+        depth = [len(x) - len(x.lstrip(" :+-*(0123456789)")) for x in lines]
+        above, d = [], depth[at]
+        for i in range(at - 1, -1, -1):
+            if depth[i] < d:
+                above.append(lines[i])
+                d = depth[i]
+        assert not any("Exchange" in x for x in above), found
+    finally:
+        blocks.release(spark, ["rest_of_later_rounds"])

@@ -58,7 +58,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.llm.blocks import NULL_ID, Block, by_key, expand, pack, release, squeeze, tidied, tidy
-from wayfare.llm.repeats import KEYS, U, count_keys, grams, join_notes, key_batch, mix, read_notes, rows_of, short, words_in
+from wayfare.llm.repeats import KEYS, U, classes_of, count_keys, grams, join_notes, key_batch, mix, rows_of, short, words_in
 from wayfare.operators.components import components
 from wayfare.session import settle
 
@@ -76,7 +76,10 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
         full = mix(grams(h, width) + U(width)) if len(h) >= width else np.empty(0, U)
         for a, b in zip(bounds, bounds[1:]):
             if b - a >= width:
-                out.append(np.unique(full[a : b - width + 1]))
+                own = np.sort(full[a : b - width + 1])
+                new = np.ones(len(own), bool)
+                np.not_equal(own[1:], own[:-1], out=new[1:])
+                out.append(own[new])
             else:
                 out.append(mix(grams(h[a:b], b - a) + U(b - a)) if b > a else np.empty(0, U))
     return out
@@ -164,6 +167,8 @@ def _bands(items: np.ndarray) -> list[int]:
 
 #: Shingles in a segment, at least; bits of a parity bitmap; segments in it.
 SEGMENT, BITS, CHAIN = 16, 512, 16
+#: Shards that a row of a later round names, at most; where a component has more, its rows go to all of theirs.
+NAMED = 256
 #: Rows of a block, at most, so that block and place make one number.
 PLACES = 1 << 20
 
@@ -340,6 +345,18 @@ def _segment_pairs(rows: DataFrame, num: int, den: int, forests: int) -> DataFra
     return rows.groupBy("shard").applyInPandas(run, "shard int, a long, b long, group long, more boolean")
 
 
+def _rows_again(rest: DataFrame, comp: DataFrame, again: DataFrame) -> DataFrame:
+    """The rows of rest (bucketed by id) whose component is in again (shard, comp), with the present component and to, its shards there (null: all).
+
+    Ids are looked up by component and joined to the rows, so that the sets stay where they are and segments are sent
+    to those shards only. A row too many lists nothing wrong: all that is listed is verified.
+    """
+    to = again.groupBy("comp").agg(F.collect_set("shard").alias("to")).select("comp", F.when(F.size("to") <= NAMED, F.col("to")).alias("to"))
+    members = comp.filter("node <> component").select(F.col("node").alias("id"), F.col("component").alias("comp")).join(to, "comp").select("id", "comp", "to")
+    members = members.unionByName(to.select(F.col("comp").alias("id"), "comp", "to"))  # a component's name is its least member
+    return rest.drop("comp").join(members, "id").select(*rest.columns, "to")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Per document: id, n_shingles, component_id."""
     _, out = _solve(docs, id_col, text_col, width, num, den)
@@ -402,9 +419,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
             if len(sets) > PLACES:
                 raise ValueError(f"{len(sets)} rows in one block")
             keys, owner = prefixes(sets)
-            keys = short(keys)
-            distinct = np.unique(keys)
-            shared = read_notes(row["n1"], distinct, shards)[np.searchsorted(distinct, keys)] >= 1 if len(keys) else np.empty(0, bool)
+            shared = classes_of(row["n1"], short(keys), shards) >= 1
             count = np.bincount(owner, weights=shared, minlength=len(sets))
             n = [len(s) for s in sets]
             yield pa.RecordBatch.from_pydict({
@@ -508,7 +523,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
 
         def route(batches):
             for row in rows_of(batches):
-                whole = np.frombuffer(row["items"], U)
+                whole, named = np.frombuffer(row["items"], U), row.get("to") and set(row["to"])
                 home = (mix(whole) % U(parts)).astype(np.int64)
                 by = np.argsort(home, kind="stable")
                 notes = [np.frombuffer(x, np.uint32) for x in row["notes"]]
@@ -531,8 +546,9 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
                         if sizes[s] and len(own) >= need:
                             own = mix(own + U(count))
                             sent = (own >> U(32)).astype(np.uint32).tobytes()
-                            for to in np.unique(own[: len(own) - need + 1] % U(few)).tolist():
-                                out.append((to, sizes[s], sent, chains[s], bits[s].tobytes()))
+                            for to in set((own[: len(own) - need + 1] % U(few)).tolist()):
+                                if named is None or to in named:
+                                    out.append((to, sizes[s], sent, chains[s], bits[s].tobytes()))
                 if out:
                     m = len(out)
                     shard, size, items, chain, bits = zip(*out)
@@ -551,13 +567,8 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
         near = F.least(F.length("x"), F.length("y")) * den >= F.greatest(F.length("x"), F.length("y")) * num
         forests, again = 1, None
         while True:
-            rows = rest
-            if again is not None:
-                rows = rest.drop("comp").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).select(*rest.columns)
-                rows = rows.join(again.select("comp").distinct(), "comp", "left_semi").select(*rest.columns)
+            rows = rest if again is None else _rows_again(rest, comp, again)
             routed = rows.mapInArrow(tidied(route), "shard int, id long, comp long, n long, parity binary, chain long, size int, items binary")
-            if again is not None:
-                routed = routed.join(again, ["shard", "comp"], "left_semi")
             listed = settle(_segment_pairs(routed, num, den, forests))
             pairs = listed.select("a", "b").distinct()
             more = settle(pairs.join(one, "a").join(two, "b").filter(near).filter(verified("x", "y")).select("a", "b"))
