@@ -1,5 +1,9 @@
 """Rounds that join their own results don't make the driver's plan grow."""
 
+import heapq
+import random
+
+from wayfare.operators import overlay
 from wayfare.operators.overlay import overlay_paths
 
 
@@ -16,3 +20,38 @@ def test_overlay_paths(spark):
     assert out.collect() == [(1, 30)]
     assert _bits(out) < 1000
 
+
+
+def test_rounds_of_a_grid(spark, monkeypatch):
+    """A street grid with some closed streets, where ways wind through cells and back: few rounds, and the same totals and whole paths in small cells."""
+    r, w, edges = random.Random(11), 60, {}
+    at = lambda n: (n % w * 1000, n // w * 1000)
+    for n in range(w * w):
+        for m in ([n + 1] if n % w < w - 1 else []) + ([n + w] if n + w < w * w else []):
+            for a, b in ((n, m), (m, n)):
+                edges[a, b] = 10**12 if r.random() < 0.4 else 70_000 + r.randrange(9000)
+    ends = [(0, w * w - 1), (w * 30, w * 31 - 1), (5, w * 50 + 40), (w * w - 3, 7)]
+
+    def cheapest(s, t):
+        far = lambda a, b: ((at(a)[0] - at(b)[0]) ** 2 + (at(a)[1] - at(b)[1]) ** 2) ** 0.5
+        held = lambda n: far(s, n) + far(n, t) <= far(s, t) * 1.5
+        best, queue = {s: 0}, [(0, s)]
+        while queue:
+            c, x = heapq.heappop(queue)
+            for y in (x - 1, x + 1, x - w, x + w):
+                if (x, y) in edges and held(y) and c + edges[x, y] < best.get(y, 1 << 60):
+                    best[y] = c + edges[x, y]
+                    heapq.heappush(queue, (best[y], y))
+        return best[t]
+
+    want = {i: cheapest(s, t) for i, (s, t) in enumerate(ends)}
+    e = spark.createDataFrame([(a, b, c, *at(a), *at(b)) for (a, b), c in edges.items()], "u long, v long, cost long, ux long, uy long, vx long, vy long")
+    q = spark.createDataFrame([(i, s, t, *at(s), *at(t)) for i, (s, t) in enumerate(ends)], "request_id long, source long, target long, sx long, sy long, tx long, ty long")
+    rounds, plain = [], overlay.settle_round
+    monkeypatch.setattr(overlay, "settle_round", lambda df: rounds.append(1) or plain(df))
+    assert dict(overlay_paths(q, e, least=70, expand=False).collect()) == want
+    assert len(rounds) <= 4
+    got = overlay_paths(q, e, least=70, max_edges=4000).collect()
+    for i, (s, t) in enumerate(ends):
+        path = [(x.u, x.v) for x in sorted((x for x in got if x.request_id == i), key=lambda x: x.seq)]
+        assert path[0][0] == s and path[-1][1] == t and all(a[1] == b[0] for a, b in zip(path, path[1:])) and sum(edges[x] for x in path) == want[i]
