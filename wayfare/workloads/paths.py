@@ -15,6 +15,7 @@ from wayfare.functions.text import ride_minutes
 from wayfare.operators import runs
 from wayfare.operators.overlay import overlay_paths
 from wayfare.plans.cost import per_metre_bound as cost_bound
+from wayfare.session import settle
 from wayfare.workloads import network as n
 
 
@@ -77,15 +78,17 @@ BLOCKED = 10**9
 def routes(spark: SparkSession, sf: str) -> DataFrame:
     """request_id, seq, u, v, way_id, length_mm: the edges of each request's optimised path, the one of least street numbers among those as cheap."""
     e = n.edge_costs(spark, sf).select("u", "v", "way_id", "length_mm", F.expr(f"least(optimised_mm, {BLOCKED}) * {TIES} + way_id * 7919 % 509").alias("cost"), "ux", "uy", "vx", "vy")
-    found = overlay_paths(requests(spark, sf), e, least=LEAST["optimised_mm"] * TIES).filter("seq IS NOT NULL")
-    return found.join(e.groupBy("u", "v").agg(F.min_by(F.struct("way_id", "length_mm"), "cost").alias("e")), ["u", "v"]).select("request_id", "seq", "u", "v", "e.*")
+    found = settle(overlay_paths(requests(spark, sf), e, least=LEAST["optimised_mm"] * TIES).filter("seq IS NOT NULL"))
+    # the routes' streets are few; all others stay where they are read
+    used = e.join(F.broadcast(found.select("u", "v").distinct()), ["u", "v"], "left_semi")
+    return settle(found.join(used.groupBy("u", "v").agg(F.min_by(F.struct("way_id", "length_mm"), "cost").alias("e")), ["u", "v"]).select("request_id", "seq", "u", "v", "e.*"))
 
 
 def route_stats(spark: SparkSession, sf: str) -> DataFrame:
     """What a ride along each found route is like."""
     r, ways = routes(spark, sf), net.ways(spark, sf).drop("u", "v", "length_mm")
     at = net.nodes(spark, sf).select(F.col("node_id").alias("u"), "elev_cm")
-    rows = r.join(ways, "way_id").join(at, "u").withColumnRenamed("request_id", "path_id")
+    rows = at.join(ways.join(F.broadcast(r), "way_id"), "u").withColumnRenamed("request_id", "path_id")
     return _stats(rows, spark, sf).withColumnRenamed("path_id", "request_id")
 
 
